@@ -11,7 +11,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-#: A digit run that could be a card at all; saves the split of ordinary texts.
+#: What any match must hold; saves the split of ordinary texts.
 _GATE = {"email": "@", "ip": r"[0-9]\.[0-9]+\.", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 
 
@@ -54,7 +54,11 @@ def _word_gap():
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, and one array of spans per kind."""
     out = docs.select(F.col("doc_id"), text_col().alias("text"))
-    return out.select("doc_id", "text", *[F.filter(spans(F.col("text"), F.lit(p), _GATE[k]), lambda x, k=k: _VALID[k](x["m"])).alias(k) for k, p in PATTERNS.items()])
+
+    def kind(k):
+        return F.filter(spans(F.col("text"), F.lit(PATTERNS[k]), _GATE[k]), lambda x: _VALID[k](x["m"])).alias(k)
+
+    return out.select("doc_id", "text", *[kind(k) for k in PATTERNS])
 
 
 def disclosing_terms(base: DataFrame, share: float = 0.9, support: int = 20) -> DataFrame:

@@ -50,7 +50,7 @@ def _sample_features(batches):
         yield pd.DataFrame({"y": b["y"], "x": [np.unique(f(t)) for t in b["text"]]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, epochs: int = 4, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, **rates) -> Model:
     """Fit on at most `most` labelled texts of each class, chosen by the hash of their id.
 
     Rows whose crc32(id) mod 3 is 1 are held out. Null labels and ids are left
@@ -67,23 +67,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, epochs: int = 4, a
         return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
     data["k"] = [xxhash.xxh64_intdigest(np.asarray(x, np.int32).tobytes()) for x in data["x"]]
     data = data.sort_values(["k", "y"])
-    xs, ys = [np.append(np.asarray(x, np.int64), 1 << BITS) for x in data["x"]], data["y"].to_numpy()
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    return train([np.asarray(x, np.int64) for x in data["x"]], data["y"].to_numpy(), **rates)
+
+
+def train(xs: list, ys, epochs: int = 30, alpha: float = 3.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, least: int = 5, balance: float = 0.5) -> Model:
+    """FTRL-proximal over binary slots; a slot that fewer than `least` texts hold, or the sample's most common ones share, carries no evidence and is left out."""
+    one = 1 << BITS  # the slot of the bias
+    z, n = np.zeros(one + 1), np.zeros(one + 1)
+    held = np.bincount(np.concatenate(xs), minlength=one + 1)
+    use = (held >= least) & (held <= max(least, len(xs) // 4))
+    xs = [np.append(x[use[x]], one) for x in xs]
+    gain = np.where(ys == 1, min(10.0, max(1.0, (ys == 0).sum() / max(1, (ys == 1).sum()))), 1.0) ** balance
 
     def weights(i):
         zi = z[i]
-        pen = np.where(i == 1 << BITS, 0.0, l1)
+        pen = np.where(i == one, 0.0, l1)
         return np.where(np.abs(zi) <= pen, 0.0, (np.sign(zi) * pen - zi) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(epochs):
-        for x, y in zip(xs, ys):
+        for x, y, c in zip(xs, ys, gain):
             w = weights(x)
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - y
+            g = c * (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y)
             s = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / alpha
             z[x] += g - s * w
             n[x] += g * g
-    w = weights(np.arange((1 << BITS) + 1))
+    w = weights(np.arange(one + 1))
     slots = np.flatnonzero(w[:-1]).astype(np.int32)
     return Model(slots, w[slots], float(w[-1]))
 
