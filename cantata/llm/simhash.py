@@ -49,89 +49,74 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Codes in Gray order; each node holds the bits that all its codes share.
 
-    linked(d) gives a spanning forest of the pairs at distance d or less. A node
-    with at most d free bits is one component at once; a pair of nodes is left
-    out when their shared bits already differ in more than d places, or when
-    both are known to be one component.
+    linked(d) gives a spanning forest of the pairs at distance d or less: a
+    search from a code takes every code within reach out of the index, and
+    those are searched from in turn. The differences from a node's shared bits
+    add up on the way down: beyond d the whole node is left out; where even its
+    free bits cannot exceed d the whole node is taken.
     """
 
-    LEAF = 8
+    LEAF = 64
 
     def __init__(self, codes: np.ndarray):
         self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes = [int(x) for x in codes[self.order]]
-        self.root = list(range(len(self.codes)))
-        self.edges, self.nodes = [], {}
-        self._node(0, len(self.codes))
-
-    def _node(self, lo, hi):
-        if hi - lo <= self.LEAF:
-            one = zero = (1 << 64) - 1
-            for c in self.codes[lo:hi]:
-                one &= c
-                zero &= ~c
-            kids = None
+        self.codes = codes[self.order]
+        self.top = self._node(np.arange(len(codes)))
+
+    def _node(self, at):
+        """[bits all ones, bits all zeros, children or None, codes left]"""
+        c = self.codes[at]
+        one, zero = int(np.bitwise_and.reduce(c)), int(np.bitwise_and.reduce(~c))
+        if len(at) <= self.LEAF:
+            return [one, zero, None, at]
+        mid = len(at) // 2
+        return [one, zero, (self._node(at[:mid]), self._node(at[mid:])), len(at)]
+
+    @staticmethod
+    def _left(node):
+        return node[3] if node[2] else len(node[3])
+
+    def _all(self, node, out):
+        if node[2]:
+            for k in node[2]:
+                self._all(k, out)
+            node[3] = 0
         else:
-            mid = (lo + hi) // 2
-            a, b = self._node(lo, mid), self._node(mid, hi)
-            one, zero, kids = a[0] & b[0], a[1] & b[1], (a, b)
-        node = (one, zero, lo, hi, kids)
-        self.top = node
-        return node
-
-    def find(self, i):
-        r = self.root
-        while r[i] != i:
-            r[i] = r[r[i]]
-            i = r[i]
-        return i
-
-    def join(self, i, j):
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.root[max(a, b)] = min(a, b)
-            self.edges.append((i, j))
-
-    def one_component(self, n):
-        r = self.find(n[2])
-        return all(self.find(i) == r for i in range(n[2] + 1, n[3]))
+            out.append(node[3])
+            node[3] = node[3][:0]
+
+    def _take(self, node, code, d, out):
+        differ = (node[0] & ~code | node[1] & code).bit_count()
+        if differ > d or not self._left(node):
+            return
+        if differ + 64 - (node[0] | node[1]).bit_count() <= d:
+            self._all(node, out)
+        elif node[2]:
+            for k in node[2]:
+                self._take(k, code, d, out)
+            node[3] = sum(map(self._left, node[2]))
+        else:
+            near = np.bitwise_count(self.codes[node[3]] ^ np.uint64(code)) <= d
+            if near.any():
+                out.append(node[3][near])
+                node[3] = node[3][~near]
 
     def linked(self, d):
-        whole = set()  # nodes known to be one component
-        stack = [(self.top, self.top)]
-        while stack:
-            a, b = stack.pop()
-            if (a[0] & b[1] | a[1] & b[0]).bit_count() > d:
-                continue
-            if a is b:
-                if 64 - (a[0] | a[1]).bit_count() <= d:
-                    for i in range(a[2] + 1, a[3]):
-                        self.join(a[2], i)
-                    whole.add(id(a))
-                    continue
-                if a[4]:
-                    x, y = a[4]
-                    stack += [(x, y), (y, y), (x, x)]
-                    continue
-            elif id(a) in whole and id(b) in whole and self.find(a[2]) == self.find(b[2]):
-                continue
-            else:
-                for n in (a, b):
-                    if id(n) not in whole and self.one_component(n):
-                        whole.add(id(n))
-                if id(a) in whole and id(b) in whole and self.find(a[2]) == self.find(b[2]):
-                    continue
-            if a[4] or b[4]:
-                if a[4] and (not b[4] or a[3] - a[2] >= b[3] - b[2]):
-                    stack += [(k, b) for k in a[4]]
-                else:
-                    stack += [(a, k) for k in b[4]]
+        pairs, seen = [], np.zeros(len(self.codes), bool)
+        for start in range(len(self.codes)):
+            if seen[start]:
                 continue
-            for i in range(a[2], a[3]):
-                for j in range(max(i + 1, b[2]) if a is b else b[2], b[3]):
-                    if (self.codes[i] ^ self.codes[j]).bit_count() <= d:
-                        self.join(i, j)
-        return [(int(self.order[i]), int(self.order[j])) for i, j in self.edges]
+            seen[start], todo = True, [start]
+            while todo:
+                i = todo.pop()
+                out = []
+                self._take(self.top, int(self.codes[i]), d, out)
+                for j in np.concatenate(out).tolist() if out else ():
+                    if not seen[j]:
+                        seen[j] = True
+                        todo.append(j)
+                        pairs.append((int(self.order[i]), int(self.order[j])))
+        return pairs
 
 
 def _bucket_links(d):
