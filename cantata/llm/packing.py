@@ -1,5 +1,4 @@
 """Best-fit packing: a grouping genetic algorithm on islands."""
-import re
 import zlib
 
 import numpy as np
@@ -11,7 +10,6 @@ from .common import checkpoint
 LENGTH = 2048
 #: Pieces per island: bounds a task's memory and time whatever the input.
 ISLAND = 20000
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 def _token_pieces(path, length):
@@ -22,19 +20,19 @@ def _token_pieces(path, length):
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                # Tokens never cross white space, so each stretch is encoded once and remembered.
-                words = [w for w in _SPACE.split(text or "") if w]
-                new = list(dict.fromkeys(w for w in words if w not in seen))
+                # Tokens never cross ASCII white space, so each stretch is encoded once and its ids are remembered as bytes.
+                words = (text or "").encode().split()
+                new = list(set(words).difference(seen))
                 if new:
                     if len(seen) > 500000:
                         seen.clear()
-                        new = list(dict.fromkeys(words))
-                    for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                        seen[w] = np.array(e.ids, "<u4")
-                ids = np.concatenate([seen[w] for w in words] + [np.zeros(1, "<u4")])
-                for i in range(0, len(ids), length):
-                    part = ids[i:i + length]
-                    rows.append((doc_id, i // length, i, len(part), zlib.crc32(part.tobytes())))
+                        new = list(set(words))
+                    for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+                        seen[w] = np.array(e.ids, "<u4").tobytes()
+                ids = b"".join(map(seen.__getitem__, words)) + bytes(4)
+                for i in range(0, len(ids), 4 * length):
+                    part = ids[i:i + 4 * length]
+                    rows.append((doc_id, i // (4 * length), i // 4, len(part) // 4, zlib.crc32(part)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
 
