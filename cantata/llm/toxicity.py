@@ -21,25 +21,29 @@ class Model:
 
 
 class Features:
-    """Slots of a text's words, word pairs and pairs that skip one word."""
+    """Slots of a text's words, the stems of its longer words, word pairs and pairs that skip one word.
+
+    A stem is a word's first letters: inflected forms of one rare word share it.
+    """
 
     MOST = 1 << 19
+    STEMS = (5, 6, 7)
 
     def __init__(self):
-        self.seen = {}
+        self.seen, self.stems = {}, {}
 
     def __call__(self, text) -> np.ndarray:
         if len(self.seen) > self.MOST:
             self.seen.clear()
-        seen, out = self.seen, []
-        for w in _WORD.findall((text or "").lower()):
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-            out.append(h)
-        a = np.array(out, np.uint64)
+            self.stems.clear()
+        seen, stems, words = self.seen, self.stems, _WORD.findall((text or "").lower())
+        for w in set(words).difference(seen):
+            seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
+            stems[w] = [xxhash.xxh64_intdigest(w[:n].encode("utf-8", "replace"), n) for n in self.STEMS if len(w) > n]
+        a = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        s = np.array([h for w in sorted(set(words)) for h in stems[w]], np.uint64)
         with np.errstate(over="ignore"):
-            parts = [a * _MIX[0], (a[:-1] * _MIX[1]) ^ (a[1:] * _MIX[0] + _MIX[2]), (a[:-2] * _MIX[2]) ^ (a[2:] * _MIX[1] + _MIX[0])]
+            parts = [a * _MIX[0], s * _MIX[1], (a[:-1] * _MIX[1]) ^ (a[1:] * _MIX[0] + _MIX[2]), (a[:-2] * _MIX[2]) ^ (a[2:] * _MIX[1] + _MIX[0])]
             v = np.concatenate(parts) * _MIX[0]
         return (v >> np.uint64(64 - BITS)).astype(np.int32)
 
