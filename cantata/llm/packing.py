@@ -1,4 +1,5 @@
 """Best-fit packing: a grouping genetic algorithm on islands."""
+import os
 import zlib
 
 import numpy as np
@@ -10,25 +11,43 @@ from .common import checkpoint
 LENGTH = 2048
 #: Pieces per island: bounds a task's memory and time whatever the input.
 ISLAND = 20000
+_PART = b"\x01"
+
+
+def _encode(tok, words, seen):
+    """Ids of each stretch into `seen`: many go in one call, parted by a control character that is one token."""
+    plain = [w for w in words if not (b"<|" in w or _PART in w)]
+    alone = [[w] for w in set(words).difference(plain)]
+    groups = [plain[i:i + 256] for i in range(0, len(plain), 256)] + alone
+    found = tok.encode_batch_fast([f" {_PART.decode()} ".join(w.decode() for w in g) for g in groups], add_special_tokens=False)
+    mark = tok.encode(_PART.decode(), add_special_tokens=False).ids
+    assert len(mark) == 1, "the vocabulary has no single token for the mark"
+    for g, e in zip(groups, found):
+        ids = np.array(e.ids, "<u4")
+        cut = np.flatnonzero(ids == mark[0]).tolist() if len(g) > 1 else []
+        assert len(cut) == len(g) - 1
+        buf = ids.tobytes()
+        for w, i, j in zip(g, [-1, *cut], [*cut, len(ids)]):
+            seen[w] = buf[4 * i + 4:4 * j]
 
 
 def _token_pieces(path, length):
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tok, seen = Tokenizer.from_file(path), {}
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                # Tokens never cross ASCII white space, so each stretch is encoded once and its ids are remembered as bytes.
-                words = (text or "").encode().split()
-                new = list(set(words).difference(seen))
-                if new:
+                # Tokens never cross ASCII white space, so each stretch is encoded once and its ids are remembered
+                # as bytes. The vocabulary ignores case, but not that of a control string.
+                raw = (text or "").encode()
+                words = (raw if b"<|" in raw else raw.lower()).split()
+                if not seen.keys() >= (some := set(words)):
                     if len(seen) > 500000:
                         seen.clear()
-                        new = list(set(words))
-                    for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                        seen[w] = np.array(e.ids, "<u4").tobytes()
+                    _encode(tok, [w for w in some if w not in seen], seen)
                 ids = b"".join(map(seen.__getitem__, words)) + bytes(4)
                 for i in range(0, len(ids), 4 * length):
                     part = ids[i:i + 4 * length]
