@@ -2,7 +2,7 @@
 import re
 from functools import partial
 
-from . import evaluation, library, timeline, views
+from . import evaluation, library, session, signals, timeline, views
 
 Q = {}
 
@@ -105,7 +105,7 @@ _q("argmax_runner_up", ["note"], [], """
     SELECT song_id, max(CASE WHEN r = 1 THEN midi_note END) AS best, max(CASE WHEN r = 2 THEN midi_note END) AS second FROM (
       SELECT song_id, midi_note, row_number() OVER (PARTITION BY song_id ORDER BY d DESC, midi_note) AS r FROM (SELECT song_id, midi_note, sum(end_sample - start_sample) AS d FROM note GROUP BY song_id, midi_note) a) b WHERE r <= 2 GROUP BY song_id""")
 
-for _more in (timeline, evaluation, library):
+for _more in (timeline, evaluation, library, session, signals):
     Q.update(_more.Q)
 
 
