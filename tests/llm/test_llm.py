@@ -76,6 +76,20 @@ def test_html():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
 
 
+def test_html_surge_chooses_among_marked_units():
+    para = " ".join(["word"] * 100)
+    story = f"<article><h1>Head</h1><p>{para}</p><p>End.</p>%s</article>"
+    want = f"Head\n\n{para}\n\nEnd."
+    card = "<article><h3>Other</h3><p>A card of a few words.</p></article>"
+    reply = "<article><p>Nice read, thanks.</p></article>"
+    assert html.main_text(card + story % (reply * 9) + card * 9) == want
+    assert html.main_text(f"<main><h1>Site</h1>{story % ''}{card}</main>") == f"Site\n\n{want}"
+    # Two articles both stay; a list of short pieces stays whole; an article outside the marks is not lost to cards.
+    assert html.main_text(story % "" + story % "") == f"{want}\n\n{want}"
+    assert html.main_text(card * 3) == "\n\n".join(["Other", "A card of a few words."] * 3)
+    assert para in html.main_text(f"<div><p>{para}</p></div>{card}")
+
+
 def test_simhash_fingerprints_and_links(spark):
     for t in TEXTS:
         assert simhash.fingerprint(t) == brute.simhash(t)
