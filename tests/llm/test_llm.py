@@ -90,6 +90,20 @@ def test_html_surge_chooses_among_marked_units():
     assert para in html.main_text(f"<div><p>{para}</p></div>{card}")
 
 
+def test_html_without_marks_keeps_every_stretch():
+    para = ["".join(chr(97 + i) for _ in range(150)) for i in range(12)]
+    tag = lambda lines: "".join(f"<p>{x}</p>" for x in lines)
+    # One very long paragraph does not raise the floor for ordinary ones.
+    assert html.main_text(f"<div>{tag(para[:6] + ['z' * 60000] + para[6:])}</div>") == "\n\n".join(para[:6] + ["z" * 60000] + para[6:])
+    # Menu, advert and form lines inside the article do not part it.
+    junk = "<ul class='menu'>" + "<li>Go</li>" * 9 + "</ul><form>" + "<p>Name</p>" * 9 + "</form><div class='ad'>" + "<p>Buy</p>" * 9 + "</div>"
+    assert html.main_text(f"<div>{tag(para[:3])}{junk}{tag(para[3:])}</div>") == "\n\n".join(para)
+    # Short lines between two stretches stay; page numbers before the first surge go.
+    short = ["a", "b", "c", "d", "e", "f", "g"]
+    assert html.main_text(tag(para[:3] + short + para[3:])) == "\n\n".join(para[:3] + short + para[3:])
+    assert html.main_text(tag(short + para)) == "\n\n".join(short[-2:] + para)
+
+
 def test_simhash_fingerprints_and_links(spark):
     for t in TEXTS:
         assert simhash.fingerprint(t) == brute.simhash(t)
