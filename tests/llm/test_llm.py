@@ -104,6 +104,22 @@ def test_html_without_marks_keeps_every_stretch():
     assert html.main_text(tag(short + para)) == "\n\n".join(short[-2:] + para)
 
 
+def test_html_noise_words_spare_marks_headings_and_layout():
+    para = " ".join(["word"] * 100)
+    story = f"<article><h1>Head</h1><p>{para}</p></article>"
+    want = f"Head\n\n{para}"
+    for wrap in ("class='content with-sidebar'", "id='page' class='has-header'", "class='layout--no-sidebar'", "class='page-header-wrap sidebar'", "role='menu'"):
+        assert html.main_text(f"<div {wrap}>{story}</div><footer>F</footer>") == want, wrap
+        assert html.main_text(f"<div {wrap}><div>x</div>{story}<div class='share'>Share</div></div>").endswith(want), wrap
+        assert html.main_text(f"<p>{para[:450]}</p><article><p>Card</p></article><div {wrap}>{story}</div>").endswith(want), wrap
+    # Without marks too, layout words are no noise; other noise words are.
+    assert html.main_text(f"<div class='content with-sidebar'><p>{para}</p></div><div class='sidebar no-print'>Links</div>") == para
+    assert html.main_text(f"<article><h2 id='related-work'>Related work</h2><p>{para}</p><div class='related'>More</div></article>") == f"Related work\n\n{para}"
+    # Marked comments give way to the article; what stands in a dropped element stays out.
+    assert html.main_text(f"{story}<div id='comments'><article><p>{para}</p></article></div><aside><article>{para}</article></aside>") == want
+    assert html.main_text(f"<div><h1>Head</h1><p>{para}</p></div><div id='comments'><article><p>{para}</p></article></div>") == want
+
+
 def test_simhash_fingerprints_and_links(spark):
     for t in TEXTS:
         assert simhash.fingerprint(t) == brute.simhash(t)
