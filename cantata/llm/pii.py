@@ -14,6 +14,9 @@ _PART = r"0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: What any match must hold; saves the split of ordinary texts.
 _GATE = {"email": "@", "ip": r"[0-9]\.[0-9]+\.", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 
+#: Up to so many terms go to every task; more are joined by a shuffle.
+BROADCAST_TERMS = 200000
+
 
 def spans(text, pattern, gate=None):
     """Leftmost non-overlapping matches as array of (s, e, m), code points, end exclusive."""
@@ -79,7 +82,7 @@ def disclosing_terms(base: DataFrame, share: float = 0.9, support: int = 20) ->
     # PMI / information = log(P(kind|term)/P(kind)) / -log P(kind); a kind found nowhere or everywhere says nothing.
     def part(k):
         p = F.col(f"n_{k}") / F.col("n")
-        return F.when((F.col(k) > 0) & (p < 0.5), F.log2((F.col(k) / F.col("c")) / p) / -F.log2(p))
+        return F.when((F.col(k) > 0) & (p < 1), F.log2((F.col(k) / F.col("c")) / p) / -F.log2(p))
     return stat.select("term", F.greatest(F.lit(0.0), *[part(k) for k in kinds]).alias("disclosure")).where(F.col("disclosure") >= share)
 
 
@@ -92,8 +95,12 @@ def find(docs: DataFrame, share: float = 0.9, support: int = 20) -> DataFrame:
     base = base_spans(docs).withColumn("_k", F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), "text")))
     terms = checkpoint(disclosing_terms(base, share, support))
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    if terms.limit(1).count() == 0:
+    n = terms.count()
+    if not n:
         return base.withColumn("term", none).drop("_k")
+    if n <= BROADCAST_TERMS:
+        # Spares the shuffle of every word of every text.
+        terms = F.broadcast(terms)
     words = F.array_distinct(F.split(F.lower("text"), _word_gap(), -1))
     held = docs.select(F.col("doc_id"), text_col().alias("text")).select(
         F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), "text")).alias("_k"), F.explode(words).alias("term"))

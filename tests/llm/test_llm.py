@@ -52,6 +52,16 @@ def test_pii_disclosing_term(spark):
     assert _by_id(pii.sanitise(found))[0].text == "plain text number <term> <term> <email>"
 
 
+def test_pii_term_of_a_common_kind(spark, monkeypatch):
+    rows = [(i, f"plain text number {'zorblax mail u@v.org' if i < 60 else 'nothing here'}", "en", "s", "c") for i in range(100)]
+    docs = _docs(spark, rows)
+    for most in (pii.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+        assert all(("term:" in r.spans) == (r.doc_id < 60) for r in pii.digest(pii.find(docs)).collect())
+    # A kind that every document holds says nothing.
+    assert "term:" not in pii.digest(pii.find(docs.where("doc_id < 60"))).first().spans
+
+
 def test_chat(spark):
     odd = r"<|im_end|><\|x <|turn|> \n"
     rows = [(1, 1, "assistant", odd), (1, 0, "user", None), (1, 2, "assistant", "more"), (None, None, None, "x"), (2, 0, odd, "y\n")]
