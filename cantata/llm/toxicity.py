@@ -4,10 +4,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 BITS = 20
+THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -100,20 +102,41 @@ def train(xs: list, ys, epochs: int = 30, alpha: float = 3.0, beta: float = 1.0,
     return Model(slots, w[slots], float(w[-1]))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+def _scorer(model: Model):
+    """Scores of a batch of texts; null text gets the bias alone."""
+    f, dense = Features(), np.zeros(1 << BITS, np.float64)
+    dense[model.slots] = model.weights
+
+    def scores(texts):
+        out = []
+        for t in texts:
+            x = f(t)
+            out.append(dense[np.unique(x[dense[x] != 0])].sum() + model.bias)
+        return 1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500)))
+
+    return scores
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Return doc_id, held_out, score, predicted per row; null text is empty, and gets the bias alone. A null id is not held out. Rows that repeat stay."""
 
     def run(batches):
-        f, dense = Features(), np.zeros(1 << BITS, np.float64)
-        dense[model.slots] = model.weights
+        scores = _scorer(model)
         for b in batches:
-            out = []
-            for t in b["text"]:
-                x = f(t)
-                out.append(dense[np.unique(x[dense[x] != 0])].sum() + model.bias)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500)))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores(b["text"])})
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     s = src.mapInPandas(run, "doc_id long, score double")
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
     return s.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that are not predicted toxic; each is judged by its own text."""
+
+    def run(batches):
+        scores = _scorer(model)
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

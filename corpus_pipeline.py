@@ -6,29 +6,31 @@ from cantata.llm.common import work_path
 from cantata.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Names each row: written by the first stage, carried by the others, so that each row is judged by its own text.
+ROW = "row_key"
 
 
 def toxic(spark, docs, sf_dir):
     """Documents that the classifier accepts; the labels are those of sf_dir."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.score(docs, model).where("predicted = 1").select("doc_id")
-    return _without(docs, bad)
+    return toxicity.accepted(docs.select(COLUMNS), model).withColumn(ROW, F.monotonically_increasing_id())
 
 
 def exact_copies(spark, docs, sf_dir):
-    """One document of each group of equal texts."""
-    return _without(docs, exact.exact_dedup(docs).where("not kept").select("doc_id"))
+    """One document of each group of equal texts: the longest as written, then the smallest id."""
+    return _one_each(docs, exact.exact_dedup(docs, ROW).select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")), -F.length("text"))
 
 
 def near_copies(spark, docs, sf_dir):
-    """The document that names its SimHash component."""
-    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id"))
+    """The document with the smallest id of each SimHash component."""
+    return _one_each(docs, simhash.near_duplicates(docs, ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")), F.lit(0))
 
 
 def benchmark_free(spark, docs, sf_dir):
     """Documents that hold no benchmark window."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontam.decontaminate(docs, bench).where("contaminated").select("doc_id"))
+    clean = decontam.decontaminate(docs, bench, ROW).where("not contaminated").select(F.col("doc_id").alias(ROW))
+    return docs.join(clean, ROW, "left_semi").select(*COLUMNS, ROW)
 
 
 def packed(spark, docs, sf_dir):
@@ -36,9 +38,11 @@ def packed(spark, docs, sf_dir):
     return packing.pack(docs, vocabulary())
 
 
-def _without(docs, gone):
-    """Null ids name no row, so they stay."""
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(COLUMNS)
+def _one_each(docs, groups, first):
+    """The first row of each group by `first`, then by id, null ids last; of equal rows one."""
+    order = F.struct(F.coalesce(first, F.lit(0)).alias("a"), F.col("doc_id").isNull().alias("b"), "doc_id", ROW)
+    best = docs.select(ROW, order.alias("o")).join(groups, ROW).groupBy("group").agg(F.min("o").alias("o"))
+    return docs.join(best.select(f"o.{ROW}"), ROW, "left_semi").select(*COLUMNS, ROW)
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact_copies), ("simhash", near_copies), ("decontamination", benchmark_free), ("packing", packed)]
