@@ -77,11 +77,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, **rates) -> Model:
 
 
 def train(xs: list, ys, epochs: int = 30, alpha: float = 3.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, least: int = 5, balance: float = 0.5) -> Model:
-    """FTRL-proximal over binary slots; a slot that fewer than `least` texts hold, or the sample's most common ones share, carries no evidence and is left out."""
+    """FTRL-proximal over binary slots; a slot that fewer than `least` texts hold, or more than a quarter of the clean ones share, carries no evidence and is left out."""
     one = 1 << BITS  # the slot of the bias
     z, n = np.zeros(one + 1), np.zeros(one + 1)
     held = np.bincount(np.concatenate(xs), minlength=one + 1)
-    use = (held >= least) & (held <= max(least, len(xs) // 4))
+    # Judged by clean texts alone, so that the balance of the sample does not decide on a marker of toxic ones.
+    clean = np.bincount(np.concatenate([np.zeros(0, np.int64), *(x for x, y in zip(xs, ys) if y == 0)]), minlength=one + 1)
+    use = (held >= least) & (clean <= max(least, (ys == 0).sum() // 4))
     xs = [np.append(x[use[x]], one) for x in xs]
     gain = np.where(ys == 1, min(10.0, max(1.0, (ys == 0).sum() / max(1, (ys == 1).sum()))), 1.0) ** balance
 

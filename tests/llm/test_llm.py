@@ -187,3 +187,13 @@ def test_toxicity(spark):
     got = _by_id(toxicity.score(docs, toxicity.fit(docs, labels)))
     assert sum(got[i].predicted == int(i % 4 == 0) for i in range(400)) >= 396 and 0 <= got[-1].score <= 1
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("score <> 0.5").count() == 0
+
+
+def test_toxicity_marker_does_not_hang_on_balance():
+    # Slot 1 marks every toxic text, slot 2 is in every text, slots 3 to 9 are chance.
+    for toxic, clean in ((40, 400), (200, 200), (200, 40)):
+        ys = np.array([1] * toxic + [0] * clean)
+        xs = [np.array(([1] if y else []) + [2, 3 + i % 7], np.int64) for i, y in enumerate(ys)]
+        model = toxicity.train(xs, ys)
+        weight = dict(zip(model.slots.tolist(), model.weights))
+        assert weight.get(1, 0) > 0 and 2 not in weight
