@@ -172,6 +172,15 @@ def test_packing(spark):
     assert packing.pack(_docs(spark, []), vocabulary()).count() == 0
 
 
+def test_evolve_beats_best_fit_decreasing():
+    # Eight full bins, cut in three each: best-fit decreasing and random orders need nine, a crossover finds the eight.
+    r = np.random.default_rng(150)
+    n = np.concatenate([np.diff([0, *sorted(r.choice(np.arange(1, 1000), 2, replace=False)), 1000]) for _ in range(8)])
+    assert len(packing.evolve(n, 1000, population=1)) == len(packing.evolve(n, 1000, generations=0)) == 9
+    bins = packing.evolve(n, 1000)
+    assert len(bins) == 8 and sorted(i for b in bins for i in b) == list(range(len(n))) and all(n[b].sum() <= 1000 for b in bins)
+
+
 def test_sharding(spark):
     root = work_path(spark, "t")
     out = sharding.shard(_docs(spark).repartition(6), root, target=4000)
