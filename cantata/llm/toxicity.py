@@ -3,7 +3,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -53,36 +52,80 @@ class Features:
 def _sample_features(batches):
     f = Features()
     for b in batches:
-        yield pd.DataFrame({"y": b["y"], "x": [np.unique(f(t)) for t in b["text"]]})
+        xs = [np.unique(f(t)) for t in b.column("text").to_pylist()]
+        keys = [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in xs]
+        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(keys, pa.int64()), pa.array(xs, pa.list_(pa.int32()))], ["y", "k", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, **rates) -> Model:
-    """Fit on at most `most` labelled texts of each class, chosen by the hash of their id.
+def _train_task(rates):
+    """One task over the bounded sample: the slots of its texts in, the non-zero weights out; slot -1 is the bias."""
 
-    Rows whose crc32(id) mod 3 is 1 are held out. Null labels and ids are left
-    out; a document labelled twice is toxic if either says so. With no labels
-    the model is empty and scores 0.5.
-    """
+    def run(batches):
+        ys, xs = [], []
+        for b in batches:
+            ys += b.column("y").to_pylist()
+            # Views of the batch's own memory, 4 bytes a slot.
+            flat, cut = b.column("x").flatten().to_numpy(), b.column("x").offsets.to_numpy()
+            xs += [flat[i - cut[0]:j - cut[0]] for i, j in zip(cut[:-1], cut[1:])]
+        if ys:
+            m = train(xs, np.array(ys), **rates)
+            slots, weights = np.append(m.slots, -1).astype(np.int32), np.append(m.weights, m.bias)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(weights)], ["slot", "weight"])
+
+    return run
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
+    """y, k, x of at most `most` labelled texts of each class, chosen by the hash of their id; k is the hash of x."""
     known = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     pick = pick[0].unionByName(pick[1])
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(pick), "doc_id").select(F.col("y").cast("int").alias("y"), "text", "doc_id")
-    data = rows.select("y", "text").mapInPandas(_sample_features, "y int, x array<int>").toPandas()
-    if data.empty:
-        return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
-    data["k"] = [xxhash.xxh64_intdigest(np.asarray(x, np.int32).tobytes()) for x in data["x"]]
-    data = data.sort_values(["k", "y"])
-    return train([np.asarray(x, np.int64) for x in data["x"]], data["y"].to_numpy(), **rates)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(pick), "doc_id").select(F.col("y").cast("int").alias("y"), "text")
+    return rows.mapInArrow(_sample_features, "y int, k long, x array<int>")
+
 
+def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, **rates) -> Model:
+    """Fit on at most `most` labelled texts of each class, in one executor task; only non-zero weights come to the driver.
 
-def train(xs: list, ys, epochs: int = 30, alpha: float = 3.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, least: int = 5, balance: float = 0.5) -> Model:
+    Rows whose crc32(id) mod 3 is 1 are held out. Null labels and ids are left
+    out; a document labelled twice is toxic if either says so, and a document
+    that stands twice is in the sample twice. With no labels the model is empty
+    and scores 0.5; with one class only it is what the bias learns.
+    """
+    one = sample(docs, labels, most).repartition(1).sortWithinPartitions("k", "y")
+    got = one.mapInArrow(_train_task(rates), "slot int, weight double").toPandas()
+    bias = float(got["weight"][got["slot"] == -1].sum())
+    got = got[got["slot"] >= 0].sort_values("slot")
+    return Model(got["slot"].to_numpy(np.int32), got["weight"].to_numpy(float), bias)
+
+
+def cross_validate(xs: list, ys, keys, folds: int = 4, threshold: float = THRESHOLD, **rates) -> tuple:
+    """(toxic found, toxic, false alarms, clean, log loss) over folds of the training rows by their key, each fold scored by a fit on the others."""
+    part, scores = np.asarray(keys) // 7 % folds, np.zeros(len(ys))
+    for k in range(folds):
+        m = train([x for x, p in zip(xs, part) if p != k], ys[part != k], **rates)
+        dense = np.zeros(1 << BITS)
+        dense[m.slots] = m.weights
+        for i in np.flatnonzero(part == k):
+            scores[i] = 1 / (1 + np.exp(-np.clip(dense[xs[i]].sum() + m.bias, -500, 500)))
+    p, hit = np.clip(scores, 1e-6, 1 - 1e-6), scores >= threshold
+    loss = -np.mean(np.where(ys == 1, np.log(p), np.log(1 - p)))
+    return int(hit[ys == 1].sum()), int((ys == 1).sum()), int(hit[ys == 0].sum()), int((ys == 0).sum()), float(loss)
+
+
+def train(xs: list, ys, epochs: int = 20, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, least: int = 3, balance: float = 1.0) -> Model:
     """FTRL-proximal over binary slots; a slot that fewer than `least` texts hold, or more than a quarter of the clean ones share, carries no evidence and is left out."""
     one = 1 << BITS  # the slot of the bias
     z, n = np.zeros(one + 1), np.zeros(one + 1)
-    held = np.bincount(np.concatenate(xs), minlength=one + 1)
+    held = np.zeros(one + 1, np.int64)
+    for x in xs:
+        held[x] += 1
     # Judged by clean texts alone, so that the balance of the sample does not decide on a marker of toxic ones.
-    clean = np.bincount(np.concatenate([np.zeros(0, np.int64), *(x for x, y in zip(xs, ys) if y == 0)]), minlength=one + 1)
+    clean = np.zeros(one + 1, np.int64)
+    for x, y in zip(xs, ys):
+        if y == 0:
+            clean[x] += 1
     use = (held >= least) & (clean <= max(least, (ys == 0).sum() // 4))
     xs = [np.append(x[use[x]], one) for x in xs]
     gain = np.where(ys == 1, min(10.0, max(1.0, (ys == 0).sum() / max(1, (ys == 1).sum()))), 1.0) ** balance
@@ -92,8 +135,10 @@ def train(xs: list, ys, epochs: int = 30, alpha: float = 3.0, beta: float = 1.0,
         pen = np.where(i == one, 0.0, l1)
         return np.where(np.abs(zi) <= pen, 0.0, (np.sign(zi) * pen - zi) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
-    for _ in range(epochs):
-        for x, y, c in zip(xs, ys, gain):
+    # Each pass takes the texts in an order of its own, so that no one order decides; texts come sorted by the hash of their slots.
+    for e in range(epochs):
+        for r in np.random.default_rng(e).permutation(len(xs)).tolist():
+            x, y, c = xs[r], ys[r], gain[r]
             w = weights(x)
             g = c * (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y)
             s = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / alpha
@@ -125,10 +170,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         scores = _scorer(model)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores(b["text"])})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(b.column("text").to_pylist()))], ["doc_id", "score"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    s = src.mapInPandas(run, "doc_id long, score double")
+    s = src.mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
     return s.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
