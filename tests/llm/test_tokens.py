@@ -2,7 +2,7 @@
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from cantata.llm.packing import _token_pieces
 from cantata.llm.queries import vocabulary
@@ -15,7 +15,8 @@ def test_ids_equal_whole_text_encoding():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary())
-    got = pd.concat(_token_pieces(vocabulary(), 2048)([pd.DataFrame({"doc_id": range(len(ODD)), "text": ODD})]))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(ODD))), "text": ODD})
+    got = pa.Table.from_batches(_token_pieces(vocabulary(), 2048)([batch])).to_pandas()
     want = []
     for i, t in enumerate(ODD):
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
