@@ -1,7 +1,10 @@
 """Chat formatting with Spark expressions only."""
 from pyspark.sql import DataFrame, functions as F
 
-START, TURN, END = "<|im_start|>", "<|turn|>", "<|im_end|>"
+from .common import cut
+
+#: NEWLINE stands for a line break inside a role.
+START, TURN, END, NEWLINE = "<|im_start|>", "<|turn|>", "<|im_end|>", "<|nl|>"
 
 
 def _escape(c):
@@ -19,10 +22,12 @@ def format_chats(conv: DataFrame) -> DataFrame:
     Turns are sorted by (turn, role, text), nulls first; adjacent turns of one
     role share a block and stay apart by a turn mark, so every turn can be read
     back. Null text is empty, a null role is the empty role, a null conv_id is
-    one conversation of its own. Repeated rows stay. The mask runs cover the
+    one conversation of its own. Repeated rows stay; texts of any length are kept whole; an empty table
+    gives an empty result; other columns are not read. A conversation becomes one
+    row, as the format demands. The mask runs cover the
     whole output in order; loss is true over the escaped assistant texts.
     """
-    role = F.regexp_replace(F.regexp_replace(_escape(F.coalesce("role", F.lit(""))), r"\\", r"\\\\"), "\n", r"\\n")
+    role = F.replace(_escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit(NEWLINE))
     turns = conv.select("conv_id", F.struct(F.col("turn"), role.alias("role"), _escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     parts = F.expr(
@@ -40,24 +45,15 @@ def format_chats(conv: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse formatted back to conv_id, turns (array of role, text), loss_text, formatted_chars."""
-    blocks = formatted.select(
-        "conv_id", F.length("formatted").alias("formatted_chars"),
-        F.expr(rf"filter(split(formatted, '<\\|im_start\\|>', -1), (b, i) -> i > 0)").alias("b"),
-    )
-    one = F.expr(
-        r"""flatten(transform(b, b -> transform(
-            split(regexp_replace(substring(b, instr(b, '\n') + 1), '<\\|im_end\\|>\n$', ''), '<\\|turn\\|>', -1),
-            x -> struct(substring(b, 1, instr(b, '\n') - 1) as role, x as text))))"""
-    )
-    back = blocks.select("conv_id", "formatted_chars", one.alias("raw"))
-    un = lambda c: _unescape(c)
-    plain = lambda r: _unescape(F.regexp_replace(F.regexp_replace(F.regexp_replace(r, r"\\\\", "\x00"), r"\\n", "\n"), "\x00", r"\\"))
-    return back.select(
-        "conv_id", "formatted_chars",
-        F.transform("raw", lambda x: F.struct(plain(x["role"]).alias("role"), un(x["text"]).alias("text"))).alias("turns"),
-        F.array_join(F.transform(F.filter("raw", lambda x: x["role"] == "assistant"), lambda x: un(x["text"])), "").alias("loss_text"),
-    )
+    """Parse formatted back to conv_id, turns (array of role, text), loss_text, formatted_chars; loss_text is cut out by the mask alone."""
+    head = lambda b: F.instr(b, "\n")
+    role = lambda b: _unescape(F.replace(F.substring(b, F.lit(1), head(b) - 1), F.lit(NEWLINE), F.lit("\n")))
+    body = lambda b: F.regexp_replace(F.substring(b, head(b) + 1, F.length(b)), r"<\|im_end\|>\n\z", "")
+    block = lambda b: F.transform(F.split(body(b), r"<\|turn\|>", -1), lambda x: F.struct(role(b).alias("role"), _unescape(x).alias("text")))
+    turns = F.flatten(F.transform(F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda b, i: i > 0), block))
+    runs = F.zip_with(cut(F.col("formatted"), F.transform("mask", lambda m: m["n_chars"])), F.col("mask"), lambda t, m: F.struct(t.alias("t"), m["loss"].alias("loss")))
+    loss = F.transform(F.filter(runs, lambda x: x["loss"]), lambda x: _unescape(x["t"]))
+    return formatted.select("conv_id", F.length("formatted").alias("formatted_chars"), turns.alias("turns"), F.array_join(loss, "").alias("loss_text"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:

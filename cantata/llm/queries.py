@@ -53,7 +53,7 @@ def op8_packing(spark, d):
 
 def op9_sharding(spark, d):
     out = sharding.shard(_t(spark, d, "documents"), work_path(spark, "shards"))
-    return out.select("doc_id", "shard", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("doc_id", "lang", "source", "n_chars", (F.col("shard") != "").alias("sharded"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op10_decontam(spark, d):
@@ -63,6 +63,30 @@ def op10_decontam(spark, d):
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_chat, op4_urls, op5_html, op6_exact, op7_simhash, op8_packing, op9_sharding, op10_decontam)}
 
 ORACLE = {
+    # Template: one block per run of turns of one role; "<" + backslashes + "|" has one backslash more inside texts and roles.
+    "op3_chat": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        o AS (SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS was, lead(role) OVER w AS next FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        e AS (SELECT *, length(text) + len(regexp_extract_all(text, '<\\*\|')) AS body,
+                     length(role) + len(regexp_extract_all(role, '<\\*\|')) + 5 * (length(role) - length(replace(role, chr(10), ''))) AS name FROM o)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+               CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '')) AS loss_sha256,
+               CAST(sum(body + CASE WHEN was = role THEN 8 ELSE 13 + name END + CASE WHEN next = role THEN 0 ELSE 11 END) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op9_sharding": """
+        SELECT doc_id, lang, source, n_chars, true AS sharded, sha256(coalesce(text, '')) AS text_sha256 FROM documents""",
+    "op10_decontam": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+        g AS (SELECT DISTINCT item, CAST(least(len(w), 10) AS INT) AS n, array_to_string(w[s:s + 9], ' ') AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+        p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n),
+        h AS (SELECT doc_id, s, p.n, item FROM (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win FROM p) p JOIN g ON p.win = g.win AND p.n = g.n),
+        x AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS at FROM h) GROUP BY doc_id),
+        y AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN y ON d.doc_id = y.doc_id""",
     "op6_exact": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
         g AS (SELECT t, count(*) AS group_size, max(len) AS top FROM n GROUP BY t),

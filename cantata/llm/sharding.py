@@ -1,74 +1,151 @@
-"""Sharding: size-tiered compaction of immutable shards under a versioned manifest."""
-from pyspark.sql import DataFrame, SparkSession, functions as F
+"""Sharding: size-tiered compaction of immutable shards under a versioned manifest.
 
-#: Bytes of a compacted shard, and the ratio between size tiers.
-TARGET, RATIO = 32 << 20, 4
+A store is a folder: data/<run>/part-* are shards, manifest/<name> are tables of
+(shard, bytes), and versions/<n> is a file with the name of version n's table. The
+file is created only if it is absent, so of racing writers one publishes n.
+"""
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+#: Bytes of a compacted shard, the ratio between size tiers, and shards merged by one job.
+TARGET, RATIO, PER_JOB = 32 << 20, 4, 10000
+_SHARDS = "shard string, bytes long"
+
+
+class Taken(RuntimeError):
+    """Another writer has published the version."""
 
 
 def _fs(spark, path):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def latest(spark: SparkSession, root: str) -> int:
+    """The newest published version; 0 for a new store."""
+    fs, p = _fs(spark, f"{root}/versions")
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.getLen()] if fs.exists(p) else []
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def manifest(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The shards of a version (shard, bytes); none for version 0."""
+    if not version:
+        return spark.createDataFrame([], _SHARDS)
+    name = spark.read.text(f"{root}/versions/{version:08d}").first().value
+    return spark.read.schema(_SHARDS).parquet(f"{root}/manifest/{name}")
+
+
+def commit(spark: SparkSession, root: str, version: int, shards: DataFrame) -> int:
+    """Publish `version`; raises Taken if another writer has published it. Tables of losers stay unreferenced."""
+    name = f"m-{uuid.uuid4().hex}"
+    shards.coalesce(1).write.parquet(f"{root}/manifest/{name}")
+    fs, p = _fs(spark, f"{root}/versions/{version:08d}")
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if fs.exists(p):
+            raise Taken(f"version {version} is already published") from e
+        raise
+    out.write(bytearray(f"{name}\n".encode()))
+    out.close()
+    return version
+
+
+def _published(spark, root, change):
+    """Publish change(newest shards) as the next version, again on top of the winner where another writer was first."""
+    while True:
+        v = latest(spark, root)
+        try:
+            return commit(spark, root, v + 1, change(v))
+        except Taken:
+            continue
 
 
-def append(rows: DataFrame, root: str, run: str) -> list:
-    """Write arrivals as a run of small immutable shards; returns (path, bytes) per shard. No rows: one empty shard."""
+def _write(rows: DataFrame, root: str, kind: str) -> DataFrame:
+    """Write rows as one run of shards and list them: one row per file, its size from the scan's own metadata."""
+    run = f"{kind}-{uuid.uuid4().hex}"
     rows.write.mode("errorifexists").parquet(f"{root}/data/{run}")
-    fs, p, _ = _fs(rows.sparkSession, f"{root}/data/{run}")
-    return [(f"data/{run}/{s.getPath().getName()}", s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
-
-
-def tiers(shards: list, target: int = TARGET, ratio: int = RATIO) -> dict:
-    """Shards below the target by size tier: tier t holds sizes over target / ratio^(t+1)."""
-    out = {}
-    for path, size in shards:
-        if size < target:
-            t, top = 0, target // ratio
-            while size <= top and top > 1024:
-                t, top = t + 1, top // ratio
-            out.setdefault(t, []).append((path, size))
-    return out
-
-
-def compact(spark: SparkSession, root: str, shards: list, run: str, target: int = TARGET) -> list:
-    """Merge runs of similar size into files of about the target; whole shards move, without a shuffle. Sources stay as they are."""
-    out = [s for s in shards if s[1] >= target]
-    for t, group in sorted(tiers(shards, target).items()):
-        n = max(1, round(sum(s for _, s in group) / target))
-        if len(group) <= n:
-            out += group
-            continue
-        merged = spark.read.parquet(*[f"{root}/{p}" for p, _ in group]).coalesce(n)
-        out += append(merged, root, f"{run}-tier{t}")
-    return out
+    fs, p = _fs(rows.sparkSession, f"{root}/data/{run}")
+    found = [(f"data/{run}/{s.getPath().getName()}", s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
+    return rows.sparkSession.createDataFrame(found, _SHARDS)
 
 
-def commit(spark: SparkSession, root: str, version: int, shards: list) -> None:
-    """Publish version `version` by one rename; fails if another writer has published it."""
-    tmp = f"{root}/manifest/.v{version}.tmp"
-    spark.createDataFrame([(version, p, s) for p, s in sorted(shards)], "version int, shard string, bytes long").coalesce(1).write.mode("overwrite").parquet(tmp)
-    fs, src, Path = _fs(spark, tmp)
-    dst = Path(f"{root}/manifest/v{version}")
-    if fs.exists(dst) or not fs.rename(src, dst):
-        raise RuntimeError(f"version {version} is already published")
+def append(rows: DataFrame, root: str) -> int:
+    """Write arrivals as a run of small immutable shards beside those of the newest version; returns the version that holds them."""
+    spark = rows.sparkSession
+    new = _write(rows, root, "arrivals")
+    return _published(spark, root, lambda v: manifest(spark, root, v).unionByName(new))
 
 
-def read(spark: SparkSession, root: str, version: int) -> DataFrame:
-    """Rows of a published version with the name of their shard."""
-    names = [r.shard for r in spark.read.parquet(f"{root}/manifest/v{version}").select("shard").collect()]
-    return spark.read.parquet(*[f"{root}/{n}" for n in names]).withColumn("shard", F.regexp_extract(F.input_file_name(), r"(data/[^/]+/[^/]+)$", 1))
+def runs(shards: DataFrame, target: int = TARGET, ratio: int = RATIO) -> DataFrame:
+    """Shards below the target with their tier and their run within it: neighbours by size whose bytes fill about one target.
+
+    Tier t holds sizes over target / ratio^(t+1). A run of one shard has nothing to be merged with.
+    """
+    tier = F.floor(F.log(F.lit(float(target)) / F.greatest(F.col("bytes"), F.lit(1))) / F.log(F.lit(float(ratio)))).cast("int")
+    order = Window.partitionBy("tier").orderBy(F.col("bytes").desc(), "shard")
+    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = shards.where(F.col("bytes") < target).withColumn("tier", tier).withColumn("run", F.floor(before / F.lit(target)))
+    return dealt.withColumn("many", F.count("*").over(Window.partitionBy("tier", "run"))).where("many > 1").select("shard", "bytes", "tier", "run")
+
+
+def compact(spark: SparkSession, root: str, target: int = TARGET, ratio: int = RATIO) -> int:
+    """Merge runs of similar size into files of about the target and publish; returns the version, the same one where nothing is to be merged.
+
+    Whole shards move, without a shuffle; sources stay for readers of older
+    versions. If another writer published meanwhile, its arrivals stay beside
+    the merged shards; if it took a source away, the merge is given up.
+    """
+    v = latest(spark, root)
+    groups = runs(manifest(spark, root, v), target, ratio).groupBy("tier", "run").agg(F.collect_list("shard").alias("shards"), F.count("*").alias("n")).orderBy("tier", "run")
+    gone, made, job = [], [], []
+
+    def merge():
+        paths = [f"{root}/{s}" for g in job for s in g]
+        made.append(_write(spark.read.parquet(*paths).coalesce(len(job)), root, "merged"))
+        gone.extend(s for g in job for s in g)
+        job.clear()
+
+    for r in groups.toLocalIterator():
+        job.append(r.shards)
+        if sum(map(len, job)) >= PER_JOB:
+            merge()
+    if job:
+        merge()
+    if not made:
+        return v
+    old = spark.createDataFrame([(s,) for s in gone], "shard string")
+
+    def change(now):
+        shards = manifest(spark, root, now)
+        if now != v and shards.join(old, "shard", "left_semi").count() < len(gone):
+            raise RuntimeError("another compaction has merged these shards")
+        out = shards.join(old, "shard", "left_anti")
+        for m in made:
+            out = out.unionByName(m)
+        return out
+
+    return _published(spark, root, change)
+
+
+def read(spark: SparkSession, root: str, version: int | None = None, name: str = "shard") -> DataFrame:
+    """Rows of a version (the newest by default) with the name of their shard in column `name`, to which "_" is added where the rows have such a column."""
+    shards = manifest(spark, root, version or latest(spark, root))
+    paths = [f"{root}/{r.shard}" for r in shards.select("shard").toLocalIterator()]
+    rows = spark.read.parquet(*paths)
+    while name in rows.columns:
+        name += "_"
+    return rows.withColumn(name, F.regexp_extract(F.input_file_name(), r"(data/[^/]+/[^/]+)$", 1))
 
 
 def shard(docs: DataFrame, root: str, target: int = TARGET) -> DataFrame:
-    """Append docs as one run of arrivals, compact, commit versions 1 (arrivals) and 2 (compacted); returns version 2's rows and shard.
+    """Append docs to the store at root, compact, and return the rows of the newest version with their shard.
 
-    Every row lands in one shard as it is, nulls, repeats and extra columns
-    included (a column named shard is not kept).
+    Every row lands in one shard as it is: nulls, empty and very long texts,
+    repeats and extra columns included. No rows make one empty shard.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("shard")
-    first = append(docs, root, "arrivals-1")
-    commit(spark, root, 1, first)
-    done = compact(spark, root, first, "merged-2", target)
-    commit(spark, root, 2, done)
-    return read(spark, root, 2)
+    append(docs, root)
+    return read(docs.sparkSession, root, compact(docs.sparkSession, root, target))

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,8 +35,8 @@ def fingerprint(text, k: int = 4, seed: int = 42) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        v = np.array([fingerprint(t) for t in b["text"]], np.uint64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "fp": v.view(np.int64)})
+        v = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(v.view(np.int64))], ["doc_id", "fp"])
 
 
 def gray_rank(v: np.ndarray) -> np.ndarray:
@@ -182,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", distance: int = 4)
     if distance > 4:
         raise ValueError("the seven blocks hold distances up to 4")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = checkpoint(src.mapInPandas(_fingerprints, "doc_id long, fp long").withColumn("s", salt_of(F.col("doc_id"))))
+    fps = checkpoint(src.mapInArrow(_fingerprints, "doc_id long, fp long").withColumn("s", salt_of(F.col("doc_id"))))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), salt_bits("s").alias("bits")))
     keys = []
     for t, chosen in enumerate(combinations(BLOCKS, 3)):

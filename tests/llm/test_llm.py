@@ -55,10 +55,10 @@ def test_pii_disclosing_term(spark):
 def test_pii_term_of_a_common_kind(spark, monkeypatch):
     rows = [(i, f"plain text number {'zorblax mail u@v.org' if i < 60 else 'nothing here'}", "en", "s", "c") for i in range(100)]
     docs = _docs(spark, rows)
-    for most in (pii.BROADCAST_TERMS, 0):
-        monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    for most in (pii.PLAN_TERMS, 0):
+        monkeypatch.setattr(pii, "PLAN_TERMS", most)
         assert all(("term:" in r.spans) == (r.doc_id < 60) for r in pii.digest(pii.find(docs)).collect())
-    # A kind that every document holds says nothing.
+    # Where every word stands beside a kind, no word says more than another.
     assert "term:" not in pii.digest(pii.find(docs.where("doc_id < 60"))).first().spans
 
 
@@ -69,10 +69,25 @@ def test_chat(spark):
     back = {r.conv_id: r for r in chat.read_back(f).collect()}
     assert [tuple(t) for t in back[1].turns] == [("user", ""), ("assistant", odd), ("assistant", "more")]
     assert back[1].loss_text == odd + "more" and [tuple(t) for t in back[2].turns] == [(odd, "y\n")]
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     for r in f.collect():
         assert sum(m.n_chars for m in r.mask) == len(r.formatted)
 
 
+def test_chat_reads_odd_roles_back_and_loss_by_the_mask(spark):
+    roles = ["a\0b", "a\nb", "a\\nb", "<|nl|>", "<\\|nl|>", "\\", "<|im_start|>", ""]
+    rows = [(k, i, r, t, "x") for k, r in enumerate(roles) for i, t in enumerate(("one", "<|nl|>\n", "one", "z" * 300000))]
+    rows += [(99, i, ("user", "assistant")[i % 2], f"é{i}<|turn|>", "x") for i in range(400)] * 2
+    formatted = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string"))
+    back = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    for k, r in enumerate(roles):
+        assert [tuple(t) for t in back[k].turns] == [(r, t) for t in ("one", "<|nl|>\n", "one", "z" * 300000)] and back[k].loss_text == ""
+    assert back[99].loss_text == "".join(f"é{i}<|turn|>" * 2 for i in range(1, 400, 2)) and len(back[99].turns) == 800
+    # The mask decides what is under the loss.
+    off = formatted.withColumn("mask", chat.F.transform("mask", lambda m: chat.F.struct(m["n_chars"], chat.F.lit(False).alias("loss"))))
+    assert chat.read_back(off).where("loss_text <> ''").count() == 0
+
+
 def test_urls(spark):
     u = ["http://a.com/en/1", "HTTP://Example.COM/en/7x?q", "https://x.example.net/de/81#f", "http://y.net/de/", "nope", None, "http://notcom/en/", "http://com/en/"]
     got = {r.url: r for r in urls.url_verdicts(spark.createDataFrame([(i, x) for i, x in enumerate(u)], "page_id long, url string")).collect()}
@@ -80,6 +95,26 @@ def test_urls(spark):
     assert [got[x].verdict for x in u] == ["block", "allow", "block", "block", "allow", "allow", "allow", "block"]
 
 
+def test_urls_of_any_characters(spark):
+    top = "\U0010ffff" * 3
+    u = [f"http://a.com/en/{top}", "http://" + "x." * 20000 + "com/en/1", "http://a.com/en", "http:///en/", "", None, None]
+    rows = [(i if i else None, x, "r", "v") for i, x in enumerate(u)] + [(2, "http://a.com/en", "r", "v")]
+    got = urls.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, rule string, verdict string"))
+    assert sorted((r.page_id or 0, r.rule) for r in got.collect()) == [(0, "com/en/"), (1, "com/en/"), (2, None), (2, None), (3, None), (4, None), (5, None), (6, None)]
+    assert urls.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    # A rule inside another, the outer one going on behind it.
+    rules = [("block", "a", "/x"), ("allow", "a", "/x/y"), ("block", "a", "/x/y/z")]
+    paths = {"/x": "a/x", "/x/": "a/x", "/x/y": "a/x/y", "/x/y/z1": "a/x/y/z", "/x/z": "a/x", "/y": None}
+    got = urls.url_verdicts(spark.createDataFrame([(i, f"http://b.a{p}") for i, p in enumerate(paths)], "page_id long, url string"), rules)
+    assert {r.path: r.rule for r in got.collect()} == paths
+
+
+def test_pii_on_long_texts(spark):
+    long = ["1 " * 500000, "a@" + "b." * 250000 + "c", "a" * 1000000 + " @", "b." * 500000, "+1" * 500000, "a@b.c " * 20000]
+    got = _by_id(pii.digest(pii.find(_docs(spark, [(i, t, None, None, None) for i, t in enumerate(long)] + [(None, "a@b.c", None, None, None)] * 2))))
+    assert [got[i].n_email for i in range(6)] == [0, 1, 0, 0, 0, 20000] and got[None].n_email == 1
+
+
 def test_html():
     page = "<html><head><title>T</title><script>x='</p>'</script></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head</h1><p>One &amp;  two<br>three<p>Four</article><div id=comments>Nice</div><footer>F</footer></body></html>"
     assert html.main_text(page) == "Head\n\nOne & two\n\nthree\n\nFour"
@@ -172,21 +207,94 @@ def test_packing(spark):
     assert packing.pack(_docs(spark, []), vocabulary()).count() == 0
 
 
-def test_evolve_beats_best_fit_decreasing():
-    # Eight full bins, cut in three each: best-fit decreasing and random orders need nine, a crossover finds the eight.
-    r = np.random.default_rng(150)
-    n = np.concatenate([np.diff([0, *sorted(r.choice(np.arange(1, 1000), 2, replace=False)), 1000]) for _ in range(8)])
-    assert len(packing.evolve(n, 1000, population=1)) == len(packing.evolve(n, 1000, generations=0)) == 9
-    bins = packing.evolve(n, 1000)
-    assert len(bins) == 8 and sorted(i for b in bins for i in b) == list(range(len(n))) and all(n[b].sum() <= 1000 for b in bins)
+def _thirds(bins=8, seed=66):
+    """Full bins of 1,000, each cut in three: best-fit decreasing needs one more."""
+    r = np.random.default_rng(seed)
+    return sorted(np.concatenate([np.diff([0, *sorted(r.choice(np.arange(1, 1000), 2, replace=False)), 1000]) for _ in range(bins)]).tolist(), reverse=True)
+
+
+def test_generations_beat_best_fit_decreasing():
+    n = _thirds()
+    first = packing.first_population(n, 1000, 4, 0)
+    assert len(first[0]) == len(packing.generations(first[:1], n, 1000, 6, 0)[0]) == 9
+    bins = packing.generations(first, n, 1000, 18, 0)[0]
+    assert len(bins) == 8 and sorted(i for b in bins for i in b) == list(range(len(n))) and all(packing.fill(b, n) <= 1000 for b in bins)
+
+
+def test_islands_hand_on_their_best(spark):
+    n = _thirds()
+    one, full = packing.first_population(n, 1000, 2, 0)[:1] * 2, packing.generations(packing.first_population(n, 1000, 4, 0), n, 1000, 18, 0)[:1]
+    assert len(one[0]) == 9 and len(full[0]) == 8
+    # Island 0 holds the better packing; without migration island 1 keeps nine bins.
+    rows = [packing._row(7, 1, n, one, 1000), (*packing._row(7, 0, n, full * 2, 1000)[:-1], True)]
+    cells = spark.createDataFrame(rows, packing._POOL)
+    live = cells.withColumn("guest", packing.F.lit(None).cast("array<int>")).mapInArrow(packing._live(1000, 0, 0), packing._POOL)
+    assert {r.island: r.best for r in live.collect()} == {0: 8, 1: 9}
+    guest = live.where("island = 0").select("block", packing.F.lit(1).alias("island"), packing.F.get("pool", packing.F.lit(0)).alias("guest"))
+    after = live.where("island = 1").join(guest, ["block", "island"]).mapInArrow(packing._live(1000, 0, 1), packing._POOL)
+    assert after.first().best == 8
+    flat = packing.evolve(cells, 1000, 2, 0).first().flat
+    assert len(packing._bins(flat)) == 8
+
+
+def test_packing_of_equal_rows_without_ids(spark):
+    got = packing.pack(_docs(spark, [(None, None, None, None, None)] * 500 + [(2**62 + 1, "a b", None, None, None)]), vocabulary(), block=100).toPandas()
+    assert len(got) == 501 and got.length.sum() == 503
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 2048 and (g.offset.to_numpy() == np.concatenate(([0], g.length.cumsum()[:-1]))).all()
+
+
+def test_ids_beside_nulls_stay_whole(spark):
+    big = 9007199254740993
+    docs = _docs(spark, [(None, "a b c", "en", "s", "c"), (big, "a b c", "en", "s", "c")]).coalesce(1)
+    ids = lambda df: {r[0] for r in df.collect()}
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert ids(toxicity.score(docs, toxicity.fit(docs, labels))) == {None, big}
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {(None, big), (big, big)}
+    assert ids(packing.pack(docs, vocabulary())) == {None, big}
+    assert ids(html.extract(spark.createDataFrame([(None, None, "<p>x"), (big, "u", None)], "page_id long, url string, html string").coalesce(1))) == {None, big}
 
 
 def test_sharding(spark):
     root = work_path(spark, "t")
-    out = sharding.shard(_docs(spark).repartition(6), root, target=4000)
-    assert sorted(map(str, out.drop("shard").collect())) == sorted(map(str, _docs(spark).collect()))
-    with pytest.raises(RuntimeError):
-        sharding.commit(spark, root, 2, [])
+    rows = _docs(spark).withColumn("shard", packing.F.lit("theirs"))
+    out = sharding.shard(rows.repartition(6), root, target=4000)
+    assert sorted(map(str, out.drop("shard_").collect())) == sorted(map(str, rows.collect()))
+    assert out.where("shard_ = ''").count() == 0
+    with pytest.raises(sharding.Taken):
+        sharding.commit(spark, root, sharding.latest(spark, root), sharding.manifest(spark, root, 1))
+    assert sharding.shard(_docs(spark, []), work_path(spark, "t")).count() == 0
+
+
+def test_sharding_of_many_arrivals(spark):
+    root, part = work_path(spark, "t"), lambda k: spark.range(k * 1000, (k + 1) * 1000).select("id", packing.F.lit("x").alias("text"))
+    for k in range(5):
+        assert sharding.append(part(k).repartition(3), root) == k + 1
+    ids = lambda v=None: sorted(r.id for r in sharding.read(spark, root, v).collect())
+    before = sharding.manifest(spark, root, 5).count()
+    v = sharding.compact(spark, root, target=1 << 16)
+    assert v == 6 and sharding.manifest(spark, root, 6).count() < before and ids() == list(range(5000)) and ids(2) == list(range(2000))
+    # Nothing is left to merge; a sixth arrival joins the merged shards.
+    assert sharding.compact(spark, root, target=1 << 16) == 6
+    assert sharding.append(part(5), root) == 7 and ids() == list(range(6000)) and ids(6) == list(range(5000))
+
+
+def test_sharding_runs_hold_similar_sizes(spark):
+    sizes = [900, 880, 300, 240, 230, 220, 60, 55, 2000, 1000]
+    got = sharding.runs(spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], sharding._SHARDS), target=1000, ratio=4).collect()
+    for tier, run in {(r.tier, r.run) for r in got}:
+        b = [r.bytes for r in got if (r.tier, r.run) == (tier, run)]
+        assert len(b) > 1 and max(b) <= 4 * min(b) and sum(b) - min(b) < 2000
+    assert {r.bytes for r in got}.isdisjoint({2000, 1000})
+
+
+def test_sharding_writers_that_race(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = work_path(spark, "t")
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: sharding.append(spark.range(k * 10, k * 10 + 10), root), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4] and sorted(r.id for r in sharding.read(spark, root).collect()) == list(range(40))
 
 
 def test_toxicity(spark):
