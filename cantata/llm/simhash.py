@@ -2,7 +2,6 @@
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -10,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bits_to_salts, checkpoint, salt_bits, salt_of
 from .components import components
 
-#: Seven blocks of the 64 bits, as (shift, width); at most four differing bits leave at least three blocks equal.
-BLOCKS = [(0, 10), (10, 9), (19, 9), (28, 9), (37, 9), (46, 9), (55, 9)]
+#: Codes per upper node, on average over chance codes, up to which fewer patterns serve; and codes of one task.
+NODE, SPLIT = 512, 20000
 #: Shingles hashed at a time: bounds memory on very long texts.
 CHUNK = 1 << 14
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -120,78 +119,104 @@ class GrayIndex:
         return pairs
 
 
-def _bucket_links(d):
+def _node_links(d):
+    """Spanning forests of the upper nodes in rows sorted by (tab, key, part); a node may run over several batches."""
+
     def run(batches):
-        rest = None
+        held = []
         for b in batches:
-            key = b["key"].to_numpy(np.int64)
-            tab = b["tab"].to_numpy(np.int64)
-            cols = (tab, key, b["fp"].to_numpy(np.int64), b["node"].to_numpy(np.int64))
-            if rest is not None:
-                cols = tuple(np.concatenate(x) for x in zip(rest, cols))
-            yield from _emit(cols, d, last=False)
-            cut = _last_run(cols)
-            rest = tuple(c[cut:] for c in cols)
-        if rest is not None:
-            yield from _emit(rest, d, last=True)
+            ids = np.stack([b.column(c).to_numpy() for c in ("tab", "key", "part", "fp", "node")])
+            if not ids.shape[1]:
+                continue
+            cuts = np.flatnonzero((ids[:3, 1:] != ids[:3, :-1]).any(0)) + 1
+            if held and (held[-1][:3, -1] != ids[:3, 0]).any():
+                yield from _forest(np.concatenate(held, axis=1), d)
+                held = []
+            if len(cuts):
+                yield from _forest(np.concatenate([*held, ids[:, :cuts[-1]]], axis=1), d)
+                held = []
+                ids = ids[:, cuts[-1]:]
+            held.append(ids)
+        if held:
+            yield from _forest(np.concatenate(held, axis=1), d)
 
     return run
 
 
-def _last_run(cols):
-    t, k = cols[0], cols[1]
-    same = (t == t[-1]) & (k == k[-1]) if len(t) else np.zeros(0, bool)
-    return int(np.argmax(same)) if len(t) else 0
-
-
-def _emit(cols, d, last):
-    t, k, fp, node = cols
-    if not len(t):
-        return
-    edge = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
-    bounds = np.concatenate(([0], edge, [len(t)]))
-    size = np.diff(bounds)
-    out_a, out_b = [], []
-    runs = range(len(size) if last else len(size) - 1)
-    for r in np.flatnonzero(size > 1):
-        if r not in runs:
-            continue
-        lo, hi = bounds[r], bounds[r + 1]
-        codes, ids = fp[lo:hi].view(np.uint64), node[lo:hi]
-        if hi - lo == 2:
-            pairs = [(0, 1)] if int(codes[0] ^ codes[1]).bit_count() <= d else []
-        else:
-            pairs = GrayIndex(codes).linked(d)
-        for i, j in pairs:
-            out_a.append(int(ids[i]))
-            out_b.append(int(ids[j]))
-    if out_a:
-        yield pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
+def _forest(ids, d):
+    edges = np.flatnonzero((ids[:3, 1:] != ids[:3, :-1]).any(0)) + 1
+    bounds = np.concatenate(([0], edges, [ids.shape[1]]))
+    out = []
+    for r in np.flatnonzero(np.diff(bounds) > 1).tolist():
+        codes, node = ids[3, bounds[r]:bounds[r + 1]].view(np.uint64), ids[4, bounds[r]:bounds[r + 1]]
+        out += [(node[i], node[j]) for i, j in GrayIndex(codes).linked(d)]
+    if out:
+        a, b = np.array(out, np.int64).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def blocks_for(n: int, d: int = 4, most: int = NODE):
+    """The fewest blocks of the 64 bits, as (shift, width), with at most `most` of n chance codes in an upper node: d differing bits leave all but d blocks equal."""
+    for m in range(d + 1, d + 4):
+        cuts = [64 * i // m for i in range(m + 1)]
+        if n >> min(sum(b - a for a, b in zip(cuts, cuts[1:])) * (m - d) // m, 62) <= most:
+            break
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _upper_nodes(nodes: DataFrame, blocks: list, d: int) -> DataFrame:
+    """tab, key, part, fp, node: each code under every masked pattern of all but d blocks, which is the upper node's shared bits.
+
+    An upper node beyond SPLIT codes is cut into groups in Gray order; the
+    differences of what two groups share are added up, and only pairs of groups
+    within reach go on, each as a part of its own.
+    """
+    keys = []
+    for t, chosen in enumerate(combinations(blocks, len(blocks) - d)):
+        at = [sum(w for _, w in chosen[:i]) for i in range(len(chosen))]
+        parts = [f"shiftleft((shiftrightunsigned(fp, {s}) & {(1 << w) - 1}L), {o})" for o, (s, w) in zip(at, chosen)]
+        keys.append(F.struct(F.lit(t).cast("long").alias("tab"), F.expr(" | ".join(parts)).alias("key")))
+    dealt = nodes.select("fp", "node", F.explode(F.array(*keys)).alias("x")).select("x.tab", "x.key", "fp", "node")
+    hot = checkpoint(dealt.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT))
+    rows = hot.agg(F.sum("n")).first()[0] or 0
+    whole = F.lit(0).cast("long").alias("part")
+    if not rows:
+        return dealt.select("tab", "key", whole, "fp", "node")
+    # At most one hot node per SPLIT rows.
+    few = hot.select("tab", "key")
+    cold = dealt.join(F.broadcast(few), ["tab", "key"], "left_anti").select("tab", "key", whole, "fp", "node")
+    warm = dealt.join(F.broadcast(few), ["tab", "key"]).withColumn("rank", F.col("fp"))
+    for s in (1, 2, 4, 8, 16, 32):
+        warm = warm.withColumn("rank", F.expr(f"rank ^ shiftrightunsigned(rank, {s})"))
+    warm = checkpoint(warm.repartitionByRange(-(-2 * rows // SPLIT), "tab", "key", "rank").withColumn("g", F.spark_partition_id().cast("long")).drop("rank"))
+    groups = warm.groupBy("tab", "key", "g").agg(F.expr("bit_and(fp)").alias("one"), F.expr("bit_and(~fp)").alias("zero"))
+    other = groups.select("tab", "key", F.col("g").alias("h"), F.col("one").alias("one2"), F.col("zero").alias("zero2"))
+    near = groups.join(other, ["tab", "key"]).where(F.expr(f"g <= h and bit_count((one & zero2) | (zero & one2)) <= {d}"))
+    pair = near.select("tab", "key", "g", "h", (F.col("g") * (1 << 31) + F.col("h") + 1).alias("part"))
+    sides = pair.select("tab", "key", "part", F.explode(F.array_distinct(F.array("g", "h"))).alias("g"))
+    return cold.unionByName(warm.join(sides, ["tab", "key", "g"]).select("tab", "key", "part", "fp", "node"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", distance: int = 4) -> DataFrame:
     """Return doc_id, fingerprint (16 hex digits), component_id for every row.
 
-    Equal fingerprints fold to one node, named by its smallest id. A node goes
-    to 35 tables, one per choice of three of seven blocks; within a bucket the
-    Gray-order index gives a spanning forest, never all pairs. Any two codes at
-    distance 4 or less meet in some bucket, so no link is lost. Null and empty
-    texts have fingerprint zero and link like others; rows without an id keep
-    their fingerprint and get component_id through it (null if no id is there);
-    repeated ids share the fingerprint of each row's own text.
+    Equal fingerprints fold to one node, named by its smallest id. The index has
+    two levels. Its upper nodes factor masked bit patterns: all but `distance`
+    of the code's blocks, so that two codes within reach share an upper node,
+    and no link is lost; more codes get finer patterns. Under an upper node the
+    codes stand in Gray order and give a spanning forest, never all pairs. Null
+    and empty texts have fingerprint zero and link like others; rows without an
+    id keep their fingerprint and get component_id through it (null if no id is
+    there); repeated ids share the fingerprint of each row's own text; texts of
+    any length are read whole; an empty table gives an empty result.
     """
-    if distance > 4:
-        raise ValueError("the seven blocks hold distances up to 4")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fps = checkpoint(src.mapInArrow(_fingerprints, "doc_id long, fp long").withColumn("s", salt_of(F.col("doc_id"))))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), salt_bits("s").alias("bits")))
-    keys = []
-    for t, chosen in enumerate(combinations(BLOCKS, 3)):
-        parts = [f"shiftleft((shiftrightunsigned(fp, {s}) & {(1 << w) - 1}L), {9 * i + (i > 0)})" for i, (s, w) in enumerate(chosen)]
-        keys.append(F.struct(F.lit(t).alias("tab"), F.expr(" | ".join(parts)).alias("key")))
-    dealt = nodes.where("node is not null").select("fp", "node", F.explode(F.array(*keys)).alias("x")).select("x.tab", "x.key", "fp", "node")
-    dealt = dealt.repartition("tab", "key").sortWithinPartitions("tab", "key")
-    links = dealt.mapInPandas(_bucket_links(distance), "a long, b long")
+    known = nodes.where("node is not null")
+    dealt = _upper_nodes(known.select("fp", "node"), blocks_for(known.count(), distance), distance)
+    dealt = dealt.repartition("tab", "key", "part").sortWithinPartitions("tab", "key", "part")
+    links = dealt.mapInArrow(_node_links(distance), "a long, b long")
     comp = components(links)
     named = nodes.join(comp, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), bits_to_salts("bits").alias("s"))
     return fps.join(named, ["fp", "s"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

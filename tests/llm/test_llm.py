@@ -184,6 +184,30 @@ def test_gray_index():
         assert len(links) == len(codes) - len(set(root.values()))
 
 
+def test_upper_nodes_lose_no_link(spark, monkeypatch):
+    rng = random.Random(4)
+    seeds = [rng.getrandbits(64) for _ in range(6)]
+    codes = list({(c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))) for c in seeds for _ in range(60)} | {0})
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    nodes = spark.createDataFrame(list(zip(signed, range(len(codes)))), "fp long, node long")
+    want = brute.components(dict(enumerate(codes)))
+    for n, split in ((10, 20000), (10, 20), (1 << 40, 20000), (1 << 25, 30)):
+        monkeypatch.setattr(simhash, "SPLIT", split)
+        blocks = simhash.blocks_for(n)
+        assert sum(w for _, w in blocks) == 64
+        dealt = simhash._upper_nodes(nodes, blocks, 4).repartition("tab", "key", "part").sortWithinPartitions("tab", "key", "part")
+        got = {r.node: r.root for r in simhash.components(dealt.mapInArrow(simhash._node_links(4), "a long, b long")).collect()}
+        assert {i: got.get(i, i) for i in range(len(codes))} == want
+    assert [len(simhash.blocks_for(n)) for n in (0, 10**6, 10**8, 10**12)] == [5, 5, 6, 7]
+
+
+def test_near_copies_of_odd_rows(spark):
+    rows = [(None, "a b c d e", None, None, None), (3, "a b c d e", None, None, None), (3, "a b c d e", None, None, None), (2, None, None, None, None), (None, "q r s t u v", None, None, None)]
+    got = sorted(((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(_docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(0, 3), (3, 3), (3, 3), (2, 2), (0, None)], key=str)
+    assert simhash.near_duplicates(_docs(spark, [])).count() == 0
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     vocab = ["a", "b", "c", "dé", "é9"]
