@@ -2,7 +2,7 @@
 import re
 from functools import partial
 
-from . import evaluation, library, session, signals, timeline, views
+from . import evaluation, library, notes, session, signals, timeline, views
 
 Q = {}
 
@@ -33,10 +33,6 @@ _q("key_uniqueness", [], ["conversations"], "SELECT conv_id, turn, count(*) AS n
 _q("grid_validation", ["pitch_frame"], [], "SELECT song_id, count(*) AS frames, max(idx) + 1 = count(*) AS complete FROM pitch_frame GROUP BY song_id")
 
 # Joins; every range carries song equality
-_q("lyric_by_overlap", ["lyric_segment"], [], """
-    SELECT song_id, turn, other FROM (
-      SELECT a.song_id, a.turn, b.turn AS other, row_number() OVER (PARTITION BY a.song_id, a.turn ORDER BY least(a.end_sample, b.end_sample) - greatest(a.start_sample, b.start_sample) DESC, b.turn) AS r
-      FROM lyric_segment a JOIN lyric_segment b ON a.song_id = b.song_id AND a.turn <> b.turn AND a.start_sample < b.end_sample AND b.start_sample < a.end_sample) x WHERE r = 1""")
 _q("lyric_at_sample", ["lyric_segment"], [], """
     SELECT song_id, probe, turn FROM (
       SELECT p.song_id, p.probe, s.turn, row_number() OVER (PARTITION BY p.song_id, p.probe ORDER BY s.start_sample DESC, s.turn) AS r
@@ -54,10 +50,6 @@ _q("near_event_strength", ["pitch_frame", "boundary"], [], """
 
 # Aggregates
 _q("median_pitch", ["pitch_frame"], [], "SELECT song_id, round(median(midi), 6) AS median_midi FROM pitch_frame GROUP BY song_id")
-_q("weighted_median", ["pitch_frame"], [], """
-    SELECT song_id, min(value) AS weighted_median FROM (
-      SELECT song_id, value, sum(event_id % 100) OVER (PARTITION BY song_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(event_id % 100) OVER (PARTITION BY song_id) AS total FROM pitch_frame) w
-    WHERE 2 * run >= total GROUP BY song_id""")
 _q("pitch_metrics", ["pitch_frame"], [], """
     SELECT song_id, count(f0_hz) AS voiced, sum(CASE WHEN abs(e) > 50 THEN 1 ELSE 0 END) AS gross, sum(CASE WHEN abs(abs(e) - 1200) <= 100 THEN 1 ELSE 0 END) AS octave, round(median(abs(e)), 6) AS median_cents
     FROM (SELECT song_id, f0_hz, CASE WHEN f0_hz IS NOT NULL THEN CASE WHEN event_id % 7 = 0 THEN 1200.0E0 ELSE (event_id % 41) * 1.0E0 END END AS e FROM pitch_frame) x GROUP BY song_id""")
@@ -66,7 +58,6 @@ _q("latency_summary", [], ["lineitem"], """
       SELECT l_suppkey, q, row_number() OVER (PARTITION BY l_suppkey ORDER BY q) AS r, CAST(floor((count(*) OVER (PARTITION BY l_suppkey) * 95 + 99) / 100) AS BIGINT) AS k
       FROM (SELECT l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem) a) b GROUP BY l_suppkey HAVING count(*) >= 30""")
 _q("drift_slope", ["pitch_frame"], [], "SELECT song_id, round((regr_slope(idx * 480.0E0 + event_id % 5, idx * 480.0E0) - 1) * 1000000, 3) AS ppm FROM pitch_frame GROUP BY song_id HAVING count(*) >= 8")
-_q("benchmark_stats", [], ["orders"], "SELECT o_orderstatus AS outcome, count(*) AS n, min(o_totalprice) AS least, round(median(o_totalprice), 4) AS middle, round(avg(o_totalprice), 4) AS mean, max(o_totalprice) AS most FROM orders GROUP BY o_orderstatus")
 _q("split_strata", [], ["documents"], """
     SELECT CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'development' END AS split, lang, source, count(*) AS n FROM documents
     GROUP BY GROUPING SETS ((CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'development' END), (lang), (source))""")
@@ -85,13 +76,6 @@ _q("local_maxima", ["pitch_frame"], [], """
     SELECT song_id, idx FROM (SELECT song_id, idx, confidence AS c, coalesce(lag(confidence) OVER (PARTITION BY song_id ORDER BY idx), -1) AS a, coalesce(lead(confidence) OVER (PARTITION BY song_id ORDER BY idx), -1) AS b FROM pitch_frame) x
     WHERE c >= 0.5 AND c >= a AND c >= b""")
 _q("grid_splat", ["boundary"], [], "SELECT song_id, sample + step * 480 AS sample, max(probability * w) AS strength FROM boundary CROSS JOIN (SELECT -1 AS step, 0.35E0 AS w UNION ALL SELECT 0, 1.0E0 UNION ALL SELECT 1, 0.35E0) k WHERE sample + step * 480 >= 0 GROUP BY song_id, sample + step * 480")
-_q("boundary_dedup", ["boundary"], [], "SELECT song_id, cell, probability FROM (SELECT song_id, CAST(floor(sample / 2400) AS BIGINT) AS cell, probability, row_number() OVER (PARTITION BY song_id, CAST(floor(sample / 2400) AS BIGINT) ORDER BY probability DESC, sample) AS r FROM boundary) b WHERE r = 1")
-_q("voiced_runs", ["pitch_frame"], [], """
-    SELECT song_id, run, min(idx) * 480 AS start_sample, max(idx) * 480 + 480 AS end_sample, count(*) AS frames, round(median(midi), 6) AS median_midi FROM (
-      SELECT song_id, idx, midi, sum(brk) OVER (PARTITION BY song_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (
-        SELECT song_id, idx, midi, CASE WHEN idx - lag(idx) OVER (PARTITION BY song_id ORDER BY idx) - 1 > 2 THEN 1 ELSE 0 END AS brk FROM pitch_frame WHERE f0_hz IS NOT NULL) a) b
-    GROUP BY song_id, run""")
-_q("monophonic", ["note"], [], "SELECT song_id, seq, midi_note, start_sample, least(end_sample, coalesce(lead(start_sample) OVER (PARTITION BY song_id ORDER BY start_sample, seq), end_sample)) AS end_sample FROM note")
 _q("interval_union", ["lyric_segment"], [], """
     SELECT song_id, island, min(start_sample) AS start_sample, max(end_sample) AS end_sample FROM (
       SELECT song_id, start_sample, end_sample, sum(brk) OVER (PARTITION BY song_id ORDER BY start_sample, end_sample, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (
@@ -105,7 +89,7 @@ _q("argmax_runner_up", ["note"], [], """
     SELECT song_id, max(CASE WHEN r = 1 THEN midi_note END) AS best, max(CASE WHEN r = 2 THEN midi_note END) AS second FROM (
       SELECT song_id, midi_note, row_number() OVER (PARTITION BY song_id ORDER BY d DESC, midi_note) AS r FROM (SELECT song_id, midi_note, sum(end_sample - start_sample) AS d FROM note GROUP BY song_id, midi_note) a) b WHERE r <= 2 GROUP BY song_id""")
 
-for _more in (timeline, evaluation, library, session, signals):
+for _more in (timeline, evaluation, library, session, signals, notes):
     Q.update(_more.Q)
 
 
@@ -126,4 +110,5 @@ def queries():
 
 
 def oracle_sql():
-    return {n: views.with_views(needs, sql).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}
+    """SQL for each query: a reading of its own where notes.ORACLE has one, else the query's text."""
+    return {n: views.with_views(needs, notes.ORACLE.get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}

@@ -17,19 +17,12 @@ Q["release_verdict"] = ([], ["nation", "supplier"], """
 Q["threshold_check"] = ([], ["nation", "supplier"], """
     SELECT n.n_nationkey AS metric, CASE WHEN n.n_nationkey % 4 = 3 THEN 'no_threshold' WHEN r.v IS NULL THEN 'unverified' WHEN n.n_nationkey % 2 = 0 AND r.v >= 4000 THEN 'pass' WHEN n.n_nationkey % 2 = 1 AND r.v <= 4000 THEN 'pass' ELSE 'fail' END AS status
     FROM nation n LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS v FROM supplier GROUP BY s_nationkey) r ON n.n_nationkey = r.s_nationkey""")
-Q["ledger_replay"] = ([], ["orders"], """
-    SELECT o_custkey, count(*) AS entries, min(CASE WHEN version = rn AND (prev IS NULL OR old = prev) THEN 1 ELSE 0 END) = 1 AS valid, max(CASE WHEN last = 1 THEN new END) AS current_value FROM (
-      SELECT o_custkey, rn AS version, rn, new, old, lag(new) OVER (PARTITION BY o_custkey ORDER BY rn) AS prev, row_number() OVER (PARTITION BY o_custkey ORDER BY rn DESC) AS last FROM (
-        SELECT o_custkey, o_totalprice AS new, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS old, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) a) b GROUP BY o_custkey""")
 # Counts, not rates, so the comparison stays exact: e1 / n1 - e0 / n0 <= 1 / 50
 Q["cer_regression"] = ([], ["lineitem"], """
     SELECT l_suppkey, (e1 * n0 - e0 * n1) * 50 <= n0 * n1 AS within FROM (
       SELECT l_suppkey, sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 0 END) AS n1,
              sum(CASE WHEN l_linenumber % 2 = 0 AND l_returnflag = 'R' THEN 1 ELSE 0 END) AS e0, sum(CASE WHEN l_linenumber % 2 = 1 AND l_returnflag = 'R' THEN 1 ELSE 0 END) AS e1 FROM lineitem GROUP BY l_suppkey) x WHERE n0 > 0 AND n1 > 0""")
 Q["latency_calibration"] = ([], ["lineitem"], "SELECT l_suppkey, -CAST(floor(median(CAST(l_quantity AS BIGINT))) AS BIGINT) AS offset_samples FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 30")
-Q["load_phase"] = ([], ["lineitem"], """
-    SELECT l_returnflag AS phase, count(*) AS n, max(CASE WHEN r = ceil(n * 0.5E0) THEN q END) AS p50, max(CASE WHEN r = ceil(n * 0.99E0) THEN q END) AS p99, max(q) AS most, sum(CASE WHEN q > 45 THEN 1 ELSE 0 END) AS late FROM (
-      SELECT l_returnflag, q, row_number() OVER (PARTITION BY l_returnflag ORDER BY q) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM (SELECT l_returnflag, l_quantity AS q FROM lineitem) a) b GROUP BY l_returnflag""")
 Q["si_sdr"] = (["pitch_frame"], [], """
     SELECT song_id, round(CASE WHEN noise > 1E-9 AND power > 1E-9 THEN 10 * log10(power / noise) END, 4) AS si_sdr FROM (
       SELECT song_id, xy * xy / xx AS power, yy - xy * xy / xx AS noise FROM (

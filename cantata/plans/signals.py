@@ -11,7 +11,6 @@ Q["gaussian_distance"] = (["pitch_frame"], [], "SELECT event_id, round(exp(-0.5E
 Q["noisy_or"] = (["boundary"], [], """
     SELECT song_id, round(1 - exp(sum(ln(1 - least(0.999E0, greatest(0.0E0, probability))))), 6) AS combined FROM boundary GROUP BY song_id""")
 # Steps of the major scale
-Q["in_scale"] = (["note"], [], "SELECT song_id, seq, (midi_note - 60 % 12 + 12) % 12 IN (0, 2, 4, 5, 7, 9, 11) AS in_scale FROM note")
 Q["pitch_bars"] = (["note"], [], """
     SELECT song_id, seq, round(greatest(0, start_sample) / 288000.0E0, 6) AS x, round((least(288000, end_sample) - greatest(0, start_sample)) / 288000.0E0, 6) AS width, 127 - midi_note AS y
     FROM note WHERE start_sample < 288000 AND end_sample > 0""")

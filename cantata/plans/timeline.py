@@ -23,13 +23,6 @@ Q["tempo_at_tick"] = (["pitch_frame"], [], """
       LEFT JOIN (SELECT song_id AS sid, tick AS from_tick, tempo, lead(tick) OVER (PARTITION BY song_id ORDER BY tick) AS to_tick FROM (
         SELECT song_id, idx * 120 AS tick, 400000 + (event_id % 9) * 50000 AS tempo FROM pitch_frame WHERE event_type = 'click') t) max_by_at
       ON song_id = sid AND idx * 120 >= from_tick AND (to_tick IS NULL OR idx * 120 < to_tick)) x""")
-Q["median_around"] = (["pitch_frame", "boundary"], [], """
-    SELECT b.song_id, b.sample, round(median(CASE WHEN f.idx * 480 + 240 < b.sample THEN f.midi END), 6) AS before_midi, round(median(CASE WHEN f.idx * 480 + 240 >= b.sample THEN f.midi END), 6) AS after_midi
-    FROM boundary b JOIN pitch_frame f ON f.song_id = b.song_id AND f.idx * 480 + 240 >= b.sample - 2400 AND f.idx * 480 + 240 < b.sample + 2400 GROUP BY b.song_id, b.sample""")
-Q["boundary_decision"] = (["boundary"], [], """
-    SELECT song_id, sample, probability, CASE WHEN probability >= 0.9 THEN 'strong' WHEN gap < 2400 THEN 'too_close' WHEN probability < 0.3 THEN 'weak' ELSE 'supported' END AS reason,
-           probability >= 0.9 OR (coalesce(gap, 2400) >= 2400 AND probability >= 0.3) AS accepted
-    FROM (SELECT song_id, sample, probability, sample - lag(sample) OVER (PARTITION BY song_id ORDER BY sample) AS gap FROM boundary) b""")
 Q["external_transitions"] = (["note"], [], """
     SELECT song_id, start_sample AS sample FROM (SELECT song_id, start_sample, midi_note, lag(midi_note) OVER w AS was, lag(end_sample) OVER w AS ended FROM note WINDOW w AS (PARTITION BY song_id ORDER BY start_sample, end_sample, seq)) x
     WHERE was IS NOT NULL AND (midi_note <> was OR start_sample > ended)""")
@@ -46,11 +39,6 @@ Q["onset_mix"] = (["pitch_frame"], [], "SELECT song_id, idx, round(0.65 * confid
 Q["silence_signals"] = (["pitch_frame"], [], """
     SELECT song_id, idx, round(silence, 6) AS silence, round(abs(silence - coalesce(lag(silence) OVER (PARTITION BY song_id ORDER BY idx), silence)), 6) AS boundary FROM (
       SELECT song_id, idx, least(1.0E0, greatest(0.0E0, 1 - confidence)) * (1 - coalesce(voiced_probability, 0.0E0)) AS silence FROM pitch_frame) s""")
-Q["equal_pitch_islands"] = (["note"], [], """
-    SELECT song_id, island, min(start_sample) AS start_sample, max(end_sample) AS end_sample, max(fam) AS family, count(*) AS notes FROM (
-      SELECT song_id, seq, fam, start_sample, end_sample, sum(brk) OVER (PARTITION BY song_id ORDER BY start_sample, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (
-        SELECT song_id, seq, start_sample, end_sample, midi_note % 3 AS fam, CASE WHEN midi_note % 3 = lag(midi_note % 3) OVER w AND start_sample - lag(end_sample) OVER w <= 2400 THEN 0 ELSE 1 END AS brk
-        FROM note WINDOW w AS (PARTITION BY song_id ORDER BY start_sample, seq)) a) b GROUP BY song_id, island""")
 Q["clock_epochs"] = (["pitch_frame"], [], """
     SELECT song_id, idx, reason, sum(CASE WHEN reason = 'continuous' THEN 0 ELSE 1 END) OVER (PARTITION BY song_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch FROM (
       SELECT song_id, idx, CASE WHEN before IS NULL THEN 'continuous' WHEN event_type <> before AND event_type = 'purchase' THEN 'device_change' WHEN jump > 500 THEN 'gap' WHEN jump < 0 THEN 'reset' ELSE 'continuous' END AS reason FROM (

@@ -12,16 +12,17 @@ VIEWS = {
         FROM events WHERE user_id IS NOT NULL""",
     "boundary": """
         SELECT song_id, idx * 480 AS sample, (event_id % 97) / 96.0E0 AS probability FROM pitch_frame WHERE event_type = 'click'""",
+    # Onsets lie on a grid of 9,600 samples, so that notes overlap and some begin together.
     "note": """
-        SELECT l_orderkey AS song_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq,
-               CAST(coalesce(sum(l_quantity * 480) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_sample,
-               CAST(sum(l_quantity * 480) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS end_sample,
-               CAST(36 + l_partkey % 60 AS BIGINT) AS midi_note, round(1 - l_discount, 4) AS confidence
-        FROM lineitem""",
+        SELECT song_id, seq, CAST(floor(before / 9600) AS BIGINT) * 9600 AS start_sample, CAST(floor(before / 9600) AS BIGINT) * 9600 + held AS end_sample, midi_note, confidence FROM (
+          SELECT l_orderkey AS song_id, row_number() OVER w AS seq, CAST(l_quantity * 480 AS BIGINT) AS held,
+                 coalesce(sum(CAST(l_quantity * 320 AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                 CAST(36 + l_partkey % 60 AS BIGINT) AS midi_note, round(1 - l_discount, 4) AS confidence
+          FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) n""",
     "lyric_segment": """
         SELECT conv_id AS song_id, turn, role, 4800 * turn AS start_sample,
-               4800 * turn + (CASE WHEN length(text) < 40 THEN length(text) ELSE 40 END) * 240 AS end_sample
-        FROM conversations WHERE text IS NOT NULL""",
+               4800 * turn + length(coalesce(text, '')) * 240 AS end_sample
+        FROM conversations""",
 }
 SOURCES = {"pitch_frame": ["events"], "boundary": ["events"], "note": ["lineitem"], "lyric_segment": ["conversations"]}
 NEEDS = {"boundary": ["pitch_frame"]}
