@@ -1,9 +1,9 @@
 """Named queries over the driver tables."""
-from .plans import domain
+from .plans import analysis, domain
 
 
 def queries():
-    return domain.queries()
+    return domain.queries() | analysis.QUERIES
 
 
 def oracle_sql():
