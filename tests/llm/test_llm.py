@@ -1,5 +1,6 @@
 """Training-data operators against brute force on small fixtures with nulls, ties, long texts and extra columns."""
 import random
+import time
 
 import numpy as np
 import pytest
@@ -121,6 +122,18 @@ def test_html():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
 
 
+def test_html_quotes_and_long_pages(spark):
+    assert html.main_text("<div title='it's'>One</div><p a=\"x>y\" b='<p>'>Two</p><p it's>Three") == "One\n\nTwo\n\nThree"
+    start = time.time()
+    for page in ("<a " * 200000 + '"', "<a b=\"" * 200001, "<p>x" * 50000, "<div>" * 100000, "<!--" * 100000, "&" * 500000, "x" * 2000000):
+        html.main_text(page)
+    assert time.time() - start < 30
+    rows = [(1, "u", "<p>x", "t", 0)] * 2 + [(None, None, None, None, None), (2, "u", "", None, None), (3, None, "<p>" + "y " * 100000, None, None)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
+    assert sorted((r.page_id or 0, r.n_chars) for r in got.collect()) == [(0, 0), (1, 1), (1, 1), (2, 0), (3, 199999)]
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_html_surge_chooses_among_marked_units():
     para = " ".join(["word"] * 100)
     story = f"<article><h1>Head</h1><p>{para}</p><p>End.</p>%s</article>"
