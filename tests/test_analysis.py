@@ -115,7 +115,11 @@ def test_text(spark):
     got = {r.id: r for r in text.error_rates(text.compare(df, "id"), "id").collect()}
     assert got[1].cer == got[1].wer == 0 and got[2].cer is None and got[2].inserted == 3 and (got[3].word_errors, got[3].reference_words) == (2, 3)
     assert got[4].cer == 0.0 and got[5].char_errors == 1
-    assert text.edits("kitten", "sitting") == 3 and text.edits("x" * 3000, "y" * 3000) is None
+    edits = spark.createDataFrame([("kitten", "sitting"), ("x" * 3000, "y" * 3000), ("é😀", "e😀")], "a string, b string").select(text.edits("a", "b").alias("n")).collect()
+    assert [r.n for r in edits] == [3, None, 1]
+    many = [str(i) for i in range(60000)]
+    a, b = text.letters(many, many[::-1])
+    assert len(set(a)) == 60000 and a == b[::-1] and a.encode()
 
 
 def test_strict_json():
