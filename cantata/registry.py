@@ -1,10 +1,10 @@
 """Named queries over the driver tables."""
-from .plans import analysis, domain
+from .plans import analysis, domain, melody
 
 
 def queries():
-    return domain.queries() | analysis.QUERIES
+    return domain.queries() | analysis.QUERIES | melody.QUERIES
 
 
 def oracle_sql():
-    return domain.oracle_sql()
+    return domain.oracle_sql() | melody.ORACLE
