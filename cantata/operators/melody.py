@@ -137,11 +137,12 @@ def _cells(df, name):
 def hypotheses(found: DataFrame, external: DataFrame, key: str = "song_id") -> DataFrame:
     """(key, candidate, midi_note, score): the notes within a semitone of a candidate's base by distance, and external notes (start_sample, end_sample, midi_note, confidence) that share a quarter of the shorter span; evidence for one note joins as 1 - product of the doubts.
 
-    Spans meet by cell, so that a song's notes are not compared all with all.
+    Spans meet by cell, so that a song's notes are not compared all with all. Candidates without a base are left out; one that no note explains keeps its nearest.
     """
+    found = found.where("base_midi IS NOT NULL")
     base = F.rint("base_midi").cast("long")
     cents = F.abs(F.col("base_midi") - F.col("midi_note")) * 100
-    own = found.select(key, "candidate", "base_midi", "confidence", F.explode(F.sequence(F.greatest(F.lit(0), base - 1), F.least(F.lit(127), base + 1))).alias("midi_note"))
+    own = found.select(key, "candidate", "base_midi", "confidence", F.explode(F.sequence(base - 1, base + 1)).alias("midi_note")).where("midi_note BETWEEN 0 AND 127")
     own = own.select(key, "candidate", "midi_note", (F.col("confidence") * F.exp(-0.5 * F.pow(cents / 45, 2))).alias("score")).where("score > 0.005")
     a = _cells(found.select(key, "candidate", "start_sample", "end_sample"), "cell").alias("a")
     b = _cells(external.select(key, "start_sample", "end_sample", "midi_note", "confidence").where("end_sample > start_sample").withColumn("note", F.monotonically_increasing_id()), "cell").alias("b")
@@ -152,7 +153,6 @@ def hypotheses(found: DataFrame, external: DataFrame, key: str = "song_id") -> D
     outer = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.cell") == F.col("b.cell"))).where(met & (shared > 0) & (shared / shorter >= 0.25))
     outer = outer.select(F.col(f"a.{key}").alias(key), "candidate", "midi_note", (0.85 * F.least(F.lit(1.0), F.col("confidence") * (0.55 + 0.45 * F.least(F.lit(1.0), shared / shorter)))).alias("score"))
     joined = own.unionByName(outer).groupBy(key, "candidate", "midi_note").agg((1 - F.product(1 - F.col("score"))).alias("score"))
-    # A candidate that nothing explains keeps its nearest note.
     bare = found.join(joined, [key, "candidate"], "left_anti").select(key, "candidate", base.alias("midi_note"), F.col("confidence").alias("score"))
     return joined.unionByName(bare)
 

@@ -111,3 +111,11 @@ def test_candidates_cut_at_boundaries(spark):
     assert [(r.start_sample, r.end_sample, r.base_midi, r.frames) for r in got] == [(0, 4800, 60.0, 8), (4800, 9600, 64.0, 8), (11520, 12000, 67.0, 1)]
     assert [r.before_reason for r in got] == ["voiced_run_edge", "sustained_pitch_change", "strong_boundary"] and got[0].after_probability == 0.7 and got[1].after_probability == 1.0
     assert got[0].confidence == pytest.approx(0.81)
+
+
+def test_hypotheses_at_the_edges(spark):
+    found = spark.createDataFrame([("a", 1, 0, 100, 200.0, 0.5), ("a", 2, 0, 100, 127.0, 0.5), ("a", 3, 0, 100, None, 0.5), ("a", 4, 0, 100, 60.5, 0.0)], "song_id string, candidate int, start_sample long, end_sample long, base_midi double, confidence double")
+    outer = spark.createDataFrame([("a", 0, 20, 61, 1.0), ("a", 90, 400, 30, 1.0), ("a", 50, 50, 40, 1.0)], "song_id string, start_sample long, end_sample long, midi_note long, confidence double")
+    got = {(r.candidate, r.midi_note) for r in melody.hypotheses(found, outer).collect()}
+    assert got == {(1, 61), (2, 61), (4, 61), (2, 126), (2, 127)}
+    assert {(r.candidate, r.midi_note) for r in melody.hypotheses(found, outer.where("false")).collect()} == {(1, 200), (2, 126), (2, 127), (4, 60)}
