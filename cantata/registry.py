@@ -1,10 +1,10 @@
 """Named queries over the driver tables."""
-from .plans import analysis, domain, melody
+from .plans import analysis, domain, melody, playing
 
 
 def queries():
-    return domain.queries() | analysis.QUERIES | melody.QUERIES
+    return domain.queries() | analysis.QUERIES | melody.QUERIES | playing.QUERIES
 
 
 def oracle_sql():
-    return domain.oracle_sql() | melody.ORACLE
+    return domain.oracle_sql() | melody.ORACLE | playing.ORACLE
