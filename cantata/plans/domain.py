@@ -2,7 +2,7 @@
 import re
 from functools import partial
 
-from . import evaluation, library, notes, session, signals, timeline, views
+from . import checks, evaluation, library, notes, session, signals, timeline, views
 
 Q = {}
 
@@ -89,7 +89,7 @@ _q("argmax_runner_up", ["note"], [], """
     SELECT song_id, max(CASE WHEN r = 1 THEN midi_note END) AS best, max(CASE WHEN r = 2 THEN midi_note END) AS second FROM (
       SELECT song_id, midi_note, row_number() OVER (PARTITION BY song_id ORDER BY d DESC, midi_note) AS r FROM (SELECT song_id, midi_note, sum(end_sample - start_sample) AS d FROM note GROUP BY song_id, midi_note) a) b WHERE r <= 2 GROUP BY song_id""")
 
-for _more in (timeline, evaluation, library, session, signals, notes):
+for _more in (timeline, evaluation, library, session, signals, notes, checks):
     Q.update(_more.Q)
 
 
@@ -110,5 +110,5 @@ def queries():
 
 
 def oracle_sql():
-    """SQL for each query: a reading of its own where notes.ORACLE has one, else the query's text."""
-    return {n: views.with_views(needs, notes.ORACLE.get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}
+    """SQL for each query: a reading of its own where notes.ORACLE or checks.ORACLE has one, else the query's text."""
+    return {n: views.with_views(needs, (notes.ORACLE | checks.ORACLE).get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}
