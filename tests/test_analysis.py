@@ -145,3 +145,16 @@ def test_smf(spark):
 def test_query_runs(spark, name):
     got = analysis.QUERIES[name](spark, DATA).toPandas()
     assert len(got) and got.nunique(dropna=False).max() > 1
+
+
+def test_repeats_like_a_plain_search(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab c", k=rng.randrange(30))) for _ in range(300)] + [None, "", "la la　la\nla", "x" * 1000000, "".join(chr(0x4E00 + i) for i in range(20000)), ("0123456789" * 4)[:33] * 4, ("abcdefghijklmnopqrstuvwxyzABCDEFGH"[:33]) * 4]
+    got = [r.r for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.repeats(F.col("t")).alias("r")).orderBy("i").collect()]
+
+    def plain(t):
+        t = "".join((t or "").split())[:2000]
+        return any(t[i:i + n] * 4 == t[i:i + 4 * n] for n in range(1, 33) for i in range(len(t) - 4 * n + 1))
+
+    assert got == [plain(t) for t in texts] and got[302] and got[303] and not got[-1]
