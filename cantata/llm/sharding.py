@@ -1,8 +1,8 @@
 """Sharding: size-tiered compaction of immutable shards under a versioned manifest.
 
 A store is a folder: data/<run>/part-* are shards, manifest/<name> are tables of
-(shard, bytes), and versions/<n> is a file with the name of version n's table. The
-file is created only if it is absent, so of racing writers one publishes n.
+(shard, bytes), and versions/<n> is a file with the name of version n's table. It is
+written as a draft and gets its name in one step, so of racing writers one publishes n.
 """
 import uuid
 
@@ -23,11 +23,16 @@ def _fs(spark, path):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _versions(spark, root):
+    """(number, whether it names a manifest) of the files of versions/. A file is published whole, so an empty one is nobody's work in progress."""
+    fs, p = _fs(spark, f"{root}/versions")
+    found = [(s.getPath().getName(), s.getLen() > 0) for s in fs.listStatus(p)] if fs.exists(p) else []
+    return [(int(n), full) for n, full in found if n.isdigit()]
+
+
 def latest(spark: SparkSession, root: str) -> int:
     """The newest published version; 0 for a new store."""
-    fs, p = _fs(spark, f"{root}/versions")
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.getLen()] if fs.exists(p) else []
-    return max((int(n) for n in names if n.isdigit()), default=0)
+    return max((n for n, full in _versions(spark, root) if full), default=0)
 
 
 def manifest(spark: SparkSession, root: str, version: int) -> DataFrame:
@@ -38,30 +43,52 @@ def manifest(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.schema(_SHARDS).parquet(f"{root}/manifest/{name}")
 
 
-def commit(spark: SparkSession, root: str, version: int, shards: DataFrame) -> int:
-    """Publish `version`; raises Taken if another writer has published it. Tables of losers stay unreferenced."""
-    name = f"m-{uuid.uuid4().hex}"
-    shards.coalesce(1).write.parquet(f"{root}/manifest/{name}")
-    fs, p = _fs(spark, f"{root}/versions/{version:08d}")
+def _publish(spark, source: str, target: str) -> None:
+    """Give the file `source` the name `target` in one step, or raise Taken where that name exists: a hard link on a local or mounted folder, a rename that does not overwrite elsewhere."""
+    jvm = spark.sparkContext._jvm
+    fs, p = _fs(spark, target)
+    src = jvm.org.apache.hadoop.fs.Path(source)
     try:
-        out = fs.create(p, False)
+        if fs.getScheme() == "file":
+            path = lambda x: jvm.java.io.File(x.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(path(p), path(src))
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            context.rename(src, p, none)
     except Exception as e:
         if fs.exists(p):
-            raise Taken(f"version {version} is already published") from e
+            raise Taken(f"{target} is already published") from e
         raise
+
+
+def commit(spark: SparkSession, root: str, version: int, shards: DataFrame) -> int:
+    """Publish `version`; raises Taken if another writer has published it.
+
+    The file is written under a name of its own first, so a writer that dies at
+    any point leaves no version. Tables of losers stay unreferenced.
+    """
+    name = f"m-{uuid.uuid4().hex}"
+    shards.coalesce(1).write.parquet(f"{root}/manifest/{name}")
+    fs, draft = _fs(spark, f"{root}/drafts/{name}")
+    fs.mkdirs(_fs(spark, f"{root}/versions")[1])
+    out = fs.create(draft, False)
     out.write(bytearray(f"{name}\n".encode()))
     out.close()
+    _publish(spark, f"{root}/drafts/{name}", f"{root}/versions/{version:08d}")
     return version
 
 
-def _published(spark, root, change):
-    """Publish change(newest shards) as the next version, again on top of the winner where another writer was first."""
-    while True:
-        v = latest(spark, root)
+def _published(spark, root, change, tries: int = 100):
+    """Publish change(newest shards) behind all numbers in use, again on top of the winner where another writer was first."""
+    for _ in range(tries):
+        used = _versions(spark, root)
+        v = max((n for n, full in used if full), default=0)
         try:
-            return commit(spark, root, v + 1, change(v))
+            return commit(spark, root, max((n for n, _ in used), default=0) + 1, change(v))
         except Taken:
             continue
+    raise RuntimeError(f"{tries} other writers were first")
 
 
 def _write(rows: DataFrame, root: str, kind: str) -> DataFrame:
