@@ -351,3 +351,90 @@ def test_toxicity_marker_does_not_hang_on_balance():
         model = toxicity.train(xs, ys)
         weight = dict(zip(model.slots.tolist(), model.weights))
         assert weight.get(1, 0) > 0 and 2 not in weight
+
+
+def test_pii_of_addresses_with_zero_parts(spark):
+    good = ["10.0.0.1", "0.0.0.0", "192.168.0.10", "255.255.255.0", "00.0.0.0", "000000000010.00.000.0255", "0.00000000.1.2"]
+    bad = ["10.0.0.256", "0256.1.1.1", "1.2.3.00999", "300.0.0.0"]
+    got = _by_id(pii.digest(pii.find(_docs(spark, [(i, f"at {t} now", None, None, None) for i, t in enumerate(good + bad)]))))
+    assert [got[i].n_ip for i in range(len(good + bad))] == [1] * len(good) + [0] * len(bad)
+
+
+def test_pii_equals_a_plain_reading_of_random_texts(spark):
+    rng = random.Random(5)
+    part = lambda: rng.choice(["0", "00", "1", "10", "25", "255", "256", "007", "192", str(rng.randrange(400))])
+    texts = ["".join(rng.choices("0012+-.@ ()a:", k=rng.randrange(60))) for _ in range(1500)]
+    texts += [rng.choice(["", " ", "+", "a@", "."]).join(rng.choice([".", "."]).join(part() for _ in range(rng.choice([3, 4, 4, 4, 5, 9]))) for _ in range(3)) for _ in range(1500)]
+    got = _by_id(pii.digest(pii.find(_docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]))))
+    found = 0
+    for i, t in enumerate(texts):
+        counts, digest = brute.pii(t)
+        found += counts[1]
+        assert ([got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone], got[i].base_sha256) == (counts, digest), t
+    assert found > 500
+
+
+def test_sharding_behind_writers_that_died(spark, monkeypatch):
+    root, rows = work_path(spark, "t"), lambda k: spark.range(k * 10, k * 10 + 10)
+    ids = lambda: sorted(r.id for r in sharding.read(spark, root).collect())
+    # An empty version file is a number in use that holds nothing.
+    fs, p = sharding._fs(spark, f"{root}/versions/00000001")
+    fs.create(p, False).close()
+    assert sharding.latest(spark, root) == 0 and sharding.append(rows(0), root) == 2 and ids() == list(range(10))
+    fs, p = sharding._fs(spark, f"{root}/versions/00000003")
+    fs.create(p, False).close()
+    assert sharding.latest(spark, root) == 2 and sharding.append(rows(1), root) == 4 and ids() == list(range(20))
+
+    # A writer that dies before its file has its name leaves no version, and the next one goes on.
+    def dies(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(sharding, "_publish", dies)
+        with pytest.raises(OSError):
+            sharding.append(rows(2), root)
+    assert sharding.latest(spark, root) == 4 and ids() == list(range(20)) and sharding.append(rows(3), root) == 5
+
+    # Numbers that are always taken end in an error, not in an endless loop.
+    def taken(*_):
+        raise sharding.Taken("taken")
+
+    with monkeypatch.context() as m:
+        m.setattr(sharding, "_publish", taken)
+        with pytest.raises(RuntimeError, match="were first"):
+            sharding._published(spark, root, lambda v: sharding.manifest(spark, root, v), tries=3)
+
+
+def test_sharding_compaction_beside_an_append(spark, monkeypatch):
+    root, rows = work_path(spark, "t"), lambda k: spark.range(k * 10, k * 10 + 10)
+    for k in range(3):
+        sharding.append(rows(k), root)
+    write, late = sharding._write, []
+
+    def meanwhile(df, at, kind):
+        out = write(df, at, kind)
+        if kind == "merged" and not late:
+            late.append(1)
+            sharding.append(rows(3), root)
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(sharding, "_write", meanwhile)
+        assert sharding.compact(spark, root) == 5
+    assert sorted(r.id for r in sharding.read(spark, root).collect()) == list(range(40)) and sharding.manifest(spark, root, 5).where("shard like 'data/merged%'").count() > 0
+
+    # A compaction whose sources another one has merged is given up.
+    sharding.append(rows(4), root)
+
+    def raced(df, at, kind):
+        out = write(df, at, kind)
+        with monkeypatch.context() as m2:
+            m2.setattr(sharding, "_write", write)
+            sharding.compact(spark, root)
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(sharding, "_write", raced)
+        with pytest.raises(RuntimeError, match="another compaction"):
+            sharding.compact(spark, root)
+    assert sorted(r.id for r in sharding.read(spark, root).collect()) == list(range(50))
