@@ -1,7 +1,7 @@
 """One query per operator, with production parameters, over whole tables."""
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, html, packing, pii, sharding, simhash, toxicity, urls
+from . import chat, decontam, exact, html, packing, phrases, pii, sharding, simhash, toxicity, urls, warc, whitening
 from .common import work_path
 
 
@@ -60,7 +60,19 @@ def op10_decontam(spark, d):
     return decontam.decontaminate(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_chat, op4_urls, op5_html, op6_exact, op7_simhash, op8_packing, op9_sharding, op10_decontam)}
+def op11_whitening(spark, d):
+    return whitening.whitened(_t(spark, d, "embeddings"))
+
+
+def op12_phrases(spark, d):
+    return phrases.phrases(_t(spark, d, "documents"))
+
+
+def op13_warc(spark, d):
+    return warc.archive(_t(spark, d, "pages"), work_path(spark, "warc"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_chat, op4_urls, op5_html, op6_exact, op7_simhash, op8_packing, op9_sharding, op10_decontam, op11_whitening, op12_phrases, op13_warc)}
 
 ORACLE = {
     # Template: one block per run of turns of one role; "<" + backslashes + "|" has one backslash more inside texts and roles.
@@ -87,6 +99,26 @@ ORACLE = {
         y AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN y ON d.doc_id = y.doc_id""",
+    "op12_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, range(1, 6) r(k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+        c AS (SELECT * FROM f WHERE k >= 2),
+        u AS (SELECT lang, array_to_string(list_slice(w, s, s + m - 1), ' ') AS phrase, f FROM (SELECT lang, w, f, k, m, unnest(range(1, k - m + 2)) AS s FROM (SELECT lang, string_split(phrase, ' ') AS w, f, k FROM c), range(2, 5) q(m) WHERE m < k)),
+        x AS (SELECT lang, phrase, max(f) AS longer FROM u GROUP BY lang, phrase),
+        a AS (SELECT c.lang, c.k, c.phrase, c.f AS a, string_split(c.phrase, ' ') AS w FROM c LEFT JOIN x ON c.lang = x.lang AND c.phrase = x.phrase WHERE longer IS NULL OR 100 * longer < 100 * c.f),
+        h AS (SELECT lang, phrase, a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS lhs, array_to_string(list_slice(w, cut + 1, k), ' ') AS rhs FROM (SELECT *, unnest(range(1, k)) AS cut FROM a)),
+        s AS (SELECT h.lang, h.phrase, h.a, cut, l.f AS l, r.f AS r, t.n, 1000 * h.a * t.n // (l.f * r.f) AS score FROM h JOIN f l ON h.lang = l.lang AND h.lhs = l.phrase JOIN f r ON h.lang = r.lang AND h.rhs = r.phrase JOIN t ON h.lang = t.lang),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS first FROM s) WHERE first = 1)
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b) WHERE rank <= 2000""",
+    "op13_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS DISTINCT FROM page_id AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to FROM q""",
     "op6_exact": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
         g AS (SELECT t, count(*) AS group_size, max(len) AS top FROM n GROUP BY t),
