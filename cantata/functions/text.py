@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Cells of an edit table; longer pairs must be parted first.
+#: Fixed value: cells of an edit table. A longer pair is not rated, and neither is what it is part of; it must be parted first.
 BUDGET = 4_000_000
 
 
@@ -31,10 +31,11 @@ def edits(a, b):
 
 
 def compare(pairs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, char_errors, reference_chars, word_errors, reference_words, inserted) of rows with reference and hypothesis; null texts are empty.
+    """(keys, char_errors, reference_chars, word_errors, reference_words, inserted, over_budget) of rows with reference and hypothesis; null texts are empty.
 
     Characters leave out white space. `inserted` counts hypothesis characters
-    where the reference has none. A pair beyond the budget has null errors.
+    where the reference has none. A pair whose characters or words pass the
+    budget has null errors there and is `over_budget`.
     """
     full = StructType([*(pairs.schema[k] for k in keys), *StructType.fromDDL("ca string, cb string, wa string, wb string").fields])
     arrow = to_arrow_schema(full)
@@ -52,7 +53,7 @@ def compare(pairs: DataFrame, *keys: str) -> DataFrame:
     n = lambda x: F.length(x).cast("long")
     return c.select(
         *keys, edits("ca", "cb").alias("char_errors"), n("ca").alias("reference_chars"), edits("wa", "wb").alias("word_errors"), n("wa").alias("reference_words"),
-        F.when(n("ca") > 0, 0).otherwise(n("cb")).alias("inserted"),
+        F.when(n("ca") > 0, 0).otherwise(n("cb")).alias("inserted"), (edits("ca", "cb").isNull() | edits("wa", "wb").isNull()).cast("long").alias("over_budget"),
     )
 
 
@@ -62,9 +63,9 @@ def rate(errors, count):
 
 
 def error_rates(compared: DataFrame, *keys: str) -> DataFrame:
-    """Micro-averaged CER and WER over compare() rows."""
-    names = ("char_errors", "reference_chars", "word_errors", "reference_words", "inserted")
-    m = compared.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    """Micro-averaged CER and WER over compare() rows; null, like their errors, where a pair is over the budget, as the rest would flatter them."""
+    names = ("char_errors", "reference_chars", "word_errors", "reference_words", "inserted", "over_budget")
+    m = compared.groupBy(*keys).agg(*[(F.when(F.count(c) == F.count(F.lit(1)), F.coalesce(F.sum(c), F.lit(0)))).alias(c) for c in names])
     return m.withColumns({"cer": rate(F.col("char_errors"), F.col("reference_chars")), "wer": rate(F.col("word_errors"), F.col("reference_words"))})
 
 

@@ -87,9 +87,13 @@ def _external(spark, d):
     return _view(spark, d, ["note"], "SELECT song_id, seq, start_sample, end_sample, midi_note, confidence FROM note")
 
 
+#: Many scores are short decimals that end in 5, whose halves engines round either way; so millionths begin off the decimals.
+_OFF = 0.4142135623731
+
+
 def note_hypotheses(spark, d):
     own = _view(spark, d, ["note"], _NOTES)
-    return melody.hypotheses(own, _external(spark, d).withColumn("start_sample", F.col("start_sample") + 3000)).withColumn("score", F.round("score", 6))
+    return melody.hypotheses(own, _external(spark, d).withColumn("start_sample", F.col("start_sample") + 3000)).withColumn("score", F.floor(F.col("score") * 1e6 + _OFF) / 1e6)
 
 
 # A quarter of the shorter span; doubts multiply
@@ -98,7 +102,7 @@ ORACLE["note_hypotheses"] = views.with_views(["note"], f"""
     own AS (SELECT song_id, candidate, n AS midi_note, confidence * exp(-0.5 * ((base_midi - n) * 100 / 45) ** 2) AS score FROM c CROSS JOIN range(0, 128) r(n) WHERE abs(n - round_even(base_midi, 0)) <= 1),
     o AS (SELECT c.song_id, c.candidate, x.midi_note, (least(b, end_sample) - greatest(a, start_sample)) / greatest(1, least(b - a, end_sample - start_sample)) AS share, x.confidence FROM c JOIN x USING (song_id) WHERE b > a AND b > start_sample AND end_sample > a),
     w AS (SELECT song_id, candidate, midi_note, score FROM own WHERE score > 0.005 UNION ALL SELECT song_id, candidate, midi_note, 0.85 * confidence * (0.55 + 0.45 * share) FROM o WHERE share >= 0.25)
-    SELECT song_id, candidate, midi_note, round(1 - product(1 - score), 6) AS score FROM w GROUP BY ALL""")
+    SELECT song_id, candidate, midi_note, floor((1 - product(1 - score)) * 1e6 + {_OFF}) / 1e6 AS score FROM w GROUP BY ALL""")
 
 
 def note_path(spark, d):

@@ -1,10 +1,10 @@
 """Named queries over the driver tables."""
-from .plans import analysis, domain, melody, playing
+from .plans import analysis, domain, melody, playing, texts
 
 
 def queries():
-    return domain.queries() | analysis.QUERIES | melody.QUERIES | playing.QUERIES
+    return domain.queries() | analysis.QUERIES | melody.QUERIES | playing.QUERIES | texts.QUERIES
 
 
 def oracle_sql():
-    return domain.oracle_sql() | melody.ORACLE | playing.ORACLE
+    return domain.oracle_sql() | melody.ORACLE | playing.ORACLE | texts.ORACLE

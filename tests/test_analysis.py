@@ -122,6 +122,15 @@ def test_text(spark):
     assert len(set(a)) == 60000 and a == b[::-1] and a.encode()
 
 
+def test_text_beyond_the_budget_is_no_perfect_match(spark):
+    pairs = [("song", 1, "abcd", "abcd"), ("song", 2, "x" * 2100, "y" * 2100), ("words", 1, "a b", "a c"), ("long", 1, "a " * 2100, "b " * 1900), ("sole", 1, "x" * 2000, "x" * 2000)]
+    df = spark.createDataFrame(pairs, "song string, id long, reference string, hypothesis string")
+    got = {r.song: r for r in text.error_rates(text.compare(df, "song", "id"), "song").collect()}
+    assert (got["song"].cer, got["song"].over_budget, got["song"].reference_chars) == (None, 1, 2104) and got["song"].wer == 0.5
+    assert (got["words"].cer, got["words"].wer, got["words"].over_budget) == (0.5, 0.5, 0) and (got["sole"].cer, got["sole"].over_budget) == (0.0, 0)
+    assert got["long"].cer == 1.0 and got["long"].over_budget == 0
+
+
 def test_strict_json():
     read = lambda t: strict_json.read(t, 100)[0]
     assert [read(t) for t in ('{"a": 1}', None, "[1]", '{"a":1,"a":2}', '{"a":NaN}', '{"a":1e999}', "{", "{" + " " * 200 + "}")] == ["ok", "missing", "not_an_object", "duplicate_key", "not_finite", "overflow", "invalid", "too_large"]
