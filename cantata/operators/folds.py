@@ -11,45 +11,59 @@ from .groups import fold
 GAP, STRONG = 960, 0.85
 
 
-def pair_notes(events: DataFrame, key: str = "song_id") -> DataFrame:
-    """Note-on and note-off events (key, tick, seq, kind, channel, note, velocity) -> (key, channel, note, start_tick, end_tick, velocity, ended).
-
-    At one tick offs come before ons, save an off that is written after the on
-    of the same tick: that note is dropped. An on while the note sounds ends it
-    (retrigger), notes still sounding end at the last tick (unterminated), and
-    an off without a note is no row. Notes of no length are dropped.
+def pair_notes(events: DataFrame, key: str = "song_id", extend: bool = False) -> DataFrame:
+    """Note-on, note-off and pedal events (key, tick, seq, kind, channel, note, velocity) -> (key, channel, note, start_tick, end_tick, velocity, ended).
+
+    At one tick offs and pedals come before ons, save an off that is written
+    after the on of the same tick: that note is dropped. An on while the note
+    sounds ends it (retrigger), notes still sounding end at the last tick
+    (unterminated), and an off without a note is no row. Notes of no length are
+    dropped. With `extend` an off under a channel's pedal (kind `sustain`, its
+    value in `note`, down from 64 on) leaves the note held until the pedal goes
+    up (pedal), the note is struck again (retrigger) or the last tick
+    (unterminated); else pedals say nothing.
     """
 
     def step(rows):
-        sounding, last = {}, max((r["tick"] for r in rows), default=0)
+        sounding, held, down, last = {}, {}, set(), max((r["tick"] for r in rows), default=0)
         ticks = {}
         for r in rows:
             ticks.setdefault(r["tick"], []).append(r)
 
-        def close(k, tick, how):
-            start, velocity = sounding.pop(k)[:2]
+        def close(notes, k, tick, how):
+            start, velocity = notes.pop(k)[:2]
             return [(*k, start, tick, velocity, how)] if start < tick else []
 
         for tick, group in ticks.items():
             late = []
             for r in group:
                 k = (r["channel"], r["note"])
-                if r["kind"] == "off":
-                    if k in sounding:
-                        yield from close(k, tick, "off")
+                if r["kind"] == "off" and k in sounding:
+                    if extend and k[0] in down:
+                        held[k] = sounding.pop(k)
                     else:
-                        late.append((k, r["seq"]))
+                        yield from close(sounding, k, tick, "off")
+                elif r["kind"] == "off":
+                    late.append((k, r["seq"]))
+                elif r["kind"] == "sustain" and k[1] >= 64:
+                    down.add(k[0])
+                elif r["kind"] == "sustain" and k[0] in down:
+                    down.remove(k[0])
+                    for h in sorted(x for x in held if x[0] == k[0]):
+                        yield from close(held, h, tick, "pedal")
             for r in group:
                 if r["kind"] == "on":
                     k = (r["channel"], r["note"])
-                    if k in sounding:
-                        yield from close(k, tick, "retrigger")
+                    for notes in (sounding, held):
+                        if k in notes:
+                            yield from close(notes, k, tick, "retrigger")
                     sounding[k] = (tick, r["velocity"], r["seq"])
             for k, seq in late:
                 if k in sounding and sounding[k][0] == tick and seq > sounding[k][2]:
                     sounding.pop(k)
-        for k in sorted(sounding):
-            yield from close(k, last, "unterminated")
+        for notes in (held, sounding):
+            for k in sorted(notes):
+                yield from close(notes, k, last, "unterminated")
 
     return fold(events.select(key, "tick", "seq", "kind", "channel", "note", "velocity"), key, ["tick", "seq"], step, "channel long, note long, start_tick long, end_tick long, velocity long, ended string")
 

@@ -58,14 +58,14 @@ ORACLE["repetition_priors"] = views.with_views(["note"], f"""
 
 def _candidates(spark, d):
     frames = _view(spark, d, ["pitch_frame"], "SELECT song_id, idx, idx * 480 AS start_sample, idx * 480 + 480 AS end_sample, midi, confidence, voiced_probability FROM pitch_frame")
-    return melody.candidates(frames, _view(spark, d, ["boundary"], notes.Q["boundary_decision"][2]))
+    return melody.candidates(frames, _view(spark, d, ["boundary", "note"], notes.Q["boundary_decision"][2]))
 
 
 def note_candidates(spark, d):
     return _candidates(spark, d).withColumns({c: F.round(c, 6) for c in ("base_midi", "confidence", "spread_cents", "before_probability", "after_probability")})
 
 
-ORACLE["note_candidates"] = views.with_views(["boundary"], f"""
+ORACLE["note_candidates"] = views.with_views(["boundary", "note"], f"""
     {notes.ORACLE["boundary_decision"].replace("WITH", "WITH d AS (WITH", 1)}),
     ok AS (SELECT * FROM d WHERE accepted), v AS (SELECT * FROM pitch_frame WHERE midi IS NOT NULL AND voiced_probability >= 0.6),
     s AS (SELECT song_id, idx FROM v WHERE NOT EXISTS (SELECT 1 FROM v p WHERE p.song_id = v.song_id AND p.idx BETWEEN v.idx - 3 AND v.idx - 1)),

@@ -19,28 +19,45 @@ _q("boundary_dedup", ["boundary", "note"], [], f"""
     WITH {_BOTH}, top AS (SELECT song_id, sample, max(probability) AS probability FROM marks GROUP BY song_id, sample)
     SELECT song_id, sample, probability, min(external) AS external FROM marks JOIN top USING (song_id, sample, probability) GROUP BY song_id, sample, probability""")
 
+# Vocal events, and passages between external notes: both at least 0.6 sure, and another pitch or a gap of two hops
+_CANDIDATES = "candidate AS (SELECT song_id, start_sample, end_sample, midi_note, seq, round(confidence - 0.15E0, 4) AS sure FROM note)"
+_MARKS = f"""
+    {_CANDIDATES}, both_marks AS (
+      SELECT song_id, sample, probability, 0 AS external FROM boundary UNION ALL
+      SELECT song_id, start_sample, strength, 1 FROM (
+        SELECT song_id, start_sample, least(sure, lag(sure) OVER w) AS strength, midi_note <> lag(midi_note) OVER w OR start_sample - lag(end_sample) OVER w >= 960 AS passes
+        FROM candidate WINDOW w AS (PARTITION BY song_id ORDER BY start_sample, end_sample, seq)) p WHERE strength >= 0.6E0 AND passes),
+    mark AS (SELECT song_id, sample, probability, external FROM (
+      SELECT song_id, sample, probability, external, row_number() OVER (PARTITION BY song_id, sample ORDER BY probability DESC, external) AS r FROM both_marks) m WHERE r = 1)"""
+_SLOW_MARKS = f"""
+    {_CANDIDATES}, placed AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start_sample, end_sample, seq) AS n FROM candidate),
+    both_marks AS (SELECT song_id, sample, probability, 0 AS external FROM boundary UNION ALL
+      SELECT b.song_id, b.start_sample, least(a.sure, b.sure), 1 FROM placed a JOIN placed b ON a.song_id = b.song_id AND b.n = a.n + 1
+      WHERE least(a.sure, b.sure) >= 0.6 AND NOT (a.midi_note = b.midi_note AND b.start_sample < a.end_sample + 960)),
+    mark AS (SELECT song_id, sample, max(probability) AS probability, min(external) FILTER (probability = top) AS external FROM (SELECT *, max(probability) OVER (PARTITION BY song_id, sample) AS top FROM both_marks) GROUP BY song_id, sample)"""
+
 # Five hops before and after a boundary, equal on (song, hop) so that no range is joined
 _HOPS = "SELECT explode(sequence(-5, 4)) AS hop"
 _FACTS = f"""
-    near AS (SELECT b.song_id, b.sample, b.probability, o.hop, CASE WHEN f.voiced_probability >= 0.6 THEN f.midi END AS midi, 1 - f.voiced_probability AS silence, (f.event_id * 7 % 100) / 100.0E0 AS breath
-             FROM boundary b CROSS JOIN ({_HOPS}) o LEFT JOIN pitch_frame f ON f.song_id = b.song_id AND f.idx = CAST(b.sample / 480 AS BIGINT) + o.hop),
-    facts AS (SELECT song_id, sample, probability, median(CASE WHEN hop < 0 THEN midi END) AS before_midi, median(CASE WHEN hop >= 0 THEN midi END) AS after_midi,
+    near AS (SELECT b.song_id, b.sample, b.probability, b.external, o.hop, CASE WHEN f.voiced_probability >= 0.6 THEN f.midi END AS midi, 1 - f.voiced_probability AS silence, (f.event_id * 7 % 100) / 100.0E0 AS breath
+             FROM mark b CROSS JOIN ({_HOPS}) o LEFT JOIN pitch_frame f ON f.song_id = b.song_id AND f.idx = CAST(b.sample / 480 AS BIGINT) + o.hop),
+    facts AS (SELECT song_id, sample, probability, external, median(CASE WHEN hop < 0 THEN midi END) AS before_midi, median(CASE WHEN hop >= 0 THEN midi END) AS after_midi,
                      coalesce(max(CASE WHEN abs(hop) <= 1 THEN silence END), 0.0E0) AS silence, coalesce(max(CASE WHEN abs(hop) <= 1 THEN breath END), 0.0E0) AS breath
-              FROM near GROUP BY song_id, sample, probability)"""
-_REASON = "CASE WHEN probability >= 0.85 THEN 'strong_boundary' WHEN silence >= 0.55 OR breath >= 0.65 THEN 'silence_or_breath' WHEN abs(after_midi - before_midi) * 100.0 >= 70.0 THEN 'sustained_pitch_change' ELSE 'expressive_motion_suppressed' END"
+              FROM near GROUP BY song_id, sample, probability, external)"""
+_REASON = "CASE WHEN probability >= 0.85 THEN 'strong_boundary' WHEN silence >= 0.55 OR breath >= 0.65 THEN 'silence_or_breath' WHEN abs(after_midi - before_midi) * 100.0 >= 70.0 THEN 'sustained_pitch_change' WHEN external = 1 AND probability >= 0.8E0 THEN 'external_transition' ELSE 'expressive_motion_suppressed' END"
 _SLOW = """
-    facts AS (SELECT b.song_id, b.sample, b.probability,
+    facts AS (SELECT b.song_id, b.sample, b.probability, b.external,
         (SELECT median(f.midi) FROM pitch_frame f WHERE f.song_id = b.song_id AND f.voiced_probability >= 0.6 AND f.idx * 480 + 240 >= b.sample - 2400 AND f.idx * 480 + 240 < b.sample) AS before_midi,
         (SELECT median(f.midi) FROM pitch_frame f WHERE f.song_id = b.song_id AND f.voiced_probability >= 0.6 AND f.idx * 480 + 240 >= b.sample AND f.idx * 480 + 240 < b.sample + 2400) AS after_midi,
         coalesce((SELECT max(1 - f.voiced_probability) FROM pitch_frame f WHERE f.song_id = b.song_id AND f.idx * 480 BETWEEN b.sample - 480 AND b.sample + 480), 0.0) AS silence,
-        coalesce((SELECT max((f.event_id * 7 % 100) / 100.0) FROM pitch_frame f WHERE f.song_id = b.song_id AND f.idx * 480 BETWEEN b.sample - 480 AND b.sample + 480), 0.0) AS breath FROM boundary b)"""
-_q("median_around", ["boundary"], [], f"WITH {_FACTS} SELECT song_id, sample, round(before_midi, 6) AS before_midi, round(after_midi, 6) AS after_midi FROM facts",
-   f"WITH {_SLOW} SELECT song_id, sample, round(before_midi, 6) AS before_midi, round(after_midi, 6) AS after_midi FROM facts")
-_q("boundary_decision", ["boundary"], [], f"WITH {_FACTS} SELECT song_id, sample, probability, {_REASON} AS reason, {_REASON} <> 'expressive_motion_suppressed' AS accepted FROM facts",
+        coalesce((SELECT max((f.event_id * 7 % 100) / 100.0) FROM pitch_frame f WHERE f.song_id = b.song_id AND f.idx * 480 BETWEEN b.sample - 480 AND b.sample + 480), 0.0) AS breath FROM mark b)"""
+_q("median_around", ["boundary", "note"], [], f"WITH {_MARKS}, {_FACTS} SELECT song_id, sample, round(before_midi, 6) AS before_midi, round(after_midi, 6) AS after_midi FROM facts",
+   f"WITH {_SLOW_MARKS}, {_SLOW} SELECT song_id, sample, round(before_midi, 6) AS before_midi, round(after_midi, 6) AS after_midi FROM facts")
+_q("boundary_decision", ["boundary", "note"], [], f"WITH {_MARKS}, {_FACTS} SELECT song_id, sample, probability, {_REASON} AS reason, {_REASON} <> 'expressive_motion_suppressed' AS accepted FROM facts",
    f"""
-    WITH {_SLOW} SELECT song_id, sample, probability, r AS reason, r <> 'expressive_motion_suppressed' AS accepted FROM (
-      SELECT *, list_filter(['strong_boundary', 'silence_or_breath', 'sustained_pitch_change', 'expressive_motion_suppressed'],
-        lambda x, i: [probability >= 0.85, greatest(silence - 0.55, breath - 0.65) >= 0, coalesce(abs(after_midi - before_midi) * 100 >= 70, false), true][i])[1] AS r FROM facts)""")
+    WITH {_SLOW_MARKS}, {_SLOW} SELECT song_id, sample, probability, r AS reason, r <> 'expressive_motion_suppressed' AS accepted FROM (
+      SELECT *, list_filter(['strong_boundary', 'silence_or_breath', 'sustained_pitch_change', 'external_transition', 'expressive_motion_suppressed'],
+        lambda x, i: [probability >= 0.85, greatest(silence - 0.55, breath - 0.65) >= 0, coalesce(abs(after_midi - before_midi) * 100 >= 70, false), external > 0 AND probability >= 0.8, true][i])[1] AS r FROM facts)""")
 
 _q("voiced_runs", ["pitch_frame"], [], """
     SELECT song_id, run, min(idx) * 480 AS start_sample, max(idx) * 480 + 480 AS end_sample, count(*) AS frames, round(median(midi), 6) AS median_midi FROM (

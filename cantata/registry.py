@@ -1,10 +1,10 @@
 """Named queries over the driver tables."""
-from .plans import analysis, domain, melody, playing, storage, texts
+from .plans import analysis, domain, identity, melody, playing, storage, texts
 
 
 def queries():
-    return domain.queries() | analysis.QUERIES | melody.QUERIES | playing.QUERIES | texts.QUERIES | storage.QUERIES
+    return domain.queries() | analysis.QUERIES | melody.QUERIES | playing.QUERIES | texts.QUERIES | identity.QUERIES | storage.QUERIES
 
 
 def oracle_sql():
-    return domain.oracle_sql() | melody.ORACLE | playing.ORACLE | texts.ORACLE | storage.ORACLE
+    return domain.oracle_sql() | melody.ORACLE | playing.ORACLE | texts.ORACLE | identity.ORACLE | storage.ORACLE
