@@ -2,7 +2,7 @@
 import re
 from functools import partial
 
-from . import checks, evaluation, library, notes, session, signals, timeline, views
+from . import checks, evaluation, library, metrics, notes, session, signals, timeline, views
 
 Q = {}
 
@@ -50,14 +50,6 @@ _q("near_event_strength", ["pitch_frame", "boundary"], [], """
 
 # Aggregates
 _q("median_pitch", ["pitch_frame"], [], "SELECT song_id, round(median(midi), 6) AS median_midi FROM pitch_frame GROUP BY song_id")
-_q("pitch_metrics", ["pitch_frame"], [], """
-    SELECT song_id, count(f0_hz) AS voiced, sum(CASE WHEN abs(e) > 50 THEN 1 ELSE 0 END) AS gross, sum(CASE WHEN abs(abs(e) - 1200) <= 100 THEN 1 ELSE 0 END) AS octave, round(median(abs(e)), 6) AS median_cents
-    FROM (SELECT song_id, f0_hz, CASE WHEN f0_hz IS NOT NULL THEN CASE WHEN event_id % 7 = 0 THEN 1200.0E0 ELSE (event_id % 41) * 1.0E0 END END AS e FROM pitch_frame) x GROUP BY song_id""")
-_q("latency_summary", [], ["lineitem"], """
-    SELECT l_suppkey, count(*) AS n, CAST(floor(median(q)) AS BIGINT) AS median_samples, max(CASE WHEN r = k THEN q END) AS p95, round(stddev_samp(q), 6) AS sd FROM (
-      SELECT l_suppkey, q, row_number() OVER (PARTITION BY l_suppkey ORDER BY q) AS r, CAST(floor((count(*) OVER (PARTITION BY l_suppkey) * 95 + 99) / 100) AS BIGINT) AS k
-      FROM (SELECT l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem) a) b GROUP BY l_suppkey HAVING count(*) >= 30""")
-_q("drift_slope", ["pitch_frame"], [], "SELECT song_id, round((regr_slope(idx * 480.0E0 + event_id % 5, idx * 480.0E0) - 1) * 1000000, 3) AS ppm FROM pitch_frame GROUP BY song_id HAVING count(*) >= 8")
 _q("split_strata", [], ["documents"], """
     SELECT CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'development' END AS split, lang, source, count(*) AS n FROM documents
     GROUP BY GROUPING SETS ((CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'development' END), (lang), (source))""")
@@ -89,7 +81,7 @@ _q("argmax_runner_up", ["note"], [], """
     SELECT song_id, max(CASE WHEN r = 1 THEN midi_note END) AS best, max(CASE WHEN r = 2 THEN midi_note END) AS second FROM (
       SELECT song_id, midi_note, row_number() OVER (PARTITION BY song_id ORDER BY d DESC, midi_note) AS r FROM (SELECT song_id, midi_note, sum(end_sample - start_sample) AS d FROM note GROUP BY song_id, midi_note) a) b WHERE r <= 2 GROUP BY song_id""")
 
-for _more in (timeline, evaluation, library, session, signals, notes, checks):
+for _more in (timeline, evaluation, library, session, signals, notes, checks, metrics):
     Q.update(_more.Q)
 
 
@@ -110,5 +102,5 @@ def queries():
 
 
 def oracle_sql():
-    """SQL for each query: a reading of its own where notes.ORACLE or checks.ORACLE has one, else the query's text."""
-    return {n: views.with_views(needs, (notes.ORACLE | checks.ORACLE).get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}
+    """SQL for each query: a reading of its own where notes, checks or metrics has one, else the query's text."""
+    return {n: views.with_views(needs, (notes.ORACLE | checks.ORACLE | metrics.ORACLE).get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}

@@ -22,11 +22,6 @@ Q["cer_regression"] = ([], ["lineitem"], """
     SELECT l_suppkey, (e1 * n0 - e0 * n1) * 50 <= n0 * n1 AS within FROM (
       SELECT l_suppkey, sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 0 END) AS n1,
              sum(CASE WHEN l_linenumber % 2 = 0 AND l_returnflag = 'R' THEN 1 ELSE 0 END) AS e0, sum(CASE WHEN l_linenumber % 2 = 1 AND l_returnflag = 'R' THEN 1 ELSE 0 END) AS e1 FROM lineitem GROUP BY l_suppkey) x WHERE n0 > 0 AND n1 > 0""")
-Q["latency_calibration"] = ([], ["lineitem"], "SELECT l_suppkey, -CAST(floor(median(CAST(l_quantity AS BIGINT))) AS BIGINT) AS offset_samples FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 30")
-Q["si_sdr"] = (["pitch_frame"], [], """
-    SELECT song_id, round(CASE WHEN noise > 1E-9 AND power > 1E-9 THEN 10 * log10(power / noise) END, 4) AS si_sdr FROM (
-      SELECT song_id, xy * xy / xx AS power, yy - xy * xy / xx AS noise FROM (
-        SELECT song_id, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy FROM (SELECT song_id, value AS x, value + (event_id % 3) - 1 AS y FROM pitch_frame WHERE value IS NOT NULL) a GROUP BY song_id) b WHERE xx > 0) c""")
 Q["detector_support"] = (["pitch_frame"], [], """
     SELECT song_id, round(CASE WHEN sum(confidence * r) > 1E-12 THEN sum(confidence * r * voiced_probability) / sum(confidence * r) ELSE 0.0E0 END, 6) AS probability
     FROM (SELECT song_id, confidence, coalesce(voiced_probability, 0.0E0) AS voiced_probability, CASE WHEN event_type = 'click' THEN 0.9E0 ELSE 0.7E0 END AS r FROM pitch_frame) x GROUP BY song_id""")
