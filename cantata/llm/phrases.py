@@ -3,14 +3,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import checkpoint, salt_of
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: N-grams that a task sums up before it hands them on, bytes of text that it parts at a time, and phrases that it holds.
-CHUNK, SLICE, HELD = 4_000_000, 1 << 20, 300_000
+#: N-grams that a task sums up, and that it counts exactly, before it hands them on, bytes and rows of text that it parts at a time, and counts that it adds up at a time.
+CHUNK, COUNTED, SLICE, ROWS, ADDED = 2_000_000, 1_000_000, 1 << 20, 1000, 400_000
 #: Counters of a hash partition that a task should hold at most, where the number of partitions can see to it.
 COUNTERS, MOST_PARTS = 1_000_000, 1 << 16
 #: Bits of the map of surviving n-grams: 16 for each survivor within these bounds. Beyond 2^30 / 16 survivors the map passes more of the others, which the exact count then drops.
@@ -98,7 +99,10 @@ def buffers(batch):
     the cut that n-grams may reach into are in both slices.
     """
     by = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+    for at in range(ROWS, batch.num_rows, ROWS):
+        yield from buffers(batch.slice(at - ROWS, ROWS))
+    rest = batch.slice((batch.num_rows - 1) // ROWS * ROWS) if batch.num_rows else batch
+    for lang, text in zip(rest.column(0).to_pylist(), rest.column(1).cast(pa.binary()).to_pylist()):
         by.setdefault(lang, []).append(text)
     for lang, texts in by.items():
         buf = b"\n".join(texts).translate(_WORDS)
@@ -121,7 +125,7 @@ def passes(bitmap, h):
     """Whether the map has the bit of each hash; no map passes all."""
     if bitmap is None:
         return np.ones(len(h), bool)
-    bit = h & np.uint64(len(bitmap) * 64 - 1)
+    bit = h >> np.uint64(64 - (len(bitmap) * 64 - 1).bit_length())
     return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) != 0
 
 
@@ -183,16 +187,36 @@ class Summary:
         return self.keys[self.counts + self.taken >= self.threshold]
 
 
-def _chunks(lengths, maps, parts: int):
+def _dealt(keys, parts: int):
+    """(part, from, to) of rising keys: the hash partitions that have some."""
+    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    return [(int(p), int(edge[p]), int(edge[p + 1])) for p in np.flatnonzero(edge[1:] > edge[:-1])]
+
+
+def key_bytes(mass: int) -> int:
+    """The leading bytes of a hash that go into summaries: 8 bits more than n-grams need. Where two have the same ones they are counted together, which can only add survivors."""
+    return min(8, max(5, -(-(mass.bit_length() + 8) // 8)))
+
+
+def packed(keys, width: int) -> bytes:
+    return np.ascontiguousarray((keys >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked(data: bytes, width: int):
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(np.uint64) << np.uint64(64 - 8 * width)
+
+
+def _chunks(lengths, maps, parts: int, width: int):
     """Arrow batches of text to rows (part, keys, counts): the n-grams of a chunk summed up, for each hash partition."""
 
     def rows(kept):
         keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-        part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        full = np.flatnonzero(edge[1:] > edge[:-1])
-        cut = lambda a: [a[edge[p]:edge[p + 1]].tobytes() for p in full]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(cut(keys), pa.binary()), pa.array(cut(counts.astype(np.uint32)), pa.binary())], ["part", "keys", "counts"])
+        full, counts = _dealt(keys, parts), counts.astype(np.uint32)
+        ours = [packed(keys[s:e], width) for _, s, e in full], [counts[s:e].tobytes() for _, s, e in full]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, *_ in full], pa.int32()), *(pa.array(x, pa.binary()) for x in ours)], ["part", "keys", "counts"])
 
     def run(batches):
         on, kept, held = {n: m.value for n, m in maps.items()}, [], 0
@@ -211,12 +235,12 @@ def _chunks(lengths, maps, parts: int):
     return run
 
 
-def _merging(capacity: int, threshold: int):
+def _merging(capacity: int, threshold: int, width: int):
     def run(batches):
         s = Summary(capacity, threshold)
         for b in batches:
             for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s.add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64))
+                s.add(unpacked(keys, width), np.frombuffer(counts, np.uint32).astype(np.int64))
         left = s.survivors()
         for at in range(0, len(left), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(left[at:at + (1 << 16)].view(np.int64))], ["h"])
@@ -224,69 +248,136 @@ def _merging(capacity: int, threshold: int):
     return run
 
 
+def partitions(spark, mass: int, threshold: int) -> int:
+    """Hash partitions: so many that the counters of each, over mass / threshold of its share, fit a task."""
+    return min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mass // (threshold * COUNTERS))))
+
+
 def survivors(texts: DataFrame, lengths, maps: dict, mass: int, threshold: int) -> DataFrame:
     """(h): hashes of n-grams of the given lengths that may occur `threshold` times; each one that does is among them.
 
-    `mass` bounds the number of n-grams. Hash partitions are so many that the
-    counters of each, over mass / threshold of its share, fit a task.
+    `mass` bounds the number of n-grams.
     """
-    spark = texts.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(MOST_PARTS, max(least, -(-mass // (threshold * COUNTERS))))
+    parts = partitions(texts.sparkSession, mass, threshold)
     # Hashing deals n-grams evenly; twice the share is over what chance gives.
     capacity = 2 * (-(-mass // (parts * threshold))) + 1
-    rows = texts.mapInArrow(_chunks(lengths, maps, parts), "part int, keys binary, counts binary")
-    return rows.repartitionById(parts, "part").select("keys", "counts").mapInArrow(_merging(capacity, threshold), "h long")
+    width = key_bytes(mass)
+    rows = texts.mapInArrow(_chunks(lengths, maps, parts, width), "part int, keys binary, counts binary")
+    return rows.repartitionById(parts, "part").select("keys", "counts").mapInArrow(_merging(capacity, threshold, width), "h long")
 
 
 def bitmap(hashes: DataFrame):
     """A map of hashes as array of 64-bit words, of a size with a fixed bound; the words are made by Spark."""
     hashes = checkpoint(hashes)
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, hashes.count()) - 1).bit_length()))
-    at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = hashes.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63L as int))")).alias("v")).toArrow()
+    at = F.shiftrightunsigned("h", 64 - bits)
+    words = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("v")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
     out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
     return out
 
 
-def _counting(maps):
-    """Arrow batches of text to rows (lang, words, phrase, f): the n-grams on the maps, told apart by 128 bits; words 0 counts all words."""
+_COUNTS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+class _Chunk:
+    """The n-grams of some slices of text: their hashes, and where each of them stands."""
+
+    def __init__(self):
+        self.slices, self.parts, self.held = [], [], 0
+
+    def add(self, lang, words, on):
+        first, second = words.grams(lang), words.grams(lang, 1)
+        for n in range(1, LONGEST + 1):
+            at = possible(words, first, on, n)
+            self.parts.append((first[n - 1][at], second[n - 1][at], np.full(len(at), len(self.slices), np.int32), at.astype(np.int32), np.full(len(at), n, np.int8)))
+            self.held += len(at)
+        self.slices.append((lang, words))
+
+    def counts(self):
+        """Rising keys, and (lang, words, phrase, f) for each: n-grams are told apart by 128 bits, and their words are read once."""
+        a, c, which, at, n = map(np.concatenate, zip(*self.parts))
+        order = np.lexsort((c, a))
+        a, c = a[order], c[order]
+        edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))) if len(a) else np.zeros(0, int)
+        one, f = order[edge], np.diff(np.append(edge, len(a)))
+        names = [(self.slices[w][0], k, self.slices[w][1].phrase(i, k)) for w, i, k in zip(which[one].tolist(), at[one].tolist(), n[one].tolist())]
+        said = {}
+        for lang, words in self.slices:
+            said[lang] = said.get(lang, 0) + words.begin
+        keys = np.concatenate((a[edge], np.array([_seed(x, 0) for x in said], np.uint64)))
+        names, f = names + [(x, 0, "") for x in said], np.concatenate((f, np.fromiter(said.values(), np.int64, len(said))))
+        order = np.argsort(keys, kind="stable")
+        columns = list(zip(*(names[i] for i in order.tolist())))
+        return keys[order], pa.RecordBatch.from_arrays([*(pa.array(x, k.type) for x, k in zip(columns, _COUNTS)), pa.array(f[order])], schema=_COUNTS)
 
-    def run(batches):
-        on, held = {n: m.value for n, m in maps.items()}, {}
 
-        def rows():
-            keys = list(held)
-            cols = [[k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], list(held.values())]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "words", "phrase", "f"])
+def _total(tables):
+    """Tables of counts as one, with one row for each n-gram, in order."""
+    t = pa.concat_tables(tables).group_by(_COUNTS.names[:3]).aggregate([("f", "sum")])
+    return t.rename_columns({"f_sum": "f"}).select(_COUNTS.names).cast(_COUNTS)
+
+
+def _ipc(table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _COUNTS) as w:
+        w.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _counting(maps, parts: int):
+    """Arrow batches of text to rows (part, counts): the n-grams on the maps, and under words 0 all words, counted, added up within the task and packed for each hash partition."""
+
+    def rows(held):
+        for part in sorted(held):
+            # Names in order share their beginnings, which the shuffle's compression takes out.
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_ipc(_total(held[part]).sort_by([(n, "ascending") for n in _COUNTS.names[:3]]))], pa.binary())], ["part", "counts"])
+
+    def run(batches):
+        on, chunk, held, size, fresh = {n: m.value for n, m in maps.items()}, _Chunk(), {}, 0, 0
+
+        def put():
+            nonlocal size, fresh
+            keys, batch = chunk.counts()
+            table = pa.Table.from_batches([batch])
+            for p, s, e in _dealt(keys, parts):
+                held.setdefault(p, []).append(table.slice(s, e - s))
+            fresh += len(keys)
+            if fresh > ADDED:
+                for p, tables in held.items():
+                    held[p] = [_total(tables)]
+                size, fresh = sum(t.num_rows for x in held.values() for t in x), 0
 
         for b in batches:
             for lang, words in buffers(b):
-                first, second = words.grams(lang), words.grams(lang, 1)
-                key = (lang, 0, "")
-                held[key] = held.get(key, 0) + words.begin
-                for n in range(1, LONGEST + 1):
-                    at = possible(words, first, on, n)
-                    if not len(at):
-                        continue
-                    a, c = first[n - 1][at], second[n - 1][at]
-                    order = np.argsort(a, kind="stable")
-                    a, c, at = a[order], c[order], at[order]
-                    new = np.concatenate(([True], a[1:] != a[:-1]))
-                    if (~new[1:] & (c[1:] != c[:-1])).any():  # two n-grams of one hash
-                        order = np.lexsort((c, a))
-                        a, c, at = a[order], c[order], at[order]
-                        new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
-                    edge = np.flatnonzero(new)
-                    for i, f in zip(at[edge].tolist(), np.diff(np.append(edge, len(a))).tolist()):
-                        key = (lang, n, words.phrase(i, n))
-                        held[key] = held.get(key, 0) + f
-                if len(held) >= HELD:
-                    yield rows()
-        if held:
-            yield rows()
+                chunk.add(lang, words, on)
+                if chunk.held >= COUNTED or len(chunk.slices) >= 64:
+                    put()
+                    chunk = _Chunk()
+                    if size > ADDED:  # even with each n-gram in one row
+                        yield from rows(held)
+                        held, size = {}, 0
+        if chunk.slices:
+            put()
+        yield from rows(held)
+
+    return run
+
+
+def _adding(threshold: int):
+    """Packed counts of hash partitions to rows (lang, words, phrase, f), with those below the threshold left out; a partition holds every count of its n-grams."""
+
+    def run(batches):
+        tables, rows, last = [_COUNTS.empty_table()], 0, 0
+        for b in batches:
+            for packed in b.column(0):
+                tables.append(pa.ipc.open_stream(packed.as_buffer()).read_all())
+                rows += tables[-1].num_rows
+                if rows > max(ADDED, 2 * last):
+                    tables = [_total(tables)]
+                    rows = last = tables[0].num_rows
+        t = _total(tables)
+        yield from t.filter((pa.compute.field("f") >= threshold) | (pa.compute.field("words") == 0)).to_batches(1 << 14)
 
     return run
 
@@ -301,8 +392,9 @@ def counts(docs: DataFrame, threshold: int = 100, col: str = "text", lang: str =
     for lengths in ((1,), (2,), tuple(range(3, LONGEST + 1))):
         found = spark.sparkContext.broadcast(bitmap(survivors(texts, lengths, maps, most * len(lengths), threshold)))
         maps = maps | dict.fromkeys(lengths, found)
-    rows = texts.mapInArrow(_counting(maps), "lang string, words int, phrase string, f long")
-    return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("words") == 0))
+    parts = partitions(spark, most * LONGEST, threshold)
+    rows = texts.mapInArrow(_counting(maps, parts), "part int, counts binary")
+    return rows.repartitionById(parts, "part").select("counts").mapInArrow(_adding(threshold), "lang string, words int, phrase string, f long")
 
 
 def score(a, n, l, r):

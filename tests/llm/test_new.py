@@ -168,6 +168,14 @@ def test_summaries_keep_every_frequent_key():
             assert len(s.keys) <= capacity and s.taken > 0
 
 
+def test_keys_are_cut_to_what_the_mass_needs():
+    h = np.random.default_rng(6).integers(0, 1 << 64, 1000, dtype=np.uint64)
+    assert [phrases.key_bytes(m) for m in (0, 10**6, 4 * 10**8, 10**12, 10**15, 10**18)] == [5, 5, 5, 6, 8, 8]
+    for width in (5, 6, 8):
+        back = phrases.unpacked(phrases.packed(h, width), width)
+        assert (back >> np.uint64(64 - 8 * width) == h >> np.uint64(64 - 8 * width)).all() and (width == 8) == (back == h).all()
+
+
 def test_phrase_map_passes_every_survivor(spark):
     h = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 5000)
     m = phrases.bitmap(spark.createDataFrame([(int(x),) for x in h], "h long"))
