@@ -140,8 +140,12 @@ def test_html_surge_chooses_among_marked_units():
     want = f"Head\n\n{para}\n\nEnd."
     card = "<article><h3>Other</h3><p>A card of a few words.</p></article>"
     reply = "<article><p>Nice read, thanks.</p></article>"
-    assert html.main_text(card + story % (reply * 9) + card * 9) == want
-    assert html.main_text(f"<main><h1>Site</h1>{story % ''}{card}</main>") == f"Site\n\n{want}"
+    # Replies within an article go; other marked pieces, short ones too, stay.
+    other = "Other\n\nA card of a few words."
+    assert html.main_text(story % (reply * 9)) == want
+    assert html.main_text(card + story % (reply * 9) + card) == f"{other}\n\n{want}\n\n{other}"
+    assert html.main_text(f"<main><h1>Site</h1>{story % ''}{card}</main>") == f"Site\n\n{want}\n\n{other}"
+    assert html.main_text(f"{story % ''}<aside>{card}</aside><div class='related-articles'>{card}</div>") == want
     # Two articles both stay; a list of short pieces stays whole; an article outside the marks is not lost to cards.
     assert html.main_text(story % "" + story % "") == f"{want}\n\n{want}"
     assert html.main_text(card * 3) == "\n\n".join(["Other", "A card of a few words."] * 3)
@@ -156,10 +160,33 @@ def test_html_without_marks_keeps_every_stretch():
     # Menu, advert and form lines inside the article do not part it.
     junk = "<ul class='menu'>" + "<li>Go</li>" * 9 + "</ul><form>" + "<p>Name</p>" * 9 + "</form><div class='ad'>" + "<p>Buy</p>" * 9 + "</div>"
     assert html.main_text(f"<div>{tag(para[:3])}{junk}{tag(para[3:])}</div>") == "\n\n".join(para)
-    # Short lines between two stretches stay; page numbers before the first surge go.
+    # Short lines between and beside the long ones stay.
     short = ["a", "b", "c", "d", "e", "f", "g"]
     assert html.main_text(tag(para[:3] + short + para[3:])) == "\n\n".join(para[:3] + short + para[3:])
-    assert html.main_text(tag(short + para)) == "\n\n".join(short[-2:] + para)
+    assert html.main_text(tag(short + para)) == "\n\n".join(short + para)
+    # Lists of links, and short lines that stand apart, do not surge; a headline beside the text does.
+    menu = "<ul>" + "<li><a href='/'>Some other page</a></li>" * 9 + "</ul>"
+    far = "<div><div><div><p>About us</p></div></div></div>"
+    assert html.main_text(f"<div>{menu}<div><h2>Head</h2></div><div>{tag(para)}<p>See <a>this</a>.</p></div></div>{far}") == "\n\n".join(["Head", *para, "See this."])
+    assert html.main_text(menu) == "\n\n".join(["Some other page"] * 9)
+
+
+def test_html_surge_and_dive_decide(monkeypatch):
+    para = " ".join(["word"] * 100)
+    pages = [f"<div><div><p>Breadcrumb</p></div></div><article><p>{para}</p></article><div><div><p>Some far words</p></div></div>", f"<ul><li><a>Home</a></li></ul><div><p>{para}</p></div>", f"<article><p>{para}</p></article><ul><li><a>Next story</a></li></ul>"]
+    assert [html.main_text(p) for p in pages] == [para] * 3
+    monkeypatch.setattr(html, "surge_and_dive", lambda w, *_: [(0, len(w))])
+    assert all(html.main_text(p) != para for p in pages)
+
+
+def test_html_names_count_as_wholes():
+    para = " ".join(["word"] * 100)
+    for name in ("share-price", "adaptive", "header-image-story", "navigator", "entry-header", "bannerman", "a", "x-1", "post-footer"):
+        for mark in ("article", "div"):
+            assert html.main_text(f"<{mark}><p>{para}</p><div class='{name}'><p>Rose to 17</p></div></{mark}>") == f"{para}\n\nRose to 17", name
+    for name in ("share", "share-buttons", "ad", "ad-300x250", "google_ads", "sidebarLeft", "site-footer", "cookie-notice", "comment-list", "related-posts", "x share", "navbar navbar-fixed-top", "header", "page-header"):
+        assert html.main_text(f"<article><p>{para}</p><div class='{name}'><p>Rose to 17</p></div></article>") == para, name
+    assert html.main_text(f"<article><p>{para}</p></article><article><p>Rose to 17.</p></article>") == f"{para}\n\nRose to 17."
 
 
 def test_html_noise_words_spare_marks_headings_and_layout():
