@@ -132,7 +132,7 @@ def align(log_probs: np.ndarray, tokens: list, blank: int):
     path = np.empty(len(log_probs), int)
     for t in range(len(log_probs) - 1, -1, -1):
         path[t] = at
-        at -= back[t, at]
+        at -= int(back[t, at])
     frames = [np.flatnonzero(path == 2 * k + 1) for k in range(len(tokens))]
     return [(int(f[0]), int(f[-1]) + 1, float(np.exp(log_probs[f, k]).mean())) for f, k in zip(frames, tokens)]
 
