@@ -1,8 +1,7 @@
 """Operators of the song-preparation domain as declarative plans: name -> (views, tables, SQL)."""
-import re
 from functools import partial
 
-from . import checks, evaluation, library, metrics, notes, session, signals, timeline, views
+from . import checks, evaluation, library, metrics, notes, rules, session, signals, timeline, views
 
 Q = {}
 
@@ -12,7 +11,6 @@ def _q(name, needs, tables, sql):
 
 
 # Scalars and predicates
-_q("cents_between", ["pitch_frame"], [], "SELECT event_id, round(1200 * log2(value / 440), 6) AS cents FROM pitch_frame WHERE value > 0")
 _q("hz_to_midi", ["pitch_frame"], [], "SELECT event_id, round(midi, 6) AS midi FROM pitch_frame")
 _q("clamp", ["pitch_frame"], [], "SELECT event_id, least(80.0E0, greatest(20.0E0, value)) AS clamped FROM pitch_frame WHERE value IS NOT NULL")
 _q("voiced_projection", ["pitch_frame"], [], "SELECT event_id, CASE WHEN midi IS NOT NULL AND voiced_probability >= 0.6 THEN round(midi, 6) END AS voiced_midi FROM pitch_frame")
@@ -23,14 +21,9 @@ _q("window_cells", ["pitch_frame"], [], """
     FROM (SELECT song_id, idx, idx * 480 + 240 AS center, lag(idx * 480 + 240) OVER (PARTITION BY song_id ORDER BY idx) AS before,
                  lead(idx * 480 + 240) OVER (PARTITION BY song_id ORDER BY idx) AS after FROM pitch_frame) w""")
 _q("seconds_to_samples", [], ["orders"], "SELECT o_orderkey, CAST(round(CAST(o_totalprice / 1000 AS DECIMAL(20,6)) * 48000) AS BIGINT) AS sample FROM orders WHERE o_totalprice BETWEEN 0 AND 3600000")
-_q("clock_map", ["pitch_frame"], [], """
-    SELECT event_id, idx * 480 AS stream_sample,
-           20000 + (idx * 480 - 10000) + CAST(round((idx * 480 - 10000) * 100 / CAST(1000000 AS DECIMAL(20,0))) AS BIGINT) + 100 AS song_sample FROM pitch_frame""")
 _q("span_validity", ["lyric_segment"], [], "SELECT song_id, turn, CASE WHEN start_sample < 0 THEN 'negative' WHEN end_sample <= start_sample THEN 'empty' ELSE 'ok' END AS status FROM lyric_segment")
 _q("confidence_range", ["note"], [], "SELECT song_id, seq, confidence BETWEEN 0 AND 1 AS valid FROM note")
 _q("unreferenced_orders", [], ["orders", "lineitem"], "SELECT l_orderkey, l_linenumber FROM lineitem LEFT ANTI JOIN orders ON l_orderkey = o_orderkey")
-_q("key_uniqueness", [], ["conversations"], "SELECT conv_id, turn, count(*) AS n FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1")
-_q("grid_validation", ["pitch_frame"], [], "SELECT song_id, count(*) AS frames, max(idx) + 1 = count(*) AS complete FROM pitch_frame GROUP BY song_id")
 
 # Joins; every range carries song equality
 _q("lyric_at_sample", ["lyric_segment"], [], """
@@ -38,7 +31,6 @@ _q("lyric_at_sample", ["lyric_segment"], [], """
       SELECT p.song_id, p.probe, s.turn, row_number() OVER (PARTITION BY p.song_id, p.probe ORDER BY s.start_sample DESC, s.turn) AS r
       FROM (SELECT DISTINCT song_id, start_sample + 2400 AS probe FROM lyric_segment) p
       LEFT JOIN lyric_segment s ON p.song_id = s.song_id AND s.start_sample <= p.probe AND p.probe < s.end_sample) x WHERE r = 1""")
-_q("next_lyric", ["lyric_segment"], [], "SELECT song_id, turn, lead(turn) OVER (PARTITION BY song_id ORDER BY start_sample, turn) AS next_turn FROM lyric_segment")
 _q("notes_overlapping", ["note"], [], "SELECT song_id, seq, midi_note FROM note WHERE start_sample < 24000 AND end_sample > 4800")
 _q("asof_boundary", ["pitch_frame", "boundary"], [], """
     SELECT song_id, idx, max(sample) OVER (PARTITION BY song_id ORDER BY idx, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_boundary, kind FROM (
@@ -50,9 +42,6 @@ _q("near_event_strength", ["pitch_frame", "boundary"], [], """
 
 # Aggregates
 _q("median_pitch", ["pitch_frame"], [], "SELECT song_id, round(median(midi), 6) AS median_midi FROM pitch_frame GROUP BY song_id")
-_q("split_strata", [], ["documents"], """
-    SELECT CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'development' END AS split, lang, source, count(*) AS n FROM documents
-    GROUP BY GROUPING SETS ((CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'development' END), (lang), (source))""")
 _q("split_leakage", [], ["documents"], "SELECT source, count(DISTINCT CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS splits FROM documents GROUP BY source HAVING count(DISTINCT CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) > 1")
 _q("normalise_p95", ["pitch_frame"], [], """
     SELECT f.song_id, f.event_id, round(CASE WHEN p.q > 0 THEN least(1.0E0, greatest(0.0E0, f.value / p.q)) ELSE 0.0E0 END, 6) AS strength
@@ -60,9 +49,6 @@ _q("normalise_p95", ["pitch_frame"], [], """
 _q("rollup_cases", ["note"], [], "SELECT song_id, count(*) AS notes, sum(end_sample - start_sample) AS samples FROM note GROUP BY ROLLUP(song_id)")
 
 # Windows
-_q("frame_deltas", ["pitch_frame"], [], """
-    SELECT song_id, idx, round(jump, 6) AS jump, round(least(1.0E0, greatest(0.0E0, (jump - 35) / 165)), 6) AS ramp FROM (
-      SELECT song_id, idx, abs(100 * (midi - lag(midi) OVER (PARTITION BY song_id ORDER BY idx))) AS jump FROM pitch_frame) d""")
 _q("energy_rise", ["pitch_frame"], [], "SELECT song_id, idx, round(db - lag(db) OVER (PARTITION BY song_id ORDER BY idx), 6) AS delta_db FROM (SELECT song_id, idx, 20 * log10(greatest(abs(value), 1E-8)) AS db FROM pitch_frame) e")
 _q("local_maxima", ["pitch_frame"], [], """
     SELECT song_id, idx FROM (SELECT song_id, idx, confidence AS c, coalesce(lag(confidence) OVER (PARTITION BY song_id ORDER BY idx), -1) AS a, coalesce(lead(confidence) OVER (PARTITION BY song_id ORDER BY idx), -1) AS b FROM pitch_frame) x
@@ -81,20 +67,17 @@ _q("argmax_runner_up", ["note"], [], """
     SELECT song_id, max(CASE WHEN r = 1 THEN midi_note END) AS best, max(CASE WHEN r = 2 THEN midi_note END) AS second FROM (
       SELECT song_id, midi_note, row_number() OVER (PARTITION BY song_id ORDER BY d DESC, midi_note) AS r FROM (SELECT song_id, midi_note, sum(end_sample - start_sample) AS d FROM note GROUP BY song_id, midi_note) a) b WHERE r <= 2 GROUP BY song_id""")
 
-for _more in (timeline, evaluation, library, session, signals, notes, checks, metrics):
+for _more in (timeline, evaluation, library, session, signals, notes, checks, metrics, rules):
     Q.update(_more.Q)
 
 
 def _run(name, spark, sf_dir):
+    """The query over the tables of one folder, which stand in it by path, so that folders do not meet in a session's names."""
     needs, tables, sql = Q[name]
-    used = dict.fromkeys(t for v in views.closure(needs) for t in views.SOURCES[v])
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in [*used, *tables]}
-    text = views.with_views(needs, sql)
-    for t in frames:
-        frames[t].createOrReplaceTempView(f"cantata_{t}")
-    for t in frames:
-        text = re.sub(rf"(?<=FROM ){t}\b|(?<=JOIN ){t}\b", f"cantata_{t}", text)
-    return spark.sql(text)
+    used = dict.fromkeys([t for v in views.closure(needs) for t in views.SOURCES[v]] + tables)
+    text = views.with_views(needs, sql).strip()
+    own = ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in used)
+    return spark.sql(f"WITH {own}, {text[5:]}" if text[:5].upper() == "WITH " else f"WITH {own} {text}")
 
 
 def queries():
@@ -102,5 +85,5 @@ def queries():
 
 
 def oracle_sql():
-    """SQL for each query: a reading of its own where notes, checks or metrics has one, else the query's text."""
-    return {n: views.with_views(needs, (notes.ORACLE | checks.ORACLE | metrics.ORACLE).get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}
+    """SQL for each query: a reading of its own where notes, checks, metrics or rules has one, else the query's text."""
+    return {n: views.with_views(needs, (notes.ORACLE | checks.ORACLE | metrics.ORACLE | rules.ORACLE).get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}

@@ -14,9 +14,6 @@ Q["release_verdict"] = ([], ["nation", "supplier"], """
     SELECT n_regionkey AS release, CASE WHEN min(CASE WHEN status = 'pass' THEN 1 ELSE 0 END) = 1 THEN 'pass' WHEN max(CASE WHEN status = 'fail' THEN 1 ELSE 0 END) = 1 THEN 'fail' ELSE 'unverified' END AS verdict,
            sum(CASE WHEN status = 'unverified' THEN 1 ELSE 0 END) AS missing FROM (
       SELECT n.n_regionkey, coalesce(r.status, 'unverified') AS status FROM nation n LEFT JOIN (SELECT s_nationkey, CASE WHEN min(s_acctbal) < 0 THEN 'fail' ELSE 'pass' END AS status FROM supplier GROUP BY s_nationkey) r ON n.n_nationkey = r.s_nationkey) x GROUP BY n_regionkey""")
-Q["threshold_check"] = ([], ["nation", "supplier"], """
-    SELECT n.n_nationkey AS metric, CASE WHEN n.n_nationkey % 4 = 3 THEN 'no_threshold' WHEN r.v IS NULL THEN 'unverified' WHEN n.n_nationkey % 2 = 0 AND r.v >= 4000 THEN 'pass' WHEN n.n_nationkey % 2 = 1 AND r.v <= 4000 THEN 'pass' ELSE 'fail' END AS status
-    FROM nation n LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS v FROM supplier GROUP BY s_nationkey) r ON n.n_nationkey = r.s_nationkey""")
 # Counts, not rates, so the comparison stays exact: e1 / n1 - e0 / n0 <= 1 / 50
 Q["cer_regression"] = ([], ["lineitem"], """
     SELECT l_suppkey, (e1 * n0 - e0 * n1) * 50 <= n0 * n1 AS within FROM (

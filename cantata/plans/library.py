@@ -4,9 +4,6 @@ Q = {}
 
 Q["list_page"] = ([], ["orders"], "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 101")
 Q["point_lookup"] = ([], ["customer"], "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
-Q["idempotent_import"] = ([], ["orders"], """
-    SELECT n.o_orderkey, CASE WHEN p.o_orderkey IS NULL THEN 'publish' WHEN p.digest = n.digest THEN 'reuse' ELSE 'conflict' END AS outcome
-    FROM (SELECT o_orderkey, o_orderstatus AS digest FROM orders) n LEFT JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'changed' ELSE o_orderstatus END AS digest FROM orders WHERE o_orderkey % 2 = 0) p ON n.o_orderkey = p.o_orderkey""")
 Q["package_catalog"] = ([], ["part"], """
     SELECT p_partkey, CASE WHEN p_name IS NULL THEN 'invalid' WHEN p_size > 40 THEN 'no_adapter' WHEN n > 1 THEN 'duplicate' ELSE 'valid' END AS state FROM (SELECT p_partkey, p_name, p_size, count(*) OVER (PARTITION BY p_name) AS n FROM part) x""")
 Q["selection_fallback"] = ([], ["customer"], """
@@ -15,10 +12,6 @@ Q["selection_fallback"] = ([], ["customer"], """
 Q["migrate_document"] = ([], ["part"], """
     SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN 'unsupported' ELSE 'ok' END AS status, CASE WHEN p_size % 3 = 0 THEN coalesce(CASE WHEN p_size % 2 = 0 THEN p_type END, 'unknown') WHEN p_size % 3 = 1 THEN p_type END AS kind FROM part""")
 Q["build_policy"] = ([], ["part"], "SELECT p_partkey, lower(p_type) NOT LIKE '%brass%' AND lower(p_name) NOT LIKE '%x%' AS allowed FROM part")
-Q["edit_diff"] = ([], ["supplier"], """
-    SELECT coalesce(a.k, b.k) AS id, CASE WHEN a.k IS NULL THEN 'add' WHEN b.k IS NULL THEN 'delete' ELSE 'update' END AS op
-    FROM (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier WHERE s_suppkey % 4 > 0) a FULL OUTER JOIN (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_nationkey END AS v FROM supplier WHERE s_suppkey % 7 > 0) b ON a.k = b.k
-    WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v""")
 Q["stage_digests"] = ([], ["customer", "supplier"], """
     SELECT coalesce(a.k, b.k) AS stage, a.d IS NOT DISTINCT FROM b.d AS same FROM (SELECT c_nationkey AS k, count(*) % 3 AS d FROM customer GROUP BY c_nationkey) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) % 3 AS d FROM supplier GROUP BY s_nationkey) b ON a.k = b.k""")
 Q["admission"] = ([], ["orders"], "SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS active, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) < 16 AS admits FROM orders GROUP BY o_custkey")

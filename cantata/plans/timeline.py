@@ -9,20 +9,11 @@ Q["frame_to_sample"] = (["pitch_frame"], [], "SELECT event_id, CAST(floor(idx *
 Q["line_interval"] = (["lyric_segment"], [], """
     SELECT song_id, turn, s AS start_sample, e AS end_sample FROM (
       SELECT song_id, turn, coalesce(CASE WHEN turn % 3 > 0 THEN start_sample END, 4800 * turn - 240) AS s, coalesce(CASE WHEN turn % 3 > 0 THEN end_sample END, 4800 * turn + 2400) AS e FROM lyric_segment) x WHERE s < e AND s >= 0""")
-Q["external_overlap"] = (["note"], [], """
-    SELECT a.song_id, a.seq, b.seq AS other FROM note a JOIN (SELECT song_id, seq, start_sample + 3000 AS start_sample, end_sample + 3000 AS end_sample FROM note) b ON a.song_id = b.song_id AND a.start_sample < b.end_sample AND b.start_sample < a.end_sample
-    WHERE least(a.end_sample, b.end_sample) - greatest(a.start_sample, b.start_sample) >= 0.25 * least(a.end_sample - a.start_sample, b.end_sample - b.start_sample)""")
 # Tempo: a change at each click, microseconds a quarter, 480 ticks a quarter
 Q["tempo_integral"] = (["pitch_frame"], [], """
     SELECT song_id, tick, tempo, CAST(coalesce(sum((tick - before) * before_tempo) OVER (PARTITION BY song_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS numerator FROM (
       SELECT song_id, tick, tempo, lag(tick) OVER (PARTITION BY song_id ORDER BY tick) AS before, lag(tempo) OVER (PARTITION BY song_id ORDER BY tick) AS before_tempo
       FROM (SELECT song_id, idx * 120 AS tick, 400000 + (event_id % 9) * 50000 AS tempo FROM pitch_frame WHERE event_type = 'click') t) u""")
-Q["tempo_at_tick"] = (["pitch_frame"], [], """
-    SELECT song_id, tick, coalesce(changed, 500000) AS tempo FROM (
-      SELECT song_id, idx * 120 AS tick, event_type, max_by_at.tempo AS changed FROM pitch_frame
-      LEFT JOIN (SELECT song_id AS sid, tick AS from_tick, tempo, lead(tick) OVER (PARTITION BY song_id ORDER BY tick) AS to_tick FROM (
-        SELECT song_id, idx * 120 AS tick, 400000 + (event_id % 9) * 50000 AS tempo FROM pitch_frame WHERE event_type = 'click') t) max_by_at
-      ON song_id = sid AND idx * 120 >= from_tick AND (to_tick IS NULL OR idx * 120 < to_tick)) x""")
 Q["external_transitions"] = (["note"], [], """
     SELECT song_id, start_sample AS sample FROM (SELECT song_id, start_sample, midi_note, lag(midi_note) OVER w AS was, lag(end_sample) OVER w AS ended FROM note WINDOW w AS (PARTITION BY song_id ORDER BY start_sample, end_sample, seq)) x
     WHERE was IS NOT NULL AND (midi_note <> was OR start_sample > ended)""")
@@ -36,13 +27,6 @@ Q["window_owner"] = (["note"], [], """
       SELECT song_id, seq, start_sample, end_sample, CAST(floor((start_sample + end_sample) / 2 / 1344000) AS BIGINT) AS w FROM note) x
     WHERE start_sample >= w * 1344000 - 48000 AND end_sample <= (w + 1) * 1344000 + 48000""")
 Q["onset_mix"] = (["pitch_frame"], [], "SELECT song_id, idx, round(0.65 * confidence + 0.35 * voiced_probability, 6) AS onset FROM pitch_frame")
-Q["silence_signals"] = (["pitch_frame"], [], """
-    SELECT song_id, idx, round(silence, 6) AS silence, round(abs(silence - coalesce(lag(silence) OVER (PARTITION BY song_id ORDER BY idx), silence)), 6) AS boundary FROM (
-      SELECT song_id, idx, least(1.0E0, greatest(0.0E0, 1 - confidence)) * (1 - coalesce(voiced_probability, 0.0E0)) AS silence FROM pitch_frame) s""")
-Q["clock_epochs"] = (["pitch_frame"], [], """
-    SELECT song_id, idx, reason, sum(CASE WHEN reason = 'continuous' THEN 0 ELSE 1 END) OVER (PARTITION BY song_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch FROM (
-      SELECT song_id, idx, CASE WHEN before IS NULL THEN 'continuous' WHEN event_type <> before AND event_type = 'purchase' THEN 'device_change' WHEN jump > 500 THEN 'gap' WHEN jump < 0 THEN 'reset' ELSE 'continuous' END AS reason FROM (
-        SELECT song_id, idx, event_type, lag(event_type) OVER (PARTITION BY song_id ORDER BY idx) AS before, event_id - lag(event_id) OVER (PARTITION BY song_id ORDER BY idx) AS jump FROM pitch_frame) a) b""")
 Q["top_states"] = (["pitch_frame"], [], """
     SELECT song_id, idx, r AS place FROM (SELECT song_id, idx, row_number() OVER (PARTITION BY song_id ORDER BY confidence DESC, voiced_probability DESC, idx) AS r FROM pitch_frame) x WHERE r <= 8""")
 Q["canonical_order"] = (["lyric_segment"], [], "SELECT song_id, turn, row_number() OVER (PARTITION BY song_id ORDER BY start_sample, end_sample, role, turn) AS place FROM lyric_segment")
