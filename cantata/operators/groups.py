@@ -1,6 +1,6 @@
 """Per-song folds as grouped Arrow: rows in order in, rows out."""
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -29,7 +29,9 @@ def pair(left: DataFrame, right: DataFrame, key: str, orders: tuple, step, schem
     arrow = to_arrow_schema(full)
 
     def run(k, a, b):
-        sides = [t.sort_by([(c, "ascending") for c in o]).to_pylist() for t, o in zip((a, b), orders)]
+        sides = [pa.Table.from_struct_array(t.column("row").combine_chunks()).sort_by([(c, "ascending") for c in o]).to_pylist() if t.num_rows else [] for t, o in zip((a, b), orders)]
         return pa.Table.from_pylist([dict(zip(arrow.names, (k[0].as_py(), *r))) for r in step(*sides)], arrow)
 
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, full)
+    # As one struct each: sides made from one table share columns, and Spark would give a shared one to one side only.
+    packed = lambda df: df.select(key, F.struct(*df.columns).alias("row"))
+    return packed(left).groupBy(key).cogroup(packed(right).groupBy(key)).applyInArrow(run, full)
