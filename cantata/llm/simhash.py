@@ -6,11 +6,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bits_to_salts, checkpoint, salt_bits, salt_of
+from .common import SALTS, bits_to_salts, checkpoint, salt_bits, salt_of
 from .components import components
 
 #: Codes per upper node, on average over chance codes, up to which fewer patterns serve; and codes of one task.
 NODE, SPLIT = 512, 20000
+#: Up to so many hot nodes, of two longs each, are broadcast.
+FEW_HOT = 500_000
 #: Shingles hashed at a time: bounds memory on very long texts.
 CHUNK = 1 << 14
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -178,14 +180,18 @@ def _upper_nodes(nodes: DataFrame, blocks: list, d: int) -> DataFrame:
         keys.append(F.struct(F.lit(t).cast("long").alias("tab"), F.expr(" | ".join(parts)).alias("key")))
     dealt = nodes.select("fp", "node", F.explode(F.array(*keys)).alias("x")).select("x.tab", "x.key", "fp", "node")
     hot = checkpoint(dealt.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT))
-    rows = hot.agg(F.sum("n")).first()[0] or 0
+    count, rows = hot.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     whole = F.lit(0).cast("long").alias("part")
     if not rows:
         return dealt.select("tab", "key", whole, "fp", "node")
-    # At most one hot node per SPLIT rows.
-    few = hot.select("tab", "key")
-    cold = dealt.join(F.broadcast(few), ["tab", "key"], "left_anti").select("tab", "key", whole, "fp", "node")
-    warm = dealt.join(F.broadcast(few), ["tab", "key"]).withColumn("rank", F.col("fp"))
+    # At most one hot node per SPLIT rows: they go along with the plan while they are few, else they meet the codes by salt.
+    on = ["tab", "key"]
+    few = F.broadcast(hot.select(*on))
+    if count > FEW_HOT:
+        on, dealt = [*on, "s"], dealt.withColumn("s", salt_of(F.col("fp")))
+        few = hot.select("tab", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    cold = dealt.join(few, on, "left_anti").select("tab", "key", whole, "fp", "node")
+    warm = dealt.join(few, on).select("tab", "key", "fp", "node", F.col("fp").alias("rank"))
     for s in (1, 2, 4, 8, 16, 32):
         warm = warm.withColumn("rank", F.expr(f"rank ^ shiftrightunsigned(rank, {s})"))
     warm = checkpoint(warm.repartitionByRange(-(-2 * rows // SPLIT), "tab", "key", "rank").withColumn("g", F.spark_partition_id().cast("long")).drop("rank"))

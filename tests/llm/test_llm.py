@@ -231,8 +231,9 @@ def test_upper_nodes_lose_no_link(spark, monkeypatch):
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     nodes = spark.createDataFrame(list(zip(signed, range(len(codes)))), "fp long, node long")
     want = brute.components(dict(enumerate(codes)))
-    for n, split in ((10, 20000), (10, 20), (1 << 40, 20000), (1 << 25, 30)):
+    for n, split, few in ((10, 20000, 9), (10, 20, 500), (10, 20, 0), (1 << 40, 20000, 9), (1 << 25, 30, 0)):
         monkeypatch.setattr(simhash, "SPLIT", split)
+        monkeypatch.setattr(simhash, "FEW_HOT", few)
         blocks = simhash.blocks_for(n)
         assert sum(w for _, w in blocks) == 64
         dealt = simhash._upper_nodes(nodes, blocks, 4).repartition("tab", "key", "part").sortWithinPartitions("tab", "key", "part")
