@@ -48,18 +48,26 @@ def match_notes(reference: DataFrame, predicted: DataFrame, tolerance: int, key:
     """(key, start_sample, end_sample, midi_note, other_start, other_end, other_midi) of each reference note: of the free predictions that begin within `tolerance`, or share half of the shorter note, the one with the least onset error, then the larger share, then the earlier."""
 
     def step(refs, preds):
-        free = dict(enumerate(preds))
+        # A sweep: predictions enter when a reference may reach them, and leave when no later one can.
+        live, left, at = {}, [], 0
         for r in refs:
+            start, end = r["start_sample"], r["end_sample"]
+            while at < len(preds) and preds[at]["start_sample"] <= max(start + tolerance, end):
+                live[at] = preds[at]
+                at += 1
             best = None
-            for i, p in free.items():
-                onset = abs(p["start_sample"] - r["start_sample"])
-                shared = max(0, min(p["end_sample"], r["end_sample"]) - max(p["start_sample"], r["start_sample"]))
-                share = shared / max(1, min(r["end_sample"] - r["start_sample"], p["end_sample"] - p["start_sample"]))
+            for i, p in [*live.items()]:
+                onset = abs(p["start_sample"] - start)
+                if p["end_sample"] <= start and p["start_sample"] < start - tolerance:
+                    left.append(live.pop(i))
+                    continue
+                shared = max(0, min(p["end_sample"], end) - max(p["start_sample"], start))
+                share = shared / max(1, min(end - start, p["end_sample"] - p["start_sample"]))
                 if (onset <= tolerance or share >= 0.5) and (best is None or (onset, -share, i) < best):
                     best = (onset, -share, i)
-            p = free.pop(best[2]) if best else dict.fromkeys(("start_sample", "end_sample", "midi_note"))
-            yield r["start_sample"], r["end_sample"], r["midi_note"], p["start_sample"], p["end_sample"], p["midi_note"]
-        for p in free.values():
+            p = live.pop(best[2]) if best else dict.fromkeys(("start_sample", "end_sample", "midi_note"))
+            yield start, end, r["midi_note"], p["start_sample"], p["end_sample"], p["midi_note"]
+        for p in (*left, *live.values(), *preds[at:]):
             yield None, None, None, p["start_sample"], p["end_sample"], p["midi_note"]
 
     cols, order = [key, "start_sample", "end_sample", "midi_note"], ["start_sample", "end_sample", "midi_note"]

@@ -1,6 +1,7 @@
 """Queries from pitch observations to notes; ORACLE holds SQL of another form for those that SQL can express."""
 from pyspark.sql import functions as F
 
+from cantata.sources.publish import work_path
 from cantata.operators import folds, melody
 
 from . import notes, views
@@ -107,10 +108,13 @@ ORACLE["note_hypotheses"] = views.with_views(["note"], f"""
 
 def note_path(spark, d):
     """Candidates, hypotheses with imported notes, key and repetition bonus, best path."""
-    found = _candidates(spark, d)
+    # Written once: keys, hypotheses, priors and the path all read them.
+    path, found = work_path(spark, "candidates"), _candidates(spark, d)
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
     pairs = found.select("song_id").distinct().selectExpr("song_id", "1 AS pair", "0 AS source_start", "9600 AS source_end", "9600 AS repeat_start", "24000 AS repeat_end", "0.8D AS confidence")
-    path = melody.best_path(found, melody.hypotheses(found, _external(spark, d)), melody.estimate_key(found), melody.priors(found, pairs))
-    return path.withColumn("confidence", F.round("confidence", 6))
+    best = melody.best_path(found, melody.hypotheses(found, _external(spark, d)), melody.estimate_key(found), melody.priors(found, pairs))
+    return best.withColumn("confidence", F.round("confidence", 6))
 
 
 def recovered_notes(spark, d):

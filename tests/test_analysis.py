@@ -59,6 +59,31 @@ def test_notes(spark):
     assert m["c"].pitch_f1 is None and m["d"].reference_count == 0
 
 
+def test_notes_match_like_a_plain_search(spark):
+    rng = random.Random(9)
+    songs = {s: [sorted((a, a + rng.randrange(0, 9000), rng.randrange(60, 63)) for a in (rng.randrange(40000) for _ in range(rng.randrange(25)))) for _ in range(2)] for s in range(60)}
+
+    def plain(refs, preds):
+        free, out = list(enumerate(preds)), []
+        for r in refs:
+            fits = []
+            for i, p in free:
+                onset, shared = abs(p[0] - r[0]), max(0, min(p[1], r[1]) - max(p[0], r[0]))
+                share = shared / max(1, min(r[1] - r[0], p[1] - p[0]))
+                fits += [((onset, -share, i), p)] if onset <= 1500 or share >= 0.5 else []
+            best = min(fits, default=None)
+            out.append((*r, *(best[1] if best else (None,) * 3)))
+            free = [x for x in free if not best or x[0] != best[0][2]]
+        return out + [(None, None, None, *p) for _, p in free]
+
+    table = lambda k: spark.createDataFrame([(s, *n) for s, sides in songs.items() for n in sides[k]], "song_id int, start_sample long, end_sample long, midi_note long")
+    got = {}
+    for r in matching.match_notes(table(0), table(1), 1500).collect():
+        got.setdefault(r.song_id, []).append(tuple(r)[1:])
+    for s, sides in songs.items():
+        assert sorted(map(str, got.get(s, []))) == sorted(map(str, plain(*sides)))
+
+
 def test_suppression(spark):
     p = [0.1, 0.9, 0.2, 0.95, 0.1, 0.6, 0.6, 0.1]
     rows = [("a", i * 480, x) for i, x in enumerate(p)]
