@@ -1,7 +1,7 @@
 """Operators of the song-preparation domain as declarative plans: name -> (views, tables, SQL)."""
 from functools import partial
 
-from . import checks, evaluation, library, metrics, notes, rules, session, signals, timeline, views
+from . import checks, evaluation, library, metrics, notes, provenance, rules, session, signals, timeline, views
 
 Q = {}
 
@@ -67,7 +67,7 @@ _q("argmax_runner_up", ["note"], [], """
     SELECT song_id, max(CASE WHEN r = 1 THEN midi_note END) AS best, max(CASE WHEN r = 2 THEN midi_note END) AS second FROM (
       SELECT song_id, midi_note, row_number() OVER (PARTITION BY song_id ORDER BY d DESC, midi_note) AS r FROM (SELECT song_id, midi_note, sum(end_sample - start_sample) AS d FROM note GROUP BY song_id, midi_note) a) b WHERE r <= 2 GROUP BY song_id""")
 
-for _more in (timeline, evaluation, library, session, signals, notes, checks, metrics, rules):
+for _more in (timeline, evaluation, library, session, signals, notes, checks, metrics, rules, provenance):
     Q.update(_more.Q)
 
 
@@ -85,5 +85,5 @@ def queries():
 
 
 def oracle_sql():
-    """SQL for each query: a reading of its own where notes, checks, metrics or rules has one, else the query's text."""
-    return {n: views.with_views(needs, (notes.ORACLE | checks.ORACLE | metrics.ORACLE | rules.ORACLE).get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}
+    """SQL for each query: a reading of its own where notes, checks, metrics, rules or provenance has one, else the query's text."""
+    return {n: views.with_views(needs, (notes.ORACLE | checks.ORACLE | metrics.ORACLE | rules.ORACLE | provenance.ORACLE).get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}
