@@ -1,7 +1,7 @@
 """Operators of the song-preparation domain as declarative plans: name -> (views, tables, SQL)."""
 from functools import partial
 
-from . import checks, evaluation, library, metrics, notes, provenance, rules, session, signals, timeline, views
+from . import checks, evaluation, library, metrics, notes, provenance, rules, second, session, signals, timeline, views
 
 Q = {}
 
@@ -85,5 +85,5 @@ def queries():
 
 
 def oracle_sql():
-    """SQL for each query: a reading of its own where notes, checks, metrics, rules or provenance has one, else the query's text."""
-    return {n: views.with_views(needs, (notes.ORACLE | checks.ORACLE | metrics.ORACLE | rules.ORACLE | provenance.ORACLE).get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}
+    """SQL for each query: a reading of its own where notes, checks, metrics, rules, provenance or second has one, else the query's text."""
+    return {n: views.with_views(needs, (notes.ORACLE | checks.ORACLE | metrics.ORACLE | rules.ORACLE | provenance.ORACLE | second.ORACLE).get(n, sql)).replace("LEFT ANTI JOIN", "ANTI JOIN") for n, (needs, _, sql) in Q.items()}
