@@ -34,7 +34,7 @@ def benchmark_free(spark, docs, sf_dir):
 
 
 def packed(spark, docs, sf_dir):
-    """The pieces of the documents with their places in sequences."""
+    """The pieces of the documents with their places in sequences. Null and empty texts are one piece of the end id alone, rows that repeat are packed as often as they stand, and no documents give no pieces."""
     return packing.pack(docs, vocabulary())
 
 
@@ -51,6 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The pieces of the documents that the stages keep, each stage written and read again.
+
+    Each row is judged by its own text under a key of its own, so null and
+    repeated ids are no hindrance; a null text is empty. Columns beside those of
+    documents are dropped by the first stage. An empty table gives an empty
+    result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = work_path(spark, "pipeline")
     for name, stage in STAGES:
