@@ -67,3 +67,34 @@ def test_chat_digest(spark):
     loss = "".join(t for r, t in turns if r == "assistant")
     assert (got.conv_id, got.n_turns, got.loss_chars, got.formatted_chars) == (1, 4, len(loss), len(formatted.first().formatted))
     assert got.turns_sha256 == brute.sha("".join(f"{r}\n{t}\n" for r, t in turns)) and got.loss_sha256 == brute.sha(loss)
+
+
+def _folder(spark, rows):
+    root = work_path(spark, "t")
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key string").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([(1, LEAK)], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    return root
+
+
+def test_whole_pipeline_equals_its_stages_read_plainly(spark):
+    rows = ROWS + [(6, CLEAN[1] + " once"), (7, "end " * 5000)]
+    keep = {}
+    for n, (i, t) in enumerate(rows):  # exact copies: the longest, then the smallest id
+        keep.setdefault("".join((t or "").split()), []).append((-len(t or ""), i is None, i or 0, n))
+    left = [rows[min(v)[3]] for v in keep.values()]
+    codes = {k: brute.simhash(t) for k, (_, t) in enumerate(left)}
+    groups = {}
+    for k, root in brute.components(codes).items():
+        groups.setdefault(root, []).append((left[k][0] is None, left[k][0] or 0, k))
+    left = [left[min(v)[2]] for v in groups.values()]
+    left = [(i, t) for i, t in left if not brute.leaks(t, [(1, brute.words(LEAK))])[4]]
+    got = cp.run(spark, _folder(spark, rows)).toPandas()
+    assert sorted(map(repr, (None if i != i else int(i) for i in got[got.piece == 0].doc_id))) == sorted(repr(i) for i, _ in left)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 2048 and (g.offset.to_numpy() == g.length.cumsum().shift(fill_value=0).to_numpy()).all()
+    assert len({r for r in got[got.doc_id == 7].piece}) == -(-got[got.doc_id == 7].length.sum() // 2048)
+
+
+def test_pipeline_of_no_documents(spark):
+    assert cp.run(spark, _folder(spark, [])).count() == 0
