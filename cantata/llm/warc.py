@@ -23,7 +23,7 @@ LEAST = 1000
 ROLL = 1 << 30
 #: Ranges no further apart than GAP are read in one go, of RANGE bytes at most unless one record is longer.
 GAP, RANGE = 64 << 10, 8 << 20
-#: Up to so many groups of copies go along with the plan (some 60 bytes each); more are joined by a shuffle.
+#: Up to so many groups of copies go along with the plan (two digests and an id each, some 40 MB in all); more are joined by a shuffle.
 FEW = 200_000
 #: Bytes of records that one reading task takes.
 TASK = 64 << 20
