@@ -1,6 +1,8 @@
 """Fingerprints of ordered sets, plans that take up runtime facts, and the added lines of diffs."""
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cantata.sources import importers
+
 QUERIES, ORACLE = {}, {}
 #: What a reference fingerprint begins with, so that it is none of anything else.
 DOMAIN = "lyric-reference-v1\n"
@@ -72,6 +74,20 @@ def added_lines(diffs: DataFrame, key: str, col: str = "diff") -> DataFrame:
     return held.withColumn("line", F.col("hunk.start") + before).where("kind = 'add'").select(key, F.col("file.path").alias("path"), "line").distinct()
 
 
+def bound(summary):
+    """The digest of a summary (map of strings) that its detail carries; the summary's own record of the detail does not count."""
+    return F.sha2(canonical_map(F.map_filter(summary, lambda k, _: k != "detail_sha256")), 256)
+
+
+def binding_status(summary, detail):
+    """Whether a summary and the text of its detail were written by one run: `no_hash`, `detail_differs`, `summary_differs` or `ok`. A detail of before bindings is held by its own digest alone."""
+    told, binding = F.element_at(summary, "detail_sha256"), F.get_json_object(detail, "$.summary_binding_sha256")
+    return (
+        F.when(~F.coalesce(told.rlike("^[0-9a-f]{64}$"), F.lit(False)), "no_hash").when(~F.coalesce(F.sha2(detail, 256) == told, F.lit(False)), "detail_differs")
+        .when(binding.isNotNull() & (binding != bound(summary)), "summary_differs").otherwise("ok")
+    )
+
+
 _LINES = """(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS stage FROM lineitem)"""
 
 
@@ -129,6 +145,45 @@ ORACLE["plan_runtime"] = f"""
     SELECT * FROM held UNION ALL
     SELECT t.* FROM told t SEMI JOIN l ON l.l_orderkey = t.l_orderkey AND l.stage = t.stage ANTI JOIN held h ON h.l_orderkey = t.l_orderkey AND h.stage = t.stage AND h.fact = t.fact"""
 
+
+@_query
+def summary_binding(spark, d):
+    """Orders as evaluations with a summary and a detail that name each other; some were written before bindings, some lack the digest, some were changed since."""
+    g = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("q"), F.max("l_discount").alias("c"), F.min("l_tax").alias("t"), F.sum("l_partkey").alias("p"))
+    plain = F.create_map(F.lit("rows"), F.col("n").cast("string"), F.lit("parts"), F.col("p").cast("string"), F.lit("note"), F.lit('é "quoted"'))
+    g = g.withColumn("plain", plain)
+    old = F.col("n") % 4 == 0
+    detail = F.concat(F.lit('{"parts":'), F.col("p").cast("string"), F.when(old, "").otherwise(F.concat(F.lit(',"summary_binding_sha256":"'), bound(F.col("plain")), F.lit('"'))), F.lit("}"))
+    g = g.withColumn("detail", detail)
+    kept = F.map_concat(F.when(F.col("c") > 0.09, F.map_concat(F.map_filter("plain", lambda k, _: k != "rows"), F.create_map(F.lit("rows"), F.lit("0")))).otherwise(F.col("plain")), F.create_map(F.lit("detail_sha256"), F.when(F.col("t") > 0.04, F.lit(None).cast("string")).otherwise(F.sha2("detail", 256))))
+    g = g.withColumns({"summary": kept, "detail": F.when(F.col("q") > 49, F.concat("detail", F.lit(" "))).otherwise(F.col("detail"))})
+    return g.select("l_orderkey", binding_status(F.col("summary"), F.col("detail")).alias("status"))
+
+
+# What was planted has to be found
+ORACLE["summary_binding"] = """
+    SELECT l_orderkey, CASE WHEN min(l_tax) > 0.04 THEN 'no_hash' WHEN max(l_quantity) > 49 THEN 'detail_differs' WHEN max(l_discount) > 0.09 AND count(*) % 4 > 0 THEN 'summary_differs' ELSE 'ok' END AS status FROM lineitem GROUP BY l_orderkey"""
+
+
+@_query
+def importer_choice(spark, d):
+    """Turns as files that begin with one mark or another; users' turns ask for a format."""
+    t = spark.read.parquet(f"{d}/conversations.parquet")
+    first = F.lower(F.substring("text", 1, 1))
+    mark = F.when(first < "c", "MThd").when(first < "e", '{"score": 1}').when(first < "g", '{"a": 1}').when(first < "l", "<?xml?>").when(first < "o", "RIFF").otherwise("")
+    asked = F.when(F.col("role") == "user", F.when(F.length("text") % 3 == 0, "midi").when(F.length("text") % 3 == 1, "opus"))
+    files = t.select("conv_id", "turn", F.encode(F.concat(mark, "text"), "UTF-8").alias("content"), asked.alias("asked"))
+    return importers.choose(files, most=1000).drop("content")
+
+
+ORACLE["importer_choice"] = """
+    WITH f AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND length(text) % 3 < 2 THEN CASE length(text) % 3 WHEN 0 THEN 'midi' ELSE 'opus' END END AS asked, lower(text[1]) AS x, text,
+      CASE WHEN lower(text[1]) < 'c' THEN 'MThd' WHEN lower(text[1]) < 'e' THEN '{"score": 1}' WHEN lower(text[1]) < 'g' THEN '{"a": 1}' WHEN lower(text[1]) < 'l' THEN '<?xml?>' WHEN lower(text[1]) < 'o' THEN 'RIFF' ELSE '' END || text AS content FROM conversations),
+    r(name, mark) AS (VALUES ('json', '{'), ('midi', 'MThd'), ('musicxml', '<?xml'), ('score-json', '{"score"'), ('wave', 'RIFF')),
+    m AS (SELECT conv_id, turn, string_agg(name, ',' ORDER BY name) AS names, count(*) AS n FROM f JOIN r ON CASE WHEN asked IS NULL THEN starts_with(content, mark) ELSE asked = name END GROUP BY conv_id, turn)
+    SELECT f.conv_id, f.turn, asked, CASE WHEN content IS NULL THEN 'invalid_input' WHEN strlen(content) > 1000 THEN 'too_large' WHEN n IS NULL THEN 'unknown_format' WHEN n > 1 THEN 'ambiguous_format' ELSE 'ok' END AS status,
+           CASE WHEN strlen(content) <= 1000 AND n = 1 THEN names END AS format, CASE WHEN strlen(content) <= 1000 AND n > 1 THEN names END AS matches FROM f LEFT JOIN m USING (conv_id, turn)"""
+
 # A conversation as a diff: each turn a file, deleted where its text has no e; one hunk for each of its lines
 _DIFF = """
     WITH t AS (SELECT conv_id, turn, n, line FROM (SELECT conv_id, turn, posexplode(split(coalesce(text, ''), chr(10))) AS (n, line) FROM conversations)),
