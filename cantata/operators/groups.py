@@ -1,37 +1,94 @@
-"""Per-song folds as grouped Arrow: rows in order in, rows out."""
+"""Per-song folds over sorted partitions: rows in order in, rows out."""
+from itertools import islice
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows of a batch that leaves a fold.
+ROWS = 10000
+
+
+def _values(column) -> list:
+    """A column as Python values; numbers go by way of numpy, as value by value is slow."""
+    if not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy().tolist()
+    out = column.fill_null(0).to_numpy().tolist()
+    for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+        out[i] = None
+    return out
+
+
+def _songs(batches):
+    """The rows of each song as tuples; the last column numbers them from 1, and a song may go on in the next batch."""
+    held = []
+    for b in batches:
+        rows = list(zip(*map(_values, b.columns)))
+        starts = [i for i, r in enumerate(rows) if r[-1] == 1]
+        at = 0
+        for s in starts:
+            held += rows[at:s]
+            if held:
+                yield held
+            held, at = [], s
+        held += rows[at:]
+    if held:
+        yield held
+
+
+def _packed(found, arrow):
+    found = iter(found)
+    while rows := list(islice(found, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+
+def _in_order(rows: DataFrame, key: str, *order) -> DataFrame:
+    """The rows numbered within each song: a song is whole in one partition, and its rows follow on each other there."""
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
 
 def fold(rows: DataFrame, key: str, order: list, step, schema: str) -> DataFrame:
     """Apply step(list of row dicts in order) -> iterable of tuples to each song; `schema` names the output after the key.
 
-    A song is bounded by its length (an hour of frames), so it fits a task; songs are spread by key.
+    A song is bounded by its length (an hour of frames), so it fits a task; songs are spread by key. Many small songs share a batch.
     """
-    out = StructType.fromDDL(schema)
-    full = StructType([rows.schema[key], *out.fields])
-    arrow = to_arrow_schema(full)
+    names = rows.columns
+    full = StructType([rows.schema[key], *StructType.fromDDL(schema).fields])
+    arrow, at = to_arrow_schema(full), names.index(key)
 
-    def run(k, t):
-        song = k[0].as_py()
-        found = [(song, *r) for r in step(t.sort_by([(c, "ascending") for c in order]).to_pylist())]
-        return pa.Table.from_pylist([dict(zip(arrow.names, r)) for r in found], arrow)
+    def run(batches):
+        yield from _packed(((s[0][at], *r) for s in _songs(batches) for r in step([dict(zip(names, x)) for x in s])), arrow)
 
-    return rows.groupBy(key).applyInArrow(run, full)
+    return _in_order(rows, key, *(F.col(c).asc_nulls_last() for c in order)).mapInArrow(run, full)
 
 
 def pair(left: DataFrame, right: DataFrame, key: str, orders: tuple, step, schema: str) -> DataFrame:
     """Like fold(), with step(left rows, right rows) over the songs of either side."""
-    out = StructType.fromDDL(schema)
-    full = StructType([left.schema[key], *out.fields])
+    full = StructType([left.schema[key], *StructType.fromDDL(schema).fields])
     arrow = to_arrow_schema(full)
+    # Columns of one name and type are shared by the sides, the others stand beside each other.
+    kinds = dict(left.dtypes)
+    own = {c: c if kinds.get(c, k) == k else f"_{c}" for c, k in right.dtypes}
+    both = left.withColumn("_side", F.lit(0)).unionByName(right.select(F.lit(1).alias("_side"), *(F.col(c).alias(n) for c, n in own.items())), allowMissingColumns=True)
+    names = both.columns
+    at, side = names.index(key), names.index("_side")
+    columns = [[(c, names.index(n)) for c, n in s.items()] for s in ({c: c for c in kinds}, own)]
+    if orders[0] == orders[1] and all(own[c] == c for c in orders[1]):
+        order = [F.col(c) for c in orders[0]]
+    else:
+        order = [F.when(F.col("_side") == i, F.col(s.get(c, c))) for i, s in enumerate(({}, own)) for c in orders[i]]
+
+    def run(batches):
+        def songs():
+            for s in _songs(batches):
+                sides = [[{c: r[i] for c, i in cs} for r in s if r[side] == n] for n, cs in enumerate(columns)]
+                for r in step(*sides):
+                    yield s[0][at], *r
 
-    def run(k, a, b):
-        sides = [pa.Table.from_struct_array(t.column("row").combine_chunks()).sort_by([(c, "ascending") for c in o]).to_pylist() if t.num_rows else [] for t, o in zip((a, b), orders)]
-        return pa.Table.from_pylist([dict(zip(arrow.names, (k[0].as_py(), *r))) for r in step(*sides)], arrow)
+        yield from _packed(songs(), arrow)
 
-    # As one struct each: sides made from one table share columns, and Spark would give a shared one to one side only.
-    packed = lambda df: df.select(key, F.struct(*df.columns).alias("row"))
-    return packed(left).groupBy(key).cogroup(packed(right).groupBy(key)).applyInArrow(run, full)
+    return _in_order(both, key, "_side", *(c.asc_nulls_last() for c in order)).mapInArrow(run, full)
