@@ -174,7 +174,9 @@ def priors(found: DataFrame, pairs: DataFrame, key: str = "song_id") -> DataFram
     near = sources.unionByName(probes, allowMissingColumns=True).withColumns({
         "last": F.last("source", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first("source", True).over(w.rowsBetween(1, Window.unboundedFollowing)),
     }).where("kind = 1")
-    later = F.col("last").isNull() | (F.col("next.middle") - F.col("at") < F.col("at") - F.col("last.middle"))
+    # The mapped middle is seldom exact, so distances equal to six places are ties.
+    away = lambda side: F.round(F.abs(F.col(f"{side}.middle") - F.col("at")), 6)
+    later = F.col("last").isNull() | (away("next") < away("last"))
     near = near.withColumn("source", F.when(later & F.col("next").isNotNull(), F.col("next")).otherwise(F.col("last"))).where("source IS NOT NULL")
     out = near.groupBy(key, "candidate").agg(F.max_by(F.struct("source", "trust"), "pair").alias("m"))
     return out.select(key, "candidate", F.col("m.source.candidate").alias("source"), F.rint("m.source.base_midi").cast("long").alias("midi_note"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("m.trust") * F.col("m.source.sure"))).alias("strength"))
