@@ -1,5 +1,6 @@
 """Text alignment: normalised characters with their places, equal stretches of two texts, and times carried over to reference lines."""
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,29 +16,57 @@ CHARS = "array<struct<char:string,char_start:int,char_end:int>>"
 OPERATIONS = "step int, operation string, a_start int, a_end int, b_start int, b_end int, a_text string, b_text string"
 
 
+@lru_cache(maxsize=1 << 16)
+def _kept(letter: str) -> str:
+    """A character with its marks after NFKC and case folding, without white space and punctuation."""
+    return "".join(c for c in unicodedata.normalize("NFKC", letter).casefold() if not (c.isspace() or unicodedata.category(c)[0] == "P"))
+
+
+@lru_cache(maxsize=1 << 16)
+def _mark(c: str) -> bool:
+    return bool(unicodedata.combining(c)) or c in MARKS
+
+
 def places(text: str) -> list:
     """(char, start, end): characters after NFKC and case folding, without white space and punctuation, each with the code points it came from.
 
     A combining or half-width voicing mark is taken together with the character
     before it; a character that becomes several gives them all its place.
     """
-    starts = [i for i, c in enumerate(text) if not i or not (unicodedata.combining(c) or c in MARKS)]
+    if text.isascii():
+        return [(c, s, s + 1) for s, x in enumerate(text) for c in _kept(x)]
+    starts = [i for i, c in enumerate(text) if not i or not _mark(c)]
     out = []
     for s, e in zip(starts, [*starts[1:], len(text)]):
-        folded = unicodedata.normalize("NFKC", text[s:e]).casefold()
-        out += [(c, s, e) for c in folded if not (c.isspace() or unicodedata.category(c)[0] == "P")]
+        # A pile of marks is seldom met again, and of any length.
+        out += [(c, s, e) for c in (_kept if e - s < 4 else _kept.__wrapped__)(text[s:e])]
     return out
 
 
+#: Characters, and rows of operations, of a batch that leaves a task, about: a batch of rows may hold far more.
+BATCH_CHARS, BATCH_ROWS = 200_000, 10_000
+
+
 def normalised(texts: DataFrame, *keys: str, col: str = "text", to: str = "chars") -> DataFrame:
     """(keys, `to`): the normalised characters of each row's text with their places; none for null. A character's index is its place in the array."""
     schema = StructType([*(texts.schema[k] for k in keys), *StructType.fromDDL(f"`{to}` {CHARS}").fields])
     kind = to_arrow_schema(schema).field(to).type
 
+    def packed(b, first, ends, found):
+        one = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else ((),) * 3, kind.value_type)], fields=list(kind.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one, type=kind)
+        return pa.RecordBatch.from_arrays([*(b.column(i).slice(first, len(lists)) for i in range(len(keys))), lists], [*keys, to])
+
     def run(batches):
         for b in batches:
-            found = [[{"char": c, "char_start": s, "char_end": e} for c, s, e in places(t or "")] for t in b.column(len(keys)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), pa.array(found, kind)], [*keys, to])
+            first, ends, found = 0, [0], []
+            for t in b.column(len(keys)):
+                found += places(t.as_py() or "")
+                ends.append(len(found))
+                if len(found) >= BATCH_CHARS:
+                    yield packed(b, first, ends, found)
+                    first, ends, found = first + len(ends) - 1, [0], []
+            yield packed(b, first, ends, found)
 
     return texts.select(*keys, F.col(col).cast("string")).mapInArrow(run, schema)
 
@@ -51,27 +80,32 @@ def _stretches(a: str, b: str):
     i = np.repeat(np.arange(len(x), dtype=np.int32), many)
     nth = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
     lag = index[np.repeat(low, many) + nth] - i
-    order = np.lexsort((i, lag))
-    i, lag = i[order], lag[order]
-    first = np.flatnonzero(np.diff(lag, prepend=lag[:1] - 1).astype(bool) | (np.diff(i, prepend=-9) != 1))
-    return i[first], i[first] + lag[first], np.diff(np.append(first, len(i)))
+    # By diagonal, then by place: one number holds both, and the next place on a diagonal is the next number.
+    at = np.sort((lag.astype(np.int64) + len(x)) * (len(x) + 1) + i)
+    first = np.flatnonzero(np.diff(at, prepend=at[:1] - 2) != 1)
+    lag, i = np.divmod(at[first], len(x) + 1)
+    return i, i + lag - len(x), np.diff(np.append(first, len(at)))
 
 
 def blocks(a: str, b: str) -> list:
     """(start in a, start in b, length) of the blocks two texts share, in order: the longest stretch, the earliest in a and then in b of several, and so on before and behind it."""
-    found, todo = [], [(0, len(a), 0, len(b), *_stretches(a, b))]
+    found, todo = [], [_stretches(a, b)]
     while todo:
-        a0, a1, b0, b1, i, j, n = todo.pop()
-        late = np.maximum(0, np.maximum(a0 - i, b0 - j))  # what a stretch has outside these bounds does not count
-        n = np.minimum(n - late, np.minimum(a1 - i, b1 - j) - late)
-        i, j = i + late, j + late
-        i, j, n = (v[n > 0] for v in (i, j, n))
+        i, j, n = todo.pop()
         if not len(n):
             continue
-        best = np.lexsort((j, i, -n))[0]
-        p, q, m = int(i[best]), int(j[best]), int(n[best])
+        m = int(n.max())
+        top = np.flatnonzero(n == m)
+        p, q = min(zip(i[top].tolist(), j[top].tolist()))
         found.append((p, q, m))
-        todo += [(a0, p, b0, q, i, j, n), (p + m, a1, q + m, b1, i, j, n)]
+        # Of the others, what lies before the block in both texts, and what lies behind it in both.
+        k = (i < p) & (j < q)
+        x, y = i[k], j[k]
+        todo.append((x, y, np.minimum(n[k], np.minimum(p - x, q - y))))
+        k = (i + n > p + m) & (j + n > q + m)
+        x, y = i[k], j[k]
+        late = np.maximum(0, np.maximum(p + m - x, q + m - y))
+        todo.append((x + late, y + late, n[k] - late))
     return sorted(found)
 
 
@@ -102,18 +136,24 @@ def align(pairs: DataFrame, *keys: str, a: str = "a", b: str = "b") -> DataFrame
     schema = StructType([*(pairs.schema[k] for k in keys), *StructType.fromDDL(OPERATIONS).fields])
     arrow = to_arrow_schema(schema)
 
+    def packed(batch, rows):
+        at = pa.array([r[0] for r in rows], pa.int64())
+        values = [pa.array([r[k] for r in rows], arrow.field(len(keys) + k - 1).type) for k in range(1, 9)]
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), *values], schema=arrow)
+
     def run(batches):
         for batch in batches:
             rows = []
-            for r, (x, y) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
-                x, y = x or "", y or ""
+            for r, (x, y) in enumerate(zip(batch.column(len(keys)), batch.column(len(keys) + 1))):
+                x, y = x.as_py() or "", y.as_py() or ""
                 if len(y) > MOST_CHARS or len(x) * len(y) > MOST_CELLS:
                     rows.append((r, 0, "too_large", 0, len(x), 0, len(y), None, None))
                 else:
                     rows += [(r, s, o, p, e, q, f, x[p:e], y[q:f]) for s, (o, p, e, q, f) in enumerate(operations(x, y))]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            values = [pa.array([r[k] for r in rows], arrow.field(len(keys) + k - 1).type) for k in range(1, 9)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), *values], schema=arrow)
+                if len(rows) >= BATCH_ROWS:
+                    yield packed(batch, rows)
+                    rows = []
+            yield packed(batch, rows)
 
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["char"]), "").alias(c)
     return pairs.select(*keys, joined(a), joined(b)).mapInArrow(run, schema)
@@ -146,10 +186,12 @@ def timeline(lines: DataFrame, reference: DataFrame, heard: DataFrame, matched:
     matched if all its characters were aligned, the heard ones it matches
     follow on each other, and no time runs backwards. Lines of equal characters
     in a song are marked for review. Lines without characters are unaligned.
+    Sides are rows of single characters, whose number no estimate from the texts
+    tells, so they are merged and never gathered on the driver for a broadcast.
     """
-    h = heard.join(observed.where("status = 'aligned'").drop("status"), [song, "segment_id", "normalized_index"], "left")
+    h = heard.join(observed.where("status = 'aligned'").drop("status").hint("merge"), [song, "segment_id", "normalized_index"], "left")
     h = h.select(song, F.col("index").alias("a_index"), "start_sample", "end_sample")
-    units = reference.select(song, "line_id", F.col("index").alias("b_index")).join(matched.join(h, [song, "a_index"], "left"), [song, "b_index"], "left")
+    units = reference.select(song, "line_id", F.col("index").alias("b_index")).join(matched.join(h.hint("merge"), [song, "a_index"], "left").hint("merge"), [song, "b_index"], "left")
     w = Window.partitionBy(song, "line_id").orderBy("b_index")
     units = units.withColumn("_back", F.lag("end_sample").over(w) > F.col("start_sample"))
     timed = F.count("start_sample") == F.count(F.lit(1))
@@ -159,7 +201,7 @@ def timeline(lines: DataFrame, reference: DataFrame, heard: DataFrame, matched:
     )
     same = lines.select(song, "line_id", F.xxhash64(F.transform("chars", lambda c: c["char"])).alias("_h"), F.transform("chars", lambda c: c["char"]).alias("_c"))
     same = same.withColumn("again", F.count(F.lit(1)).over(Window.partitionBy(song, "_h", "_c")) > 1).drop("_h", "_c")
-    out = same.join(line, [song, "line_id"], "left")
+    out = same.join(line.hint("merge"), [song, "line_id"], "left")
     complete = F.coalesce(F.col("complete"), F.lit(False))
     out = out.withColumns({"complete": complete, "publish": complete & F.coalesce(F.col("contiguous"), F.lit(False)) & ~F.coalesce(F.col("back"), F.lit(False))})
     flags = [F.when(F.col("complete") & F.col("back"), "nonmonotonic_reference_timing_review"), F.when(F.col("again"), "repeated_reference_review"), F.when(~F.col("publish"), "reference_mismatch_or_unaligned")]

@@ -36,3 +36,28 @@ def test_sources_as_near_to_six_places_are_ties(spark, tmp_path):
     rows = f"(values {', '.join(f'({i}, {q})' for i, q in enumerate(held))}) t(i, q)"
     got, want = _both(spark, tmp_path, "repetition_priors", {"lineitem": _LINE.format(order="1", part="i", number="i", quantity="q", price="i", discount="0.05", rows=rows)})
     assert got == want and len(got) > 1
+
+
+def test_characters_are_never_broadcast(spark):
+    from cantata.plans import texts
+
+    plan = texts.reference_timeline(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_characters_leave_a_task_in_small_batches(spark):
+    import resource
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from cantata.operators import alignment
+
+    said = "ab c" * 700
+    texts = spark.range(0, 1500, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit(said), F.col("id").cast("string"))).alias("text"))
+    out = alignment.normalised(texts, "id").select("id", F.size("chars").alias("n"), F.array_join(F.transform(F.slice("chars", 2101, 9), lambda c: c["char"]), "").alias("last"))
+    got = {r.id: (r.n, r.last) for r in out.collect()}
+    assert got == {i: (2100 + len(str(i)), str(i)) if i % 7 else (0, "") for i in range(1500)}
+    # The worker that made them is taken up again.
+    seen = spark.range(0, 1, 1, 1).mapInArrow(lambda batches: [pa.RecordBatch.from_pydict({"kb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss for _ in list(batches)[:1]]})], "kb long").collect()
+    assert seen[0].kb < 400_000
