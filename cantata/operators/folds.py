@@ -120,12 +120,19 @@ def align(log_probs: np.ndarray, tokens: list, blank: int):
     labels = np.full(2 * len(tokens) + 1, blank)
     labels[1::2] = tokens
     jump = np.append([False, False], (labels[2:] != blank) & (labels[2:] != labels[:-2]))
-    best, back = np.where(np.arange(len(labels)) == 0, 0.0, -np.inf), np.zeros((len(log_probs), len(labels)), np.int8)
-    low = np.array([-np.inf])
-    for t, p in enumerate(log_probs):
-        ways = np.stack([best, np.concatenate([low, best[:-1]]), np.where(jump, np.concatenate([low, low, best[:-2]]), -np.inf)])
-        back[t] = ways.argmax(0)
-        best = ways.max(0) + p[labels]
+    back = np.zeros((len(log_probs), len(labels)), np.int8)
+    # The best sums stand behind two places that no path reaches, so that a step of one or two labels is a view.
+    held = np.full(len(labels) + 2, -np.inf)
+    held[2] = 0.0
+    best, one, two = held[2:], held[1:-1], held[:-2]
+    barred = np.where(jump, 0.0, -np.inf)
+    for p, b in zip(log_probs[:, labels], back):
+        far = two + barred
+        np.greater(one, best, out=b.view(bool))
+        near = np.maximum(best, one)
+        b[far > near] = 2
+        np.maximum(near, far, out=near)
+        np.add(near, p, out=best)
     at = len(labels) - (1 if best[-1] >= best[-2] else 2)
     if not np.isfinite(best[at]):
         return None
