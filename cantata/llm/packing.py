@@ -2,7 +2,6 @@
 import os
 import re
 import zlib
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,13 @@ _PART = b"\x01"
 _END = re.compile(rb"([^\x00-\x20]*(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)", re.S).fullmatch
 
 
+#: A stretch of lower-case Latin letters only: one word to the vocabulary, which leaves it as it is, so its bytes go straight to the merges.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
+#: The characters by which byte-level vocabularies name those bytes, read as Latin-1, where they are others.
+_NAMES = {0xA0: 0x142, 0xAD: 0x143}
+_TRIAL = "a", "e", "strasse", "hello", "ÿöà", "ñandú", "internationalisation"
+
+
 def _encode(tok, words, seen):
     """Ids of each stretch into `seen`: many go in one call, parted by a control character that is one token."""
     plain = [w for w in words if not (b"<|" in w or _PART in w)]
@@ -35,8 +41,8 @@ def _encode(tok, words, seen):
             seen[w] = buf[4 * i + 4:4 * j]
 
 
-#: Stretches remembered in one generation of a worker's cache; a full generation stays readable until the next is full.
-REMEMBERED = 400000
+#: Stretches remembered in one generation of a worker's cache; a full generation stays readable until the next is full. Idle workers keep theirs.
+REMEMBERED = 200000
 
 
 class _Ids:
@@ -49,6 +55,13 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.tok, self.seen, self.before = Tokenizer.from_file(path), {}, {}
+        self.merge, self.four = self.tok.model.tokenize, [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        # Only where the vocabulary is known to leave letters as they are.
+        self.direct = all(self._merged(w) == np.array(self.tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in map(str.encode, _TRIAL))
+
+    def _merged(self, word):
+        four = self.four
+        return b"".join([four[t.id] for t in self.merge(word.decode() if word.isascii() else word.decode("latin-1").translate(_NAMES))])
 
     @staticmethod
     def get(path):
@@ -63,15 +76,26 @@ class _Ids:
         words = (raw if b"<|" in raw else raw.lower()).split()
         if len(self.seen) > REMEMBERED:
             self.seen, self.before = {}, self.seen
-        if new := set(filterfalse(self.seen.__contains__, words)):
-            self._learn(new)
-        return b"".join(map(self.seen.__getitem__, words)) + bytes(4)
+        parts = list(map(self.seen.get, words))
+        # Each stretch is looked up once; only those not found are looked at again.
+        gaps, at = [], -1
+        for _ in range(parts.count(None)):
+            at = parts.index(None, at + 1)
+            gaps.append(at)
+        if gaps:
+            self._learn({words[i] for i in gaps})
+            for i in gaps:
+                parts[i] = self.seen[words[i]]
+        parts.append(bytes(4))
+        return b"".join(parts)
 
     def _learn(self, new):
         seen, before, ends, ask = self.seen, self.before, {}, set()
         for w in new:
             if (ids := before.get(w)) is not None:
                 seen[w] = ids
+            elif self.direct and _LETTERS(w):
+                seen[w] = self._merged(w)
             elif m := _END(w):
                 ends[w] = m.groups()
                 ask.update(m.groups())
@@ -81,9 +105,12 @@ class _Ids:
         for w in ask.difference(seen):
             if (ids := before.get(w)) is not None:
                 seen[w] = ids
+            elif self.direct and _LETTERS(w):
+                seen[w] = self._merged(w)
             else:
                 need.append(w)
-        _encode(self.tok, need, seen)
+        if need:
+            _encode(self.tok, need, seen)
         for w, (head, tail) in ends.items():
             seen[w] = seen[head] + seen[tail]
 
