@@ -75,7 +75,7 @@ def _run(name, spark, sf_dir):
     """The query over the tables of one folder, which stand in it by path, so that folders do not meet in a session's names."""
     needs, tables, sql = Q[name]
     used = dict.fromkeys([t for v in views.closure(needs) for t in views.SOURCES[v]] + tables)
-    text = views.with_views(needs, sql).strip()
+    text = views.with_views(needs, sql, views.DEALT if name in notes.Q else views.VIEWS).strip()
     own = ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in used)
     return spark.sql(f"WITH {own}, {text[5:]}" if text[:5].upper() == "WITH " else f"WITH {own} {text}")
 

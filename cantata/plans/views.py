@@ -28,6 +28,13 @@ SOURCES = {"pitch_frame": ["events"], "boundary": ["events"], "note": ["lineitem
 NEEDS = {"boundary": ["pitch_frame"]}
 
 
+# The same views for Spark's plans: keys get their names below the windows, so that what follows per song finds the rows already dealt by song and moves none.
+DEALT = VIEWS | {
+    "pitch_frame": VIEWS["pitch_frame"].replace("SELECT user_id AS song_id,", "SELECT song_id,").replace("PARTITION BY user_id", "PARTITION BY song_id").replace("FROM events WHERE user_id IS NOT NULL", "FROM (SELECT user_id AS song_id, event_id, event_type, value, ts FROM events WHERE user_id IS NOT NULL) e"),
+    "note": VIEWS["note"].replace("l_orderkey AS song_id", "song_id").replace("PARTITION BY l_orderkey", "PARTITION BY song_id").replace("FROM lineitem WINDOW", "FROM (SELECT l_orderkey AS song_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount FROM lineitem) l WINDOW"),
+}
+
+
 def closure(names):
     """Views in order of need."""
     out = []
@@ -38,12 +45,12 @@ def closure(names):
     return out
 
 
-def with_views(names, body):
+def with_views(names, body, texts=VIEWS):
     """A self-contained query: the views as common table expressions, then the body."""
     views = closure(names)
     if not views:
         return body
-    parts = [f"{n} AS ({VIEWS[n].strip()})" for n in views]
+    parts = [f"{n} AS ({texts[n].strip()})" for n in views]
     body = body.strip()
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
