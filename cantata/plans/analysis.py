@@ -12,7 +12,7 @@ from . import views
 
 def _view(spark, d, name, columns="*"):
     """A view of views.py over the tables of one folder, read by path, so that folders do not meet in a session's names."""
-    sql = views.with_views([name], f"SELECT {columns} FROM {name}")
+    sql = views.with_views([name], f"SELECT {columns} FROM {name}", views.DEALT)
     for t in views.SOURCES[name]:
         sql = sql.replace(f"FROM {t}", f"FROM parquet.`{d}/{t}.parquet`")
     return spark.sql(sql)

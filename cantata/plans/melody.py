@@ -11,7 +11,7 @@ ORACLE = {}
 
 def _view(spark, d, needs, body):
     """SQL over views of the driver tables of one folder, read by path."""
-    sql = views.with_views(needs, body)
+    sql = views.with_views(needs, body, views.DEALT)
     for t in {t for n in views.closure(needs) for t in views.SOURCES[n]}:
         sql = sql.replace(f"FROM {t}", f"FROM parquet.`{d}/{t}.parquet`")
     return spark.sql(sql)
