@@ -137,24 +137,31 @@ def _cells(df, name):
 def hypotheses(found: DataFrame, external: DataFrame, key: str = "song_id") -> DataFrame:
     """(key, candidate, midi_note, score): the notes within a semitone of a candidate's base by distance, and external notes (start_sample, end_sample, midi_note, confidence) that share a quarter of the shorter span; evidence for one note joins as 1 - product of the doubts.
 
-    Spans meet by cell, so that a song's notes are not compared all with all. Candidates without a base are left out; one that no note explains keeps its nearest.
+    Spans meet by cell, so that a song's notes are not compared all with all, and by grouping, with no second pass over candidates. Candidates without a base are left out; one that no note explains keeps its nearest.
     """
     found = found.where("base_midi IS NOT NULL")
     base = F.rint("base_midi").cast("long")
     cents = F.abs(F.col("base_midi") - F.col("midi_note")) * 100
     own = found.select(key, "candidate", "base_midi", "confidence", F.explode(F.sequence(base - 1, base + 1)).alias("midi_note")).where("midi_note BETWEEN 0 AND 127")
     own = own.select(key, "candidate", "midi_note", (F.col("confidence") * F.exp(-0.5 * F.pow(cents / 45, 2))).alias("score")).where("score > 0.005")
-    a = _cells(found.select(key, "candidate", "start_sample", "end_sample"), "cell").alias("a")
-    b = _cells(external.select(key, "start_sample", "end_sample", "midi_note", "confidence").where("end_sample > start_sample").withColumn("note", F.monotonically_increasing_id()), "cell").alias("b")
+    a = _cells(found.where(F.col(key).isNotNull()).select(key, "candidate", "start_sample", "end_sample"), "cell").select(key, "cell", F.struct("candidate", "start_sample", "end_sample").alias("a"))
+    b = _cells(external.where(F.col(key).isNotNull()).select(key, "start_sample", "end_sample", "midi_note", "confidence").where("end_sample > start_sample"), "cell").select(key, "cell", F.struct("start_sample", "end_sample", "midi_note", "confidence").alias("b"))
+    met = a.unionByName(b, allowMissingColumns=True).groupBy(key, "cell").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    met = met.select(key, "cell", F.explode("a").alias("a"), "b").select(key, "cell", "a", F.explode("b").alias("b"))
     shared = F.least("a.end_sample", "b.end_sample") - F.greatest("a.start_sample", "b.start_sample")
     shorter = F.greatest(F.lit(1), F.least(F.col("a.end_sample") - F.col("a.start_sample"), F.col("b.end_sample") - F.col("b.start_sample")))
     # Two spans meet in several cells; the cell where both have begun counts.
-    met = F.col("a.cell") == F.floor(F.greatest("a.start_sample", "b.start_sample") / CELL)
-    outer = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.cell") == F.col("b.cell"))).where(met & (shared > 0) & (shared / shorter >= 0.25))
-    outer = outer.select(F.col(f"a.{key}").alias(key), "candidate", "midi_note", (0.85 * F.least(F.lit(1.0), F.col("confidence") * (0.55 + 0.45 * F.least(F.lit(1.0), shared / shorter)))).alias("score"))
-    joined = own.unionByName(outer).groupBy(key, "candidate", "midi_note").agg((1 - F.product(1 - F.col("score"))).alias("score"))
-    bare = found.join(joined, [key, "candidate"], "left_anti").select(key, "candidate", base.alias("midi_note"), F.col("confidence").alias("score"))
-    return joined.unionByName(bare)
+    once = F.col("cell") == F.floor(F.greatest("a.start_sample", "b.start_sample") / CELL)
+    outer = met.where(once & (shared > 0) & (shared / shorter >= 0.25))
+    outer = outer.select(key, "a.candidate", "b.midi_note", (0.85 * F.least(F.lit(1.0), F.col("b.confidence") * (0.55 + 0.45 * F.least(F.lit(1.0), shared / shorter)))).alias("score"))
+    bare = found.select(key, "candidate", base.alias("midi_note"), F.col("confidence").alias("sure"))
+    seen = own.unionByName(outer).withColumn("seen", F.lit(1)).unionByName(bare, allowMissingColumns=True)
+    # Dealt by candidate, so that sums by note and the look at all notes of a candidate share one move.
+    seen = seen.repartition(key, "candidate")
+    joined = seen.groupBy(key, "candidate", "midi_note").agg((1 - F.product(1 - F.col("score"))).alias("score"), F.max("sure").alias("sure"), F.max("seen").alias("seen"))
+    explained = F.max("seen").over(Window.partitionBy(key, "candidate"))
+    joined = joined.withColumn("explained", explained).where("seen = 1 OR explained IS NULL")
+    return joined.select(key, "candidate", "midi_note", F.when(F.col("seen") == 1, F.col("score")).otherwise(F.col("sure")).alias("score"))
 
 
 def priors(found: DataFrame, pairs: DataFrame, key: str = "song_id") -> DataFrame:
