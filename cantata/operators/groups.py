@@ -40,13 +40,29 @@ def _songs(batches):
         yield held
 
 
+def whole_songs(batches):
+    """Record batches of whole songs, many to a batch, of batches whose last column numbers the rows of a song from 1."""
+    held = []
+    for b in batches:
+        first = np.flatnonzero(b.column(b.num_columns - 1).to_numpy() == 1)
+        if len(first):
+            held.append(b.slice(0, first[-1]))
+            if any(h.num_rows for h in held):
+                yield pa.concat_batches(held)
+            held = []
+            b = b.slice(first[-1])
+        held.append(b)
+    if any(h.num_rows for h in held):
+        yield pa.concat_batches(held)
+
+
 def _packed(found, arrow):
     found = iter(found)
     while rows := list(islice(found, ROWS)):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
-def _in_order(rows: DataFrame, key: str, *order) -> DataFrame:
+def in_order(rows: DataFrame, key: str, *order) -> DataFrame:
     """The rows numbered within each song: a song is whole in one partition, and its rows follow on each other there."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
@@ -63,7 +79,7 @@ def fold(rows: DataFrame, key: str, order: list, step, schema: str) -> DataFrame
     def run(batches):
         yield from _packed(((s[0][at], *r) for s in _songs(batches) for r in step([dict(zip(names, x)) for x in s])), arrow)
 
-    return _in_order(rows, key, *(F.col(c).asc_nulls_last() for c in order)).mapInArrow(run, full)
+    return in_order(rows, key, *(F.col(c).asc_nulls_last() for c in order)).mapInArrow(run, full)
 
 
 def pair(left: DataFrame, right: DataFrame, key: str, orders: tuple, step, schema: str) -> DataFrame:
@@ -91,4 +107,4 @@ def pair(left: DataFrame, right: DataFrame, key: str, orders: tuple, step, schem
 
         yield from _packed(songs(), arrow)
 
-    return _in_order(both, key, "_side", *(c.asc_nulls_last() for c in order)).mapInArrow(run, full)
+    return in_order(both, key, "_side", *(c.asc_nulls_last() for c in order)).mapInArrow(run, full)

@@ -1,9 +1,13 @@
 """One-to-one greedy matching of predictions to references within a song, and the metrics over it."""
 from bisect import bisect_left, insort
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .groups import fold, pair
+from .groups import fold, in_order, pair, whole_songs
 
 RATE = 48000
 
@@ -44,34 +48,95 @@ def point_metrics(matches: DataFrame, *keys: str) -> DataFrame:
     return m.withColumns({"precision": rate(tp, tp + fp), "recall": rate(tp, tp + fn), "f1": F.when((tp > 0), 2 * tp / (2 * tp + fp + fn))})
 
 
-def match_notes(reference: DataFrame, predicted: DataFrame, tolerance: int, key: str = "song_id") -> DataFrame:
-    """(key, start_sample, end_sample, midi_note, other_start, other_end, other_midi) of each reference note: of the free predictions that begin within `tolerance`, or share half of the shorter note, the one with the least onset error, then the larger share, then the earlier."""
+_SPAN = ["start_sample", "end_sample", "midi_note"]
+
+#: Songs of up to this many pairs of notes are matched side by side, longer ones by a sweep each.
+_PAIRS = 4096
+
+
+def _swept(refs, preds, tolerance):
+    """The row of the prediction that each reference takes, or -1, for rows (start, end) of one song in order; predictions enter when a reference may reach them, and leave when no later one can."""
+    live, at = {}, 0
+    for start, end in refs:
+        while at < len(preds) and preds[at][0] <= max(start + tolerance, end):
+            live[at] = preds[at]
+            at += 1
+        best = None
+        for i, (p_start, p_end) in [*live.items()]:
+            onset = abs(p_start - start)
+            if p_end <= start and p_start < start - tolerance:
+                live.pop(i)
+                continue
+            shared = max(0, min(p_end, end) - max(p_start, start))
+            share = shared / max(1, min(end - start, p_end - p_start))
+            if (onset <= tolerance or share >= 0.5) and (best is None or (onset, -share, i) < best):
+                best = (onset, -share, i)
+        if best:
+            live.pop(best[2])
+        yield best[2] if best else -1
+
+
+def _taken(song, side, start, end, tolerance):
+    """The row of the prediction that each reference row takes, or -1, over whole songs in order of song, side and start: the first references of all songs choose at once, then the second ones."""
+    taken = np.full(len(song), -1)
+    songs = np.arange(song[-1] + 1)
+    first, split, last = np.searchsorted(song, songs), np.searchsorted(2 * song + side, 2 * songs + 1), np.searchsorted(song, songs, "right")
+    count = last - split
+    long = (split - first) * count > _PAIRS
+    for a, m, z in zip(first[long], split[long], last[long]):
+        spans = list(zip(start[a:z].tolist(), end[a:z].tolist()))
+        found = np.fromiter(_swept(spans[:m - a], spans[m - a:], tolerance), np.int64, m - a)
+        taken[a:m] = np.where(found < 0, -1, found + m)
+    refs = np.flatnonzero((side == 0) & ~long[song])
+    n = count[song[refs]]
+    r = np.repeat(refs, n)
+    p = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + split[song[r]]
+    onset = np.abs(start[p] - start[r])
+    share = np.maximum(0, np.minimum(end[p], end[r]) - np.maximum(start[p], start[r])) / np.maximum(1, np.minimum(end[r] - start[r], end[p] - start[p]))
+    near = np.flatnonzero((onset <= tolerance) | (share >= 0.5))
+    r, p, onset, share = r[near], p[near], onset[near], share[near]
+    turn = r - first[song[r]]
+    ranked = np.lexsort((p, -share, onset, r, turn))
+    r, p, turn = r[ranked], p[ranked], turn[ranked]
+    cuts = np.append(np.flatnonzero(np.diff(turn, prepend=-1)), len(turn))
+    free = np.ones(len(song), bool)
+    for a, z in zip(cuts, cuts[1:]):
+        open_ = a + np.flatnonzero(free[p[a:z]])
+        best = open_[np.diff(r[open_], prepend=-1) != 0]
+        taken[r[best]] = p[best]
+        free[p[best]] = False
+    return taken
 
-    def step(refs, preds):
-        # A sweep: predictions enter when a reference may reach them, and leave when no later one can.
-        live, left, at = {}, [], 0
-        for r in refs:
-            start, end = r["start_sample"], r["end_sample"]
-            while at < len(preds) and preds[at]["start_sample"] <= max(start + tolerance, end):
-                live[at] = preds[at]
-                at += 1
-            best = None
-            for i, p in [*live.items()]:
-                onset = abs(p["start_sample"] - start)
-                if p["end_sample"] <= start and p["start_sample"] < start - tolerance:
-                    left.append(live.pop(i))
-                    continue
-                shared = max(0, min(p["end_sample"], end) - max(p["start_sample"], start))
-                share = shared / max(1, min(end - start, p["end_sample"] - p["start_sample"]))
-                if (onset <= tolerance or share >= 0.5) and (best is None or (onset, -share, i) < best):
-                    best = (onset, -share, i)
-            p = live.pop(best[2]) if best else dict.fromkeys(("start_sample", "end_sample", "midi_note"))
-            yield start, end, r["midi_note"], p["start_sample"], p["end_sample"], p["midi_note"]
-        for p in (*left, *live.values(), *preds[at:]):
-            yield None, None, None, p["start_sample"], p["end_sample"], p["midi_note"]
-
-    cols, order = [key, "start_sample", "end_sample", "midi_note"], ["start_sample", "end_sample", "midi_note"]
-    return pair(reference.select(cols), predicted.select(cols), key, (order, order), step, "start_sample long, end_sample long, midi_note long, other_start long, other_end long, other_midi long")
+
+def match_notes(reference: DataFrame, predicted: DataFrame, tolerance: int, key: str = "song_id") -> DataFrame:
+    """(key, start_sample, end_sample, midi_note, other_start, other_end, other_midi) of each reference note: of the free predictions that begin within `tolerance`, or share half of the shorter note, the one with the least onset error, then the larger share, then the earlier. Predictions left over come with a null reference."""
+    side = lambda df, n: df.select(key, F.lit(n).alias("side"), *_SPAN)
+    return match_sides(side(reference, 0).union(side(predicted, 1)), tolerance, key)
+
+
+def match_sides(notes: DataFrame, tolerance: int, key: str = "song_id") -> DataFrame:
+    """match_notes() where both come from one table: rows (key, side 0 for references and 1 for predictions, start_sample, end_sample, midi_note)."""
+    both = notes.select(key, F.col("side").cast("int").alias("_side"), *(F.col(c).cast("long").alias(c) for c in _SPAN))
+    full = StructType([both.schema[key], *StructType.fromDDL("start_sample long, end_sample long, midi_note long, other_start long, other_end long, other_midi long").fields])
+    arrow = to_arrow_schema(full)
+
+    def run(batches):
+        for b in whole_songs(batches):
+            name, sides, start, end, midi, nth = b.columns
+            if start.null_count or end.null_count:
+                raise ValueError("a note has no start or no end")
+            song, sides = np.cumsum(nth.to_numpy() == 1) - 1, sides.to_numpy()
+            taken = _taken(song, sides, start.to_numpy(), end.to_numpy(), tolerance)
+            refs = np.flatnonzero(sides == 0)
+            used = np.zeros(len(sides), bool)
+            used[taken[taken >= 0]] = True
+            spare = np.flatnonzero((sides == 1) & ~used)
+            at = np.concatenate([refs, spare])
+            mine, other = pa.array(at, mask=sides[at] == 1), np.where(sides[at] == 1, at, taken[at])
+            other = pa.array(other, mask=other < 0)
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(at)), *(c.take(i) for i in (mine, other) for c in (start, end, midi))], schema=arrow)
+
+    return in_order(both, key, "_side", *_SPAN).mapInArrow(run, full)
 
 
 def note_metrics(matches: DataFrame, *keys: str) -> DataFrame:

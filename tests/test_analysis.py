@@ -84,6 +84,22 @@ def test_notes_match_like_a_plain_search(spark):
         assert sorted(map(str, got.get(s, []))) == sorted(map(str, plain(*sides)))
 
 
+def test_songs_side_by_side_match_like_a_sweep_each():
+    rng = random.Random(4)
+    song, side, start, end = [], [], [], []
+    for s, n in enumerate([3, 0, 90, 1, 200, *(rng.randrange(12) for _ in range(200))]):
+        for k in range(2):
+            for a, b in sorted((a, a + rng.randrange(1, 9000)) for a in (rng.randrange(200 * n + 1) for _ in range(n + k))):
+                song.append(s), side.append(k), start.append(a), end.append(b)
+    rows = [np.array(x) for x in (song, side, start, end)]
+    got, want = matching._taken(*rows, 1500), np.full(len(song), -1)
+    for s in range(song[-1] + 1):
+        refs, preds = (np.flatnonzero((rows[0] == s) & (rows[1] == k)) for k in range(2))
+        spans = [list(zip(rows[2][i].tolist(), rows[3][i].tolist())) for i in (refs, preds)]
+        want[refs] = [-1 if i < 0 else preds[i] for i in matching._swept(*spans, 1500)]
+    assert (got == want).all() and (got >= 0).sum() > 500
+
+
 def test_suppression(spark):
     p = [0.1, 0.9, 0.2, 0.95, 0.1, 0.6, 0.6, 0.1]
     rows = [("a", i * 480, x) for i, x in enumerate(p)]

@@ -37,6 +37,11 @@ def test_songs_move_once_for_each_table_read(still, name, most):
     assert "Join" not in plan and "Generate" not in plan
 
 
+def test_both_sides_of_a_match_come_from_one_reading(still):
+    plan = _plan(entry.queries()["note_matches"](still, DATA))
+    assert len(re.findall(r"\bExchange hashpartitioning", plan)) == 1 and plan.count("Scan parquet") == 1
+
+
 def test_hypotheses_need_no_join(still):
     plan = _plan(entry.queries()["note_hypotheses"](still, DATA))
     assert "Join" not in plan
