@@ -1,7 +1,7 @@
 """Ordered folds within a song: note pairing, fragment merging, best paths."""
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -21,51 +21,34 @@ def pair_notes(events: DataFrame, key: str = "song_id", extend: bool = False) ->
     dropped. With `extend` an off under a channel's pedal (kind `sustain`, its
     value in `note`, down from 64 on) leaves the note held until the pedal goes
     up (pedal), the note is struck again (retrigger) or the last tick
-    (unterminated); else pedals say nothing.
+    (unterminated); else pedals say nothing. All by windows, so the longest song
+    is sorted, not held.
     """
 
-    def step(rows):
-        sounding, held, down, last = {}, {}, set(), max((r["tick"] for r in rows), default=0)
-        ticks = {}
-        for r in rows:
-            ticks.setdefault(r["tick"], []).append(r)
-
-        def close(notes, k, tick, how):
-            start, velocity = notes.pop(k)[:2]
-            return [(*k, start, tick, velocity, how)] if start < tick else []
-
-        for tick, group in ticks.items():
-            late = []
-            for r in group:
-                k = (r["channel"], r["note"])
-                if r["kind"] == "off" and k in sounding:
-                    if extend and k[0] in down:
-                        held[k] = sounding.pop(k)
-                    else:
-                        yield from close(sounding, k, tick, "off")
-                elif r["kind"] == "off":
-                    late.append((k, r["seq"]))
-                elif r["kind"] == "sustain" and k[1] >= 64:
-                    down.add(k[0])
-                elif r["kind"] == "sustain" and k[0] in down:
-                    down.remove(k[0])
-                    for h in sorted(x for x in held if x[0] == k[0]):
-                        yield from close(held, h, tick, "pedal")
-            for r in group:
-                if r["kind"] == "on":
-                    k = (r["channel"], r["note"])
-                    for notes in (sounding, held):
-                        if k in notes:
-                            yield from close(notes, k, tick, "retrigger")
-                    sounding[k] = (tick, r["velocity"], r["seq"])
-            for k, seq in late:
-                if k in sounding and sounding[k][0] == tick and seq > sounding[k][2]:
-                    sounding.pop(k)
-        for notes in (held, sounding):
-            for k in sorted(notes):
-                yield from close(notes, k, last, "unterminated")
-
-    return fold(events.select(key, "tick", "seq", "kind", "channel", "note", "velocity"), key, ["tick", "seq"], step, "channel long, note long, start_tick long, end_tick long, velocity long, ended string")
+    e = events.select(key, "tick", "seq", "kind", "channel", "note", "velocity", F.when(F.col("kind") == "on", 1).otherwise(0).alias("phase"))
+    channel, up = Window.partitionBy(key, "channel"), (F.col("kind") == "sustain") & (F.col("note") < 64)
+    earlier = channel.orderBy("tick", "phase", F.asc_nulls_last("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    later = channel.orderBy(F.desc("tick"), F.desc("phase"), F.desc_nulls_first("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    pedal = F.when(F.col("kind") == "sustain", F.col("note") >= 64)
+    # Under the pedal or not, and when it goes up next.
+    e = e.withColumn("down", F.coalesce(F.last(pedal, True).over(earlier), F.lit(False)) if extend else F.lit(False))
+    e = e.withColumn("up", F.last(F.when(up, F.col("tick")), True).over(later) if extend else F.lit(None).cast("long"))
+    e = e.withColumn("last", F.max("tick").over(Window.partitionBy(key))).where(F.col("kind").isin("on", "off"))
+    pitch = Window.partitionBy(key, "channel", "note").orderBy("tick", "phase", F.asc_nulls_last("seq"))
+    e = e.withColumns({f"next_{c}": F.lead(c).over(pitch) for c in ("kind", "tick", "down", "up")})
+    tick = Window.partitionBy(key, "channel", "note", "tick")
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("seq"))
+    e = e.withColumns({"offs": F.count(of("off")).over(tick), "off_seq": F.max(of("off")).over(tick), "on_seq": F.max(of("on")).over(tick)})
+    # An off that stands after the on of its tick drops that note where it finds none from before: it is the tick's second one, or nothing sounded, as after a note dropped likewise.
+    dropped = F.col("off_seq") > F.col("on_seq")
+    sounds = F.when(F.col("on_seq").isNull(), False).when(F.col("kind") == "off", None).when(~F.coalesce(dropped, F.lit(False)), True).when(F.col("offs") > 1, False)
+    e = e.withColumn("kept", F.coalesce(F.last(sounds, True).over(pitch.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    on = e.where("kind = 'on'").withColumn("again", F.lead("tick").over(pitch)).where("kept")
+    end = lambda column, how: F.struct(F.col(column).alias("tick"), F.lit(how).alias("how"))
+    held = F.when(F.col("up") <= F.coalesce("again", "up"), end("up", "pedal")).when(F.col("again").isNotNull(), end("again", "retrigger"))
+    on = on.withColumn("up", F.col("next_up")).withColumn("end", F.coalesce(
+        F.when(F.col("next_kind") == "on", end("next_tick", "retrigger")).when(~F.col("next_down"), end("next_tick", "off")).when(F.col("next_down"), held), end("last", "unterminated")))
+    return on.where(F.col("end.tick") > F.col("tick")).select(key, *(F.col(c).cast("long").alias(c) for c in ("channel", "note")), F.col("tick").cast("long").alias("start_tick"), F.col("end.tick").cast("long").alias("end_tick"), F.col("velocity").cast("long").alias("velocity"), F.col("end.how").alias("ended"))
 
 
 def _joined(a, b, pitch=None):

@@ -51,12 +51,11 @@ def note_fragments(spark, d):
 
 def note_pairing(spark, d):
     """Notes through note-on and note-off events and back, with retriggers where notes of one pitch overlap, and a pedal that goes down with some notes and up a while after."""
-    n = _view(spark, d, "note", "song_id, start_sample, end_sample, 60 + midi_note % 5 AS note, seq")
-    on = n.select("song_id", F.col("start_sample").alias("tick"), (F.col("seq") * 2).alias("seq"), F.lit("on").alias("kind"), F.lit(0).cast("long").alias("channel"), "note", F.lit(90).cast("long").alias("velocity"))
-    off = n.select("song_id", F.col("end_sample").alias("tick"), (F.col("seq") * 2 + 1).alias("seq"), F.lit("off").alias("kind"), F.lit(0).cast("long").alias("channel"), "note", F.lit(0).cast("long").alias("velocity"))
-    down = on.where("note = 61").select("song_id", "tick", (F.col("seq") * 2 + 100000).alias("seq"), F.lit("sustain").alias("kind"), "channel", F.lit(127).cast("long").alias("note"), F.lit(0).cast("long").alias("velocity"))
-    up = down.select("song_id", (F.col("tick") + 14400).alias("tick"), (F.col("seq") + 1).alias("seq"), "kind", "channel", F.lit(0).cast("long").alias("note"), "velocity")
-    return folds.pair_notes(on.unionByName(off).unionByName(down).unionByName(up), extend=True)
+    event = "struct({0} AS tick, {1} AS seq, '{2}' AS kind, 0L AS channel, {3} AS note, {4}L AS velocity)".format
+    e = _view(spark, d, "note", f"""song_id, inline(concat(
+        array({event("start_sample", "seq * 2", "on", "60 + midi_note % 5", 90)}, {event("end_sample", "seq * 2 + 1", "off", "60 + midi_note % 5", 0)}),
+        CASE WHEN midi_note % 5 = 1 THEN array({event("start_sample", "seq * 2 + 100000", "sustain", "127L", 0)}, {event("start_sample + 14400", "seq * 2 + 100001", "sustain", "0L", 0)}) ELSE array() END))""")
+    return folds.pair_notes(e, extend=True)
 
 
 def boundary_peaks(spark, d):

@@ -107,6 +107,65 @@ def test_suppression(spark):
     assert sorted(r.sample for r in got) == [3 * 480, 6 * 480]
 
 
+def _paired(rows, extend):
+    """A plain reading of note pairing, event after event."""
+    sounding, held, down, last = {}, {}, set(), max((r["tick"] for r in rows), default=0)
+    ticks = {}
+    for r in rows:
+        ticks.setdefault(r["tick"], []).append(r)
+
+    def close(notes, k, tick, how):
+        start, velocity = notes.pop(k)[:2]
+        return [(*k, start, tick, velocity, how)] if start < tick else []
+
+    for tick, group in ticks.items():
+        late = []
+        for r in group:
+            k = (r["channel"], r["note"])
+            if r["kind"] == "off" and k in sounding:
+                if extend and k[0] in down:
+                    held[k] = sounding.pop(k)
+                else:
+                    yield from close(sounding, k, tick, "off")
+            elif r["kind"] == "off":
+                late.append((k, r["seq"]))
+            elif r["kind"] == "sustain" and k[1] >= 64:
+                down.add(k[0])
+            elif r["kind"] == "sustain" and k[0] in down:
+                down.remove(k[0])
+                for h in sorted(x for x in held if x[0] == k[0]):
+                    yield from close(held, h, tick, "pedal")
+        for r in group:
+            if r["kind"] == "on":
+                k = (r["channel"], r["note"])
+                for notes in (sounding, held):
+                    if k in notes:
+                        yield from close(notes, k, tick, "retrigger")
+                sounding[k] = (tick, r["velocity"], r["seq"])
+        for k, seq in late:
+            if k in sounding and sounding[k][0] == tick and seq > sounding[k][2]:
+                sounding.pop(k)
+    for notes in (held, sounding):
+        for k in sorted(notes):
+            yield from close(notes, k, last, "unterminated")
+
+
+@pytest.mark.parametrize("extend", [True, False])
+def test_notes_pair_like_a_plain_reading(spark, extend):
+    rng, songs = random.Random(3), {}
+    for s in range(300):
+        kinds = [rng.choice(["on", "off", "sustain", "on", "off", "other"]) for _ in range(rng.randrange(1, 30))]
+        songs[s] = [dict(tick=rng.randrange(1 + rng.choice([2, 8, 40])), seq=q, kind=k, channel=rng.randrange(2), note=rng.choice([0, 64, 127, 63]) if k == "sustain" else rng.randrange(60, 62), velocity=rng.randrange(99)) for q, k in zip(rng.sample(range(100), 30), kinds)]
+    want = [(s, *r) for s, rows in songs.items() for r in _paired(sorted(rows, key=lambda r: (r["tick"], r["seq"])), extend)]
+    df = spark.createDataFrame([(s, *r.values()) for s, rows in songs.items() for r in rows], "song_id long, tick long, seq long, kind string, channel long, note long, velocity long")
+    assert sorted(map(tuple, folds.pair_notes(df, extend=extend).collect())) == sorted(want)
+
+
+def test_pairing_moves_songs_once_and_needs_no_python(spark):
+    plan = analysis.note_pairing(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan parquet") == 1 and "InArrow" not in plan
+
+
 def test_note_pairing(spark):
     def on(t, s, n):
         return ("a", t, s, "on", 0, n, 80)
