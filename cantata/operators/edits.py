@@ -1,4 +1,6 @@
 """Edit commands on a song's notes and lyrics: ordered, all or nothing per command."""
+from operator import itemgetter
+
 from pyspark.sql import DataFrame
 
 from .groups import pair
@@ -33,7 +35,7 @@ def _faults(op, held, lyrics, duration):
 
 def _changed(op, old):
     """The item after an operation: an edited text, pitch or time loses its confidence."""
-    keep = {c: op[c] for c in ("kind", "id", "start_sample", "end_sample", "text", "midi_note")}
+    keep = {"kind": op["kind"], "id": op["id"], "start_sample": op["start_sample"], "end_sample": op["end_sample"], "text": op["text"], "midi_note": op["midi_note"]}
     if old is None:
         return keep | {"lyric_id": op["lyric_id"], "confidence": None, "timing_confidence": None, "source": "manual"}
     content, span = ("midi_note",) if op["kind"] == "note" else ("text",), ("start_sample", "end_sample")
@@ -72,13 +74,12 @@ def apply_edits(items: DataFrame, ops: DataFrame, key: str = "song_id") -> DataF
         after = [*held["lyric"].values(), *held["note"].values()]
         if todo and not faults:
             faults = [(None, "missing_lyric_ref") for n in after if n["lyric_id"] is not None and n["lyric_id"] not in held["lyric"]]
-        kept = sorted(rows if faults else after, key=lambda r: (r["start_sample"], r["end_sample"], r["id"], r["kind"]))
-        cols = [c.split()[0] for c in _ITEM.split(", ")]
-        for r in kept:
-            yield (*(r[c] for c in cols), None, None)
+        for r in sorted(rows if faults else after, key=in_time):
+            yield *values(r), None, None
         for op, code in faults:
-            yield (*[None] * len(cols), op, code)
+            yield *bare, op, code
 
     names = [c.split()[0] for c in _ITEM.split(", ")]
+    in_time, values, bare = itemgetter("start_sample", "end_sample", "id", "kind"), itemgetter(*names), (None,) * len(names)
     wanted = ["op", "kind", "verb", "id", "start_sample", "end_sample", "text", "midi_note", "lyric_id", "duration"]
     return pair(items.select(key, *names), ops.select(key, *wanted), key, (["start_sample", "end_sample", "id"], ["op"]), step, _ITEM + ", op long, code string")

@@ -1,8 +1,11 @@
 """Per-song folds over sorted partitions: rows in order in, rows out."""
+from bisect import bisect_left
 from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -12,14 +15,26 @@ ROWS = 10000
 
 
 def _values(column) -> list:
-    """A column as Python values; numbers go by way of numpy, as value by value is slow."""
-    if not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+    """A column as Python values, by way of numpy and column by column within lists and structs, as value by value is slow."""
+    kind = column.type
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if pa.types.is_string(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_struct(kind):
+        names = [f.name for f in kind]
+        out = [dict(zip(names, v)) for v in zip(*map(_values, column.flatten()))]
+    elif pa.types.is_list(kind):
+        ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy()).tolist()
+        held = _values(column.flatten())
+        out = [held[i:j] for i, j in zip([0, *ends], ends)]
+    elif not (pa.types.is_integer(kind) or pa.types.is_floating(kind)):
         return column.to_pylist()
-    if not column.null_count:
-        return column.to_numpy().tolist()
-    out = column.fill_null(0).to_numpy().tolist()
-    for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
-        out[i] = None
+    else:
+        out = (column.fill_null(0) if column.null_count else column).to_numpy().tolist()
+    if column.null_count:
+        for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[i] = None
     return out
 
 
@@ -82,6 +97,11 @@ def fold(rows: DataFrame, key: str, order: list, step, schema: str) -> DataFrame
     return in_order(rows, key, *(F.col(c).asc_nulls_last() for c in order)).mapInArrow(run, full)
 
 
+def _picked(places):
+    """The values of a row at some places, as a tuple."""
+    return itemgetter(*places) if len(places) > 1 else lambda row: (row[places[0]],)
+
+
 def pair(left: DataFrame, right: DataFrame, key: str, orders: tuple, step, schema: str) -> DataFrame:
     """Like fold(), with step(left rows, right rows) over the songs of either side."""
     full = StructType([left.schema[key], *StructType.fromDDL(schema).fields])
@@ -92,7 +112,7 @@ def pair(left: DataFrame, right: DataFrame, key: str, orders: tuple, step, schem
     both = left.withColumn("_side", F.lit(0)).unionByName(right.select(F.lit(1).alias("_side"), *(F.col(c).alias(n) for c, n in own.items())), allowMissingColumns=True)
     names = both.columns
     at, side = names.index(key), names.index("_side")
-    columns = [[(c, names.index(n)) for c, n in s.items()] for s in ({c: c for c in kinds}, own)]
+    columns = [(tuple(s), _picked([names.index(n) for n in s.values()])) for s in ({c: c for c in kinds}, own)]
     if orders[0] == orders[1] and all(own[c] == c for c in orders[1]):
         order = [F.col(c) for c in orders[0]]
     else:
@@ -101,7 +121,8 @@ def pair(left: DataFrame, right: DataFrame, key: str, orders: tuple, step, schem
     def run(batches):
         def songs():
             for s in _songs(batches):
-                sides = [[{c: r[i] for c, i in cs} for r in s if r[side] == n] for n, cs in enumerate(columns)]
+                cut = bisect_left(s, 1, key=itemgetter(side))
+                sides = [[dict(zip(cs, pick(r))) for r in part] for part, (cs, pick) in zip((s[:cut], s[cut:]), columns)]
                 for r in step(*sides):
                     yield s[0][at], *r
 

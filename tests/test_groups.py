@@ -40,3 +40,17 @@ def test_sides_of_a_pair_keep_their_columns_and_orders(spark):
     got = {r.song_id: (r.x, r.y, r.names) for r in out.collect()}
     mine, other = ["a", "song_id", "v"], ["song_id", "v", "w"]
     assert got == {1: (["c", "b"], [0.5, 2.5], other), 2: (["a"], [], mine), 3: ([], [9.0], other), None: (["n"], [None], other)}
+
+
+def test_columns_become_values_without_a_step_for_each_value(monkeypatch):
+    import pyarrow as pa
+
+    struct = pa.struct([("d", pa.float64()), ("m", pa.int64()), ("s", pa.string())])
+    deep = pa.array([[{"d": 1.5, "m": None, "s": "é"}, None], None, [], [{"d": None, "m": 3, "s": None}], [None, None], [{"d": 2.0, "m": 5, "s": "x"}]], pa.list_(struct))
+    columns = [deep, deep.slice(1, 4), deep.slice(3), deep.slice(2, 1), deep.slice(0, 0), pa.array([None, "a", ""]).slice(1), pa.array([None, "a"]), pa.array([1, None, 3]), pa.array([None, None], pa.int64()), pa.array([True, None]), pa.array([[1, 2], [None], None]), pa.array([[["a"], None], []])]
+    for c in columns:
+        assert groups._values(c) == c.to_pylist()
+    rows = pa.array([[{"d": 1.0, "m": 2, "s": "three"}] * 3] * 5000, pa.list_(struct))
+    calls = []
+    monkeypatch.setattr(groups, "_values", lambda c, of=groups._values: calls.append(c) or of(c))
+    assert groups._values(rows)[4999][2] == {"d": 1.0, "m": 2, "s": "three"} and len(calls) == 5
