@@ -9,9 +9,9 @@ from . import notes, views
 ORACLE = {}
 
 
-def _view(spark, d, needs, body):
-    """SQL over views of the driver tables of one folder, read by path."""
-    sql = views.with_views(needs, body, views.DEALT)
+def _view(spark, d, needs, body, **own):
+    """SQL over views of the driver tables of one folder, read by path; `own` gives views another text."""
+    sql = views.with_views(needs, body, views.DEALT | own)
     for t in {t for n in views.closure(needs) for t in views.SOURCES[n]}:
         sql = sql.replace(f"FROM {t}", f"FROM parquet.`{d}/{t}.parquet`")
     return spark.sql(sql)
@@ -57,9 +57,9 @@ ORACLE["repetition_priors"] = views.with_views(["note"], f"""
     SELECT song_id, candidate, source, CAST(round_even(base_midi, 0) AS BIGINT) AS midi_note, round(strength, 6) AS strength FROM (SELECT *, max(pair) OVER (PARTITION BY song_id, candidate) AS last FROM j WHERE n = 1) WHERE pair = last""")
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, **own):
     frames = _view(spark, d, ["pitch_frame"], "SELECT song_id, idx, idx * 480 AS start_sample, idx * 480 + 480 AS end_sample, midi, confidence, voiced_probability FROM pitch_frame")
-    return melody.candidates(frames, _view(spark, d, ["boundary", "note"], notes.Q["boundary_decision"][2]))
+    return melody.candidates(frames, _view(spark, d, ["boundary", "note"], notes.Q["boundary_decision"][2], **own))
 
 
 def note_candidates(spark, d):
@@ -84,8 +84,8 @@ ORACLE["note_candidates"] = views.with_views(["boundary", "note"], f"""
     FROM z LEFT JOIN ok o ON o.song_id = z.song_id AND o.sample = a LEFT JOIN ok q ON q.song_id = z.song_id AND q.sample = b GROUP BY z.song_id, run, a, b, base""")
 
 
-def _external(spark, d):
-    return _view(spark, d, ["note"], "SELECT song_id, seq, start_sample, end_sample, midi_note, confidence FROM note")
+def _external(spark, d, **own):
+    return _view(spark, d, ["note"], "SELECT song_id, seq, start_sample, end_sample, midi_note, confidence FROM note", **own)
 
 
 #: Many scores are short decimals that end in 5, whose halves engines round either way; so millionths begin off the decimals.
@@ -106,14 +106,31 @@ ORACLE["note_hypotheses"] = views.with_views(["note"], f"""
     SELECT song_id, candidate, midi_note, floor((1 - product(1 - score)) * 1e6 + {_OFF}) / 1e6 AS score FROM w GROUP BY ALL""")
 
 
+def _written(spark, name, df):
+    """The path of a table that several steps read, written once."""
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return path
+
+
+def _notes_of_heard_songs(spark, d):
+    """The path of the imported notes of songs with a pitch. A candidate comes from frames with a pitch, and notes only cut or explain candidates of their own song, so the rest of the notes are left out before they are moved and numbered.
+
+    The songs are written first, so that their size is known when Spark chooses how to join them.
+    """
+    songs = _written(spark, "songs", _view(spark, d, ["pitch_frame"], "SELECT DISTINCT song_id FROM pitch_frame WHERE midi IS NOT NULL"))
+    heard = views.DEALT["note"].replace("FROM lineitem", f"FROM lineitem LEFT SEMI JOIN parquet.`{songs}` s ON l_orderkey = s.song_id")
+    return _written(spark, "notes", _external(spark, d, note=heard))
+
+
 def note_path(spark, d):
     """Candidates, hypotheses with imported notes, key and repetition bonus, best path."""
+    imported = f"SELECT * FROM parquet.`{_notes_of_heard_songs(spark, d)}`"
     # Written once: keys, hypotheses, priors and the path all read them.
-    path, found = work_path(spark, "candidates"), _candidates(spark, d)
-    found.write.parquet(path)
-    found = spark.read.schema(found.schema).parquet(path)
+    found = _candidates(spark, d, note=imported)
+    found = spark.read.schema(found.schema).parquet(_written(spark, "candidates", found))
     pairs = found.select("song_id").distinct().selectExpr("song_id", "1 AS pair", "0 AS source_start", "9600 AS source_end", "9600 AS repeat_start", "24000 AS repeat_end", "0.8D AS confidence")
-    best = melody.best_path(found, melody.hypotheses(found, _external(spark, d)), melody.estimate_key(found), melody.priors(found, pairs))
+    best = melody.best_path(found, melody.hypotheses(found, _external(spark, d, note=imported)), melody.estimate_key(found), melody.priors(found, pairs))
     return best.withColumn("confidence", F.round("confidence", 6))
 
 

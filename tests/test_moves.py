@@ -2,10 +2,11 @@
 import re
 
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 import __spark_entry__ as entry
 from cantata.operators import melody
+from cantata.plans import melody as plans
 
 DATA = "/root/testdata/sf0.001"
 
@@ -56,3 +57,29 @@ def test_a_candidate_keeps_its_nearest_note_only_where_none_explains_it(spark):
     assert {k for k in got if k[:2] == (1, 2)} == {(1, 2, 61)} and (1, 1, 64) in got
     assert not [k for k in got if k[1] == 3] and (None, 1, 60) in got and (None, 1, 70) not in got
     assert got[1, 1, 64] == pytest.approx(0.85 * 0.8) and got[1, 2, 61] == 0.001
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    """Events and lines of orders: song 1 has pitches and notes, 2 only notes, 3 frames without a pitch and notes, 4 pitches only; some keys are null."""
+    d = str(tmp_path_factory.mktemp("mixed"))
+    frames = [(song, value) for song, value in ((1, 220.0), (3, 20.0), (4, 330.0), (None, 220.0)) for _ in range(12)]
+    spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02}", song, "click" if i % 5 == 0 else "view", value) for i, (song, value) in enumerate(frames)], "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{d}/events.parquet")
+    lines = [(song, n + 1, 20 + n, 1, 9.0 + n, 100.0, 0.05) for song in (1, 2, 3, None) for n in range(4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{d}/lineitem.parquet")
+    return d
+
+
+def test_a_path_reads_the_notes_of_heard_songs_only(spark, mixed):
+    path = entry.queries()["note_path"](spark, mixed)
+    assert not [f for f in path.inputFiles() if "lineitem" in f]
+    assert {r.song_id for r in path.collect()} == {1, 4}
+    kept = spark.read.parquet(plans._notes_of_heard_songs(spark, mixed)).orderBy("seq").collect()
+    whole = plans._external(spark, mixed).where("song_id = 1").orderBy("seq").collect()
+    assert kept == whole and len(kept) == 4
+
+
+def test_a_path_without_a_heard_song_is_empty(spark, mixed, tmp_path):
+    for t in ("events", "lineitem"):
+        spark.read.parquet(f"{mixed}/{t}.parquet").where("true" if t == "lineitem" else "value < 55").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert entry.queries()["recovered_notes"](spark, str(tmp_path)).collect() == []
