@@ -206,10 +206,14 @@ def best_path(found: DataFrame, notes: DataFrame, keys: DataFrame, repeats: Data
         best, backs, end = np.zeros(1), [], None
         was = np.zeros(1)
         for r in rows:
-            midi, worth = (np.array([s[c] for s in r["states"]], float) for c in ("midi_note", "worth"))
+            midi, worth = np.array([(s["midi_note"], s["worth"]) for s in r["states"]], float).T
             leap = np.abs(midi[:, None] - was)
-            cost = np.minimum(0.25, np.maximum(0, leap - 7) * 0.015) + 0.05 * np.isin(leap, (12, 24))
-            ways = best - (cost if end is not None and r["start_sample"] - end <= 3 * HOP else 0 * cost)
+            if end is not None and r["start_sample"] - end <= 3 * HOP:
+                cost = np.minimum(0.25, np.maximum(0, leap - 7) * 0.015)
+                cost[(leap == 12) | (leap == 24)] += 0.05
+            else:
+                cost = 0 * leap
+            ways = best - cost
             backs.append(ways.argmax(1))
             best, was, end = ways.max(1) + worth, midi, r["end_sample"]
         at, path = int(best.argmax()), []
