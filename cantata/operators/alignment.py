@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Characters of a reference, and cells of characters, beyond which a pair is too large to be mapped.
+#: Characters of a reference, and cells of characters, beyond which a pair is too large for align(), where that is asked for.
 MOST_CHARS, MOST_CELLS = 16_000, 16_000_000
+#: Equal cells of a pair of texts that are held at once; beyond, blocks are sought in memory of the texts' own length.
+MOST_EQUAL = 1 << 21
 #: The half-width voicing marks, which belong to the character before them.
 MARKS = "ﾞﾟ"
 CHARS = "array<struct<char:string,char_start:int,char_end:int>>"
@@ -71,9 +73,18 @@ def normalised(texts: DataFrame, *keys: str, col: str = "text", to: str = "chars
     return texts.select(*keys, F.col(col).cast("string")).mapInArrow(run, schema)
 
 
-def _stretches(a: str, b: str):
-    """Maximal equal stretches of two texts as arrays (start in a, start in b, length), from an index of b's characters."""
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+def _points(text: str):
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _equal_cells(x, y) -> int:
+    """How many pairs of equal characters two texts have."""
+    (a, m), (b, n) = (np.unique(t, return_counts=True) for t in (x, y))
+    return int(m[np.isin(a, b, assume_unique=True)] @ n[np.isin(b, a, assume_unique=True)])
+
+
+def _stretches(x, y):
+    """Maximal equal stretches of two texts as arrays (start in x, start in y, length), from an index of y's characters."""
     index = np.argsort(y, kind="stable").astype(np.int32)
     low, high = (np.searchsorted(y[index], x, side) for side in ("left", "right"))
     many = high - low
@@ -87,9 +98,49 @@ def _stretches(a: str, b: str):
     return i, i + lag - len(x), np.diff(np.append(first, len(at)))
 
 
-def blocks(a: str, b: str) -> list:
-    """(start in a, start in b, length) of the blocks two texts share, in order: the longest stretch, the earliest in a and then in b of several, and so on before and behind it."""
-    found, todo = [], [_stretches(a, b)]
+def _shared(x, y):
+    """Of named places of two texts (place, name), those whose name both have, with names counted from 0."""
+    both = np.intersect1d(x[1], y[1])
+    out = []
+    for place, name in (x, y):
+        k = np.searchsorted(both, name)
+        held = np.flatnonzero(np.append(both, -1)[k] == name)
+        out.append((place[held], k[held]))
+    return out
+
+
+def _longest(x, y):
+    """(start in x, start in y, length) of the longest equal stretch, the earliest in x and then in y of several; length 0 if there is none.
+
+    Places are named by the stretch of some length that begins there; two such
+    names make one of a longer stretch, doubled while both texts share one and
+    then by halves. Only shared places go on, so memory is that of the texts.
+    """
+    length, found, step = 1, _shared(*((np.arange(len(t)), t.astype(np.int64)) for t in (x, y))), 1
+    if not len(found[0][0]):
+        return 0, 0, 0
+    doubling = True
+    while step:
+        longer, names = [], 1 + int(found[0][1].max())
+        for size, (place, name) in zip((len(x), len(y)), found):
+            at = np.full(size + step, -1)
+            at[place] = name
+            behind = at[place + step]
+            k = np.flatnonzero(behind >= 0)
+            longer.append((place[k], name[k] * names + behind[k]))
+        longer = _shared(*longer)
+        if len(longer[0][0]):
+            found, length = longer, length + step
+        else:
+            doubling = False
+        step = length if doubling else step // 2
+    (i, a), (j, b) = found
+    return int(i[0]), int(j[np.flatnonzero(b == a[0])[0]]), length
+
+
+def _of_stretches(i, j, n):
+    """The blocks of texts whose equal stretches these are."""
+    found, todo = [], [(i, j, n)]
     while todo:
         i, j, n = todo.pop()
         if not len(n):
@@ -106,6 +157,26 @@ def blocks(a: str, b: str) -> list:
         x, y = i[k], j[k]
         late = np.maximum(0, np.maximum(p + m - x, q + m - y))
         todo.append((x + late, y + late, n[k] - late))
+    return found
+
+
+def blocks(a: str, b: str) -> list:
+    """(start in a, start in b, length) of the blocks two texts share, in order: the longest stretch, the earliest in a and then in b of several, and so on before and behind it.
+
+    A part of the texts with too many equal cells to be held gives its longest
+    stretch by itself, until the parts before and behind it are small enough.
+    """
+    x, y = _points(a), _points(b)
+    found, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        p, e, q, f = todo.pop()
+        u, v = x[p:e], y[q:f]
+        if len(u) * len(v) <= MOST_EQUAL or _equal_cells(u, v) <= MOST_EQUAL:
+            found += [(p + i, q + j, n) for i, j, n in _of_stretches(*_stretches(u, v))]
+            continue
+        i, j, n = _longest(u, v)
+        found.append((p + i, q + j, n))
+        todo += [(p, p + i, q, q + j), (p + i + n, e, q + j + n, f)]
     return sorted(found)
 
 
@@ -126,12 +197,13 @@ def operations(a: str, b: str):
         yield held
 
 
-def align(pairs: DataFrame, *keys: str, a: str = "a", b: str = "b") -> DataFrame:
+def align(pairs: DataFrame, *keys: str, a: str = "a", b: str = "b", budget: bool = True) -> DataFrame:
     """(keys, step, operation, a_start .. b_text): how the characters `a` of each row become its characters `b` (arrays of normalised()).
 
-    A pair beyond the budget is one row `too_large` with the bounds of both
-    texts, never a part of a mapping; two empty texts give no rows. Each pair
-    is a row, so pairs are dealt as the table is and nothing is shuffled.
+    Under the `budget` a pair beyond it is one row `too_large` with the bounds
+    of both texts, never a part of a mapping; without it every pair is mapped,
+    whatever its length. Two empty texts give no rows. Each pair is a row, so
+    pairs are dealt as the table is and nothing is shuffled.
     """
     schema = StructType([*(pairs.schema[k] for k in keys), *StructType.fromDDL(OPERATIONS).fields])
     arrow = to_arrow_schema(schema)
@@ -141,18 +213,23 @@ def align(pairs: DataFrame, *keys: str, a: str = "a", b: str = "b") -> DataFrame
         values = [pa.array([r[k] for r in rows], arrow.field(len(keys) + k - 1).type) for k in range(1, 9)]
         return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), *values], schema=arrow)
 
+    def mapped(x, y):
+        if budget and (len(y) > MOST_CHARS or len(x) * len(y) > MOST_CELLS):
+            yield 0, "too_large", 0, len(x), 0, len(y), None, None
+        else:
+            for s, (o, p, e, q, f) in enumerate(operations(x, y)):
+                yield s, o, p, e, q, f, x[p:e], y[q:f]
+
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for r, (x, y) in enumerate(zip(batch.column(len(keys)), batch.column(len(keys) + 1))):
-                x, y = x.as_py() or "", y.as_py() or ""
-                if len(y) > MOST_CHARS or len(x) * len(y) > MOST_CELLS:
-                    rows.append((r, 0, "too_large", 0, len(x), 0, len(y), None, None))
-                else:
-                    rows += [(r, s, o, p, e, q, f, x[p:e], y[q:f]) for s, (o, p, e, q, f) in enumerate(operations(x, y))]
-                if len(rows) >= BATCH_ROWS:
-                    yield packed(batch, rows)
-                    rows = []
+                for one in mapped(x.as_py() or "", y.as_py() or ""):
+                    rows.append((r, *one))
+                    held += one[3] - one[2] + one[5] - one[4]
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
+                        yield packed(batch, rows)
+                        rows, held = [], 0
             yield packed(batch, rows)
 
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["char"]), "").alias(c)

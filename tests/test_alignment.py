@@ -131,3 +131,33 @@ def test_queries_say_something(spark):
         back = ops.groupBy("song_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", f"{c}_text"))), lambda x: x[f"{c}_text"]), "").alias("t")).where("t <> ''")
         whole = alignment.whole(part(texts._turns(spark, d)), "song_id", "segment_id" if c == "a" else "line_id").select("song_id", F.array_join(F.transform("a", lambda x: x["char"]), "").alias("t")).where("t <> ''")
         assert back.exceptAll(whole).count() == whole.exceptAll(back).count() == 0
+
+
+def _long_turns(spark, folder):
+    """A turn of 1,100 words in 100 lines, beyond the budget of a pair, and one of a single letter."""
+    rng = random.Random(5)
+    said = ["".join(rng.choices("abcdelnoprstx", k=rng.randrange(2, 8))) for _ in range(1100)]
+    text = "\n".join(" ".join(said[i:i + 11]) + "." for i in range(0, 1100, 11))
+    spark.createDataFrame([(1, 0, "user", text), (2, 0, "user", "あ" * 5000)], "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return folder
+
+
+def test_pairs_beyond_the_budget_are_mapped(spark, tmp_path):
+    d, got = _long_turns(spark, tmp_path), {}
+    for r in texts.text_alignment(spark, d).orderBy("step").collect():
+        got.setdefault(r.song_id, []).append((r.operation, r.a_start, r.a_end, r.b_start, r.b_end))
+    a, b = ("".join(c["char"] for r in part(texts._turns(spark, d)).where("song_id = '1:0'").orderBy(n).collect() for c in r.chars) for part, n in ((texts._heard, "segment_id"), (texts._lines, "line_id")))
+    assert len(a) * len(b) > alignment.MOST_CELLS and got["1:0"] == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    assert got["2:0"] == [("equal", 0, 5000, 0, 5000)]
+
+
+def test_blocks_of_texts_whose_equal_cells_are_not_held(monkeypatch):
+    rng = random.Random(2)
+    for most in (0, 5, 60):
+        monkeypatch.setattr(alignment, "MOST_EQUAL", most)
+        for size, letters in ((8, "ab"), (40, "x"), (60, "abcdef"), (200, "aé日\U0001f600")):
+            for _ in range(40):
+                a = "".join(rng.choices(letters, k=rng.randrange(size)))
+                p = rng.randrange(len(a) + 1)
+                b = a[p:] + "".join(rng.choices(letters, k=rng.randrange(size // 2))) + a[:p]
+                assert list(alignment.operations(a, b)) == SequenceMatcher(None, a, b, autojunk=False).get_opcodes(), (a, b)
