@@ -161,3 +161,14 @@ def test_blocks_of_texts_whose_equal_cells_are_not_held(monkeypatch):
                 p = rng.randrange(len(a) + 1)
                 b = a[p:] + "".join(rng.choices(letters, k=rng.randrange(size // 2))) + a[:p]
                 assert list(alignment.operations(a, b)) == SequenceMatcher(None, a, b, autojunk=False).get_opcodes(), (a, b)
+
+
+def test_timeline_of_pairs_beyond_the_budget(spark, tmp_path):
+    d = _long_turns(spark, tmp_path)
+    got = {}
+    for r in texts.reference_timeline(spark, d).orderBy("line_id").collect():
+        got.setdefault(r.song_id, []).append(tuple(r)[1:])
+    for song in ("1:0", "2:0"):
+        lines, segments = ([(r[1], "".join(c["char"] for c in r.chars)) for r in part(texts._turns(spark, d)).where(F.col("song_id") == song).orderBy(n).collect()] for part, n in ((texts._lines, "line_id"), (texts._heard, "segment_id")))
+        assert got[song] == _plain_timeline(lines, segments, {(n, k): (n * 20000 + k * 240, n * 20000 + k * 240 + 240) for n, t in segments for k, c in enumerate(t) if c != "z"})
+    assert {r[1] for r in got["1:0"]} == {"matched", "unaligned"} and got["2:0"][0][1] == "matched"
