@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Characters of a reference, and cells of characters, beyond which a pair is too large for align(), where that is asked for.
 MOST_CHARS, MOST_CELLS = 16_000, 16_000_000
@@ -45,6 +45,26 @@ def places(text: str) -> list:
     return out
 
 
+class _Kept(dict):
+    """What _kept() makes of a code point, for str.translate(); as many are remembered as there."""
+
+    def __missing__(self, point):
+        kept = _kept(chr(point))
+        if len(self) < 1 << 16:
+            self[point] = kept
+        return kept
+
+
+_KEPT = _Kept()
+
+
+def plain(text: str) -> str:
+    """The characters of places() as one string."""
+    if text.isascii() or not any(map(_mark, set(text))):
+        return text.translate(_KEPT)
+    return "".join(c for c, _, _ in places(text))
+
+
 #: Characters, and rows of operations, of a batch that leaves a task, about: a batch of rows may hold far more.
 BATCH_CHARS, BATCH_ROWS = 200_000, 10_000
 
@@ -73,6 +93,18 @@ def normalised(texts: DataFrame, *keys: str, col: str = "text", to: str = "chars
     return texts.select(*keys, F.col(col).cast("string")).mapInArrow(run, schema)
 
 
+def normalised_text(texts: DataFrame, *keys: str, col: str = "text", to: str = "text") -> DataFrame:
+    """(keys, `to`): the characters of normalised() as one string, without their places; empty for null."""
+    schema = StructType([*(texts.schema[k] for k in keys), *StructType.fromDDL(f"`{to}` string").fields])
+
+    def run(batches):
+        for b in batches:
+            said = pa.array([plain(t or "") for t in b.column(len(keys)).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keys)], said], [*keys, to])
+
+    return texts.select(*keys, F.col(col).cast("string")).mapInArrow(run, schema)
+
+
 def _points(text: str):
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -198,7 +230,7 @@ def operations(a: str, b: str):
 
 
 def align(pairs: DataFrame, *keys: str, a: str = "a", b: str = "b", budget: bool = True) -> DataFrame:
-    """(keys, step, operation, a_start .. b_text): how the characters `a` of each row become its characters `b` (arrays of normalised()).
+    """(keys, step, operation, a_start .. b_text): how the characters `a` of each row become its characters `b` (arrays of normalised(), or texts of normalised_text()).
 
     Under the `budget` a pair beyond it is one row `too_large` with the bounds
     of both texts, never a part of a mapping; without it every pair is mapped,
@@ -232,7 +264,8 @@ def align(pairs: DataFrame, *keys: str, a: str = "a", b: str = "b", budget: bool
                         rows, held = [], 0
             yield packed(batch, rows)
 
-    joined = lambda c: F.array_join(F.transform(c, lambda x: x["char"]), "").alias(c)
+    kinds = dict(pairs.dtypes)
+    joined = lambda c: F.col(c) if kinds[c] == "string" else F.array_join(F.transform(c, lambda x: x["char"]), "").alias(c)
     return pairs.select(*keys, joined(a), joined(b)).mapInArrow(run, schema)
 
 
@@ -249,9 +282,81 @@ def characters(texts: DataFrame, song: str, line: str, order: str, chars: str =
 
 
 def whole(texts: DataFrame, song: str, order: str, chars: str = "chars", to: str = "a") -> DataFrame:
-    """(song, `to`): the characters of a song's lines one after the other. A song is a row, bounded by the budget of align()."""
+    """(song, `to`): the characters of a song's lines, arrays or texts, one after the other. A song is a row."""
     rows = texts.groupBy(song).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(chars).alias("c")))).alias("x"))
-    return rows.select(song, F.flatten(F.transform("x", lambda x: x["c"])).alias(to))
+    parts = F.transform("x", lambda x: x["c"])
+    return rows.select(song, (F.array_join(parts, "") if dict(texts.dtypes)[chars] == "string" else F.flatten(parts)).alias(to))
+
+
+def songs(lines: DataFrame, segments: DataFrame, song: str = "song_id") -> DataFrame:
+    """(song, lines array<struct<line_id, text, again>>, segments array<struct<segment_id, text>>): of each song with lines, in order, all that timeline_of() needs in one row.
+
+    Both sides are texts of normalised_text(), so a character moves as itself and
+    without its places. A line is there `again` if another of the song has its characters.
+    """
+    w = Window.partitionBy(song).orderBy("text").rangeBetween(Window.currentRow, Window.currentRow)
+    held = lambda rows, to, *cols: rows.groupBy(song).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(to))
+    lines = held(lines.withColumn("again", F.count(F.lit(1)).over(w) > 1), "lines", "line_id", "text", "again")
+    return lines.join(held(segments, "segments", "segment_id", "text").hint("merge"), song, "left")
+
+
+def units(songs: DataFrame, start, end, song: str = "song_id") -> DataFrame:
+    """(song, line_id, again, units array<struct<a_index, start_sample, end_sample>>) of each line of songs(): the place of the equal character in what was heard and its times, null where there is none.
+
+    start, end: array columns with the times of the characters of all segments,
+    one after the other, null where one was not aligned. Songs are mapped as by
+    align() without its budget, each where it lies.
+    """
+    text = lambda c: F.coalesce(F.array_join(F.col(f"{c}.text"), ""), F.lit("")).alias(c)
+    lengths = F.transform("lines", lambda x: F.length(x["text"])).alias("lengths")
+    rows = songs.select(song, F.col("lines.line_id").alias("line_id"), F.col("lines.again").alias("again"), lengths, text("segments"), text("lines"), start.alias("start_sample"), end.alias("end_sample"))
+    of = lambda c: rows.schema[c].dataType.elementType
+    unit = StructType([StructField("a_index", IntegerType()), *(StructField(c, of(c)) for c in ("start_sample", "end_sample"))])
+    schema = StructType([rows.schema[song], *(StructField(c, of(c)) for c in ("line_id", "again")), StructField("units", ArrayType(unit))])
+    arrow = to_arrow_schema(schema)
+
+    def placed(x, y):
+        place = np.full(len(y), -1, np.int32)
+        for i, j, n in blocks(x, y):
+            place[j:j + n] = np.arange(i, i + n)
+        return place
+
+    def timed(times, place):
+        """The times of the characters that were met."""
+        return times.values.take(pa.array(place, mask=place < 0)) if times.is_valid else pa.nulls(len(place), times.type.value_type)
+
+    def packed(batch, held):
+        at, lines, again, many, *values = zip(*held) if held else ((),) * 7
+        joined = lambda parts, kind: pa.concat_arrays([pa.array([], kind), *(p.cast(kind) for p in parts)])
+        kind = arrow.field("units").type
+        one = pa.StructArray.from_arrays([joined(v, f.type) for v, f in zip(values, kind.value_type)], fields=list(kind.value_type))
+        many = np.concatenate([[0], *many]).astype(np.int32)
+        of_song = np.repeat(np.array(at, np.int64), [len(x) for x in lines])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of_song)), joined(lines, arrow.field(1).type), joined(again, arrow.field(2).type), pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), one, type=kind)], schema=arrow)
+
+    def run(batches):
+        for batch in batches:
+            held, n = [], 0
+            for r in range(batch.num_rows):
+                line, again, lengths, x, y, start, end = (c[r] for c in batch.columns[1:])
+                place = placed(x.as_py(), y.as_py())
+                held.append((r, line.values, again.values, lengths.values.to_numpy(), pa.array(place, mask=place < 0), timed(start, place), timed(end, place)))
+                n += len(place)
+                if n >= BATCH_CHARS:
+                    yield packed(batch, held)
+                    held, n = [], 0
+            yield packed(batch, held)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _judged(out: DataFrame, song: str) -> DataFrame:
+    """The rows of timeline() from what was found out about each line."""
+    complete = F.coalesce(F.col("complete"), F.lit(False))
+    out = out.withColumns({"complete": complete, "publish": complete & F.coalesce(F.col("contiguous"), F.lit(False)) & ~F.coalesce(F.col("back"), F.lit(False))})
+    flags = [F.when(F.col("complete") & F.col("back"), "nonmonotonic_reference_timing_review"), F.when(F.col("again"), "repeated_reference_review"), F.when(~F.col("publish"), "reference_mismatch_or_unaligned")]
+    shown = lambda c: F.when(F.col("publish"), F.col(c)).alias(c)
+    return out.select(song, "line_id", F.when(F.col("publish"), "matched").otherwise("unaligned").alias("status"), shown("start_sample"), shown("end_sample"), F.coalesce("units", F.lit(0)).cast("long").alias("units"), F.array_join(F.array_compact(F.array(*flags)), ",").alias("flags"))
 
 
 def timeline(lines: DataFrame, reference: DataFrame, heard: DataFrame, matched: DataFrame, observed: DataFrame, song: str = "song_id") -> DataFrame:
@@ -278,9 +383,17 @@ def timeline(lines: DataFrame, reference: DataFrame, heard: DataFrame, matched:
     )
     same = lines.select(song, "line_id", F.xxhash64(F.transform("chars", lambda c: c["char"])).alias("_h"), F.transform("chars", lambda c: c["char"]).alias("_c"))
     same = same.withColumn("again", F.count(F.lit(1)).over(Window.partitionBy(song, "_h", "_c")) > 1).drop("_h", "_c")
-    out = same.join(line.hint("merge"), [song, "line_id"], "left")
-    complete = F.coalesce(F.col("complete"), F.lit(False))
-    out = out.withColumns({"complete": complete, "publish": complete & F.coalesce(F.col("contiguous"), F.lit(False)) & ~F.coalesce(F.col("back"), F.lit(False))})
-    flags = [F.when(F.col("complete") & F.col("back"), "nonmonotonic_reference_timing_review"), F.when(F.col("again"), "repeated_reference_review"), F.when(~F.col("publish"), "reference_mismatch_or_unaligned")]
-    shown = lambda c: F.when(F.col("publish"), F.col(c)).alias(c)
-    return out.select(song, "line_id", F.when(F.col("publish"), "matched").otherwise("unaligned").alias("status"), shown("start_sample"), shown("end_sample"), F.coalesce("units", F.lit(0)).cast("long").alias("units"), F.array_join(F.array_compact(F.array(*flags)), ",").alias("flags"))
+    return _judged(same.join(line.hint("merge"), [song, "line_id"], "left"), song)
+
+
+def timeline_of(songs: DataFrame, start, end, song: str = "song_id") -> DataFrame:
+    """timeline() of songs(), with the times of units(): a line's characters stay in its row, so nothing is moved but the texts, once."""
+    rows, size = units(songs, start, end, song), F.size("units")
+    met = F.filter(F.transform("units", lambda x: x["a_index"]), lambda x: x.isNotNull())
+    rest = F.greatest(size - 1, F.lit(0))
+    back = F.exists(F.zip_with(F.slice("units", F.lit(1), rest), F.slice("units", F.lit(2), rest), lambda x, y: x["end_sample"] > y["start_sample"]), lambda x: x)
+    line = rows.select(
+        song, "line_id", "again", size.alias("units"), ((size > 0) & ~F.exists("units", lambda x: x["start_sample"].isNull())).alias("complete"), (F.array_max(met) - F.array_min(met) + 1 == F.size(met)).alias("contiguous"), F.coalesce(back, F.lit(False)).alias("back"),
+        F.get("units", F.lit(0))["start_sample"].alias("start_sample"), F.get("units", size - 1)["end_sample"].alias("end_sample"),
+    )
+    return _judged(line, song)

@@ -172,3 +172,31 @@ def test_timeline_of_pairs_beyond_the_budget(spark, tmp_path):
         lines, segments = ([(r[1], "".join(c["char"] for c in r.chars)) for r in part(texts._turns(spark, d)).where(F.col("song_id") == song).orderBy(n).collect()] for part, n in ((texts._lines, "line_id"), (texts._heard, "segment_id")))
         assert got[song] == _plain_timeline(lines, segments, {(n, k): (n * 20000 + k * 240, n * 20000 + k * 240 + 240) for n, t in segments for k, c in enumerate(t) if c != "z"})
     assert {r[1] for r in got["1:0"]} == {"matched", "unaligned"} and got["2:0"][0][1] == "matched"
+
+
+def test_plain_characters_are_those_with_places(spark):
+    rng = random.Random(4)
+    letters = "aZ.ß \t\n、ée\u0301Ａｶﾞﾟ㍿\U0001d400İ\u0345한\u1100\u1161"
+    said = ["", "\u0301a", *("".join(rng.choices(letters, k=rng.randrange(12))) for _ in range(3000))]
+    assert [alignment.plain(t) for t in said] == ["".join(c for c, *_ in alignment.places(t)) for t in said]
+    t = spark.createDataFrame([(1, "A b!"), (2, None), (3, "")], "id int, text string")
+    assert {tuple(r) for r in alignment.normalised_text(t, "id").collect()} == {(1, "ab"), (2, ""), (3, "")}
+
+
+def test_timeline_in_rows_equals_a_plain_reading(spark):
+    rng, songs = random.Random(11), {}
+    for s in range(150):
+        lines = [(n, "".join(rng.choices("abc, é", k=rng.randrange(8)))) for n in range(1, rng.randrange(2, 7))]
+        said = "".join(t if rng.random() < 0.7 else t[1:] + "z" for _, t in lines)
+        cuts = sorted({0, len(said), *rng.choices(range(len(said) + 1), k=2)})
+        segments = [(n, said[a:b]) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        times = {(n, k): (1000 * n + 100 * k, 1000 * n + 100 * k + rng.choice([100, 100, 100, 150])) for n, t in segments for k in range(len(alignment.places(t))) if rng.random() < 0.97}
+        songs[s] = (lines, segments, times)
+    sides = [alignment.normalised_text(spark.createDataFrame([(s, n, t) for s, v in songs.items() for n, t in v[i]], f"song_id int, {n} int, text string"), "song_id", n) for i, n in enumerate(("line_id", "segment_id"))]
+    spans = [(s, *([ts.get((n, k), (None, None))[i] for n, t in seg for k in range(len(alignment.places(t)))] for i in (0, 1))) for s, (_, seg, ts) in songs.items()]
+    held = alignment.songs(*sides).join(spark.createDataFrame(spans, "song_id int, starts array<long>, ends array<long>"), "song_id")
+    got = {}
+    for r in alignment.timeline_of(held, F.col("starts"), F.col("ends")).collect():
+        got.setdefault(r.song_id, []).append(tuple(r)[1:])
+    assert {s: sorted(v) for s, v in got.items()} == {s: sorted(_plain_timeline(*v)) for s, v in songs.items()}
+    assert {f for v in got.values() for r in v for f in r[5].split(",")} == {"", "nonmonotonic_reference_timing_review", "repeated_reference_review", "reference_mismatch_or_unaligned"}

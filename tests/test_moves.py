@@ -43,6 +43,13 @@ def test_both_sides_of_a_match_come_from_one_reading(still):
     assert len(re.findall(r"\bExchange hashpartitioning", plan)) == 1 and plan.count("Scan parquet") == 1
 
 
+def test_lines_and_segments_move_once_as_texts(still):
+    plan = _plan(entry.queries()["reference_timeline"](still, DATA))
+    assert len(re.findall(r"\bExchange hashpartitioning", plan)) == 2 and plan.count("SortMergeJoin") == 1
+    # No row of a single character, and no character with its places.
+    assert "normalized_index" not in plan and "char_start" not in plan
+
+
 def test_hypotheses_need_no_join(still):
     plan = _plan(entry.queries()["note_hypotheses"](still, DATA))
     assert "Join" not in plan
