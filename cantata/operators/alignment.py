@@ -90,7 +90,7 @@ def normalised(texts: DataFrame, *keys: str, col: str = "text", to: str = "chars
                     first, ends, found = first + len(ends) - 1, [0], []
             yield packed(b, first, ends, found)
 
-    return texts.select(*keys, F.col(col).cast("string")).mapInArrow(run, schema)
+    return texts.select(*keys, F.col(col).cast("string").alias("_said")).mapInArrow(run, schema)
 
 
 def normalised_text(texts: DataFrame, *keys: str, col: str = "text", to: str = "text") -> DataFrame:
@@ -102,7 +102,7 @@ def normalised_text(texts: DataFrame, *keys: str, col: str = "text", to: str = "
             said = pa.array([plain(t or "") for t in b.column(len(keys)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keys)], said], [*keys, to])
 
-    return texts.select(*keys, F.col(col).cast("string")).mapInArrow(run, schema)
+    return texts.select(*keys, F.col(col).cast("string").alias("_said")).mapInArrow(run, schema)
 
 
 def _points(text: str):

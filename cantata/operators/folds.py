@@ -1,11 +1,12 @@
 """Ordered folds within a song: note pairing, fragment merging, best paths."""
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .groups import fold
+from .groups import _values, fold
 
 #: Notes farther apart than this, or with a boundary this strong between them, do not merge.
 GAP, STRONG = 960, 0.85
@@ -96,49 +97,138 @@ def merge_fragments(notes: DataFrame, shortest: int, key: str = "song_id") -> Da
     return fold(notes.select(key, *cols), key, ["start_sample", "end_sample"], step, "start_sample long, end_sample long, midi_note long, confidence double, parts long")
 
 
-def align(log_probs: np.ndarray, tokens: list, blank: int):
-    """(first frame, last frame + 1, mean probability) per token of the most probable CTC path; None where no path exists."""
-    if not tokens:
-        return []
-    labels = np.full(2 * len(tokens) + 1, blank)
-    labels[1::2] = tokens
-    jump = np.append([False, False], (labels[2:] != blank) & (labels[2:] != labels[:-2]))
-    back = np.zeros((len(log_probs), len(labels)), np.int8)
-    # The best sums stand behind two places that no path reaches, so that a step of one or two labels is a view.
-    held = np.full(len(labels) + 2, -np.inf)
-    held[2] = 0.0
-    best, one, two = held[2:], held[1:-1], held[:-2]
-    barred = np.where(jump, 0.0, -np.inf)
-    for p, b in zip(log_probs[:, labels], back):
-        far = two + barred
-        np.greater(one, best, out=b.view(bool))
-        near = np.maximum(best, one)
-        b[far > near] = 2
+#: Segments that are aligned side by side, and bytes of their ways back at once.
+ABREAST, WAYS = 32, 1 << 26
+
+
+def _best_paths(log_probs: list, tokens: list, blank: int):
+    """The most probable CTC path of each segment as states by frame (even: blank, odd: 2 k + 1 of token k), or None where no path exists.
+
+    Segments stand side by side, those of most frames first, so that those
+    still under way are a view. Blanks and tokens are kept apart, as only
+    tokens jump. A frame works on the states that can be reached by then and
+    from which an end can be; states behind a shorter segment's end lead to none
+    that is read.
+    """
+    order = sorted(range(len(tokens)), key=lambda b: -len(log_probs[b]))
+    frames, length = (np.array([len(x[b]) for b in order]) for x in (log_probs, tokens))
+    most, size, wide = int(frames.max()), int(length.max()), max(log_probs[b].shape[1] for b in order)
+    p = np.full((most, len(order), wide), -np.inf)
+    label = np.full((len(order), size), blank)
+    for i, b in enumerate(order):
+        p[:frames[i], i, :log_probs[b].shape[1]] = log_probs[b]
+        label[i, :length[i]] = tokens[b]
+    barred = np.full(label.shape, -np.inf)
+    barred[:, 1:][(label[:, 1:] != blank) & (label[:, 1:] != label[:, :-1])] = 0.0
+    place = label + wide * np.arange(len(order))[:, None]
+    # Sums of blanks, and of tokens behind a place that no path reaches.
+    blanks, behind = np.full((len(order), size + 1), -np.inf), np.full((len(order), size + 1), -np.inf)
+    blanks[:, 0] = 0.0
+    from_token, from_blank = np.zeros((most, len(order), size + 1), bool), np.zeros((most, len(order), size), np.int8)
+    active = np.searchsorted(-frames, -np.arange(most), "left")
+    low = np.maximum(0, np.minimum.accumulate(length - frames)[active - 1] + np.arange(most))
+    for t, (n, lo) in enumerate(zip(active.tolist(), low.tolist())):
+        hi = min(size, t + 1)
+        e, o, before = blanks[:n, lo:hi + 1], behind[:n, lo + 1:hi + 1], behind[:n, lo:hi + 1]
+        way, to_token = from_blank[t, :n, lo:hi], e[:, :hi - lo]
+        far = before[:, :hi - lo] + barred[:n, lo:hi]
+        np.greater(to_token, o, out=way.view(bool))
+        near = np.maximum(o, to_token)
+        jumps = far > near
+        way |= jumps.view(np.int8) << 1
         np.maximum(near, far, out=near)
-        np.add(near, p, out=best)
-    at = len(labels) - (1 if best[-1] >= best[-2] else 2)
-    if not np.isfinite(best[at]):
-        return None
-    path = np.empty(len(log_probs), int)
-    for t in range(len(log_probs) - 1, -1, -1):
-        path[t] = at
-        at -= int(back[t, at])
-    frames = [np.flatnonzero(path == 2 * k + 1) for k in range(len(tokens))]
-    return [(int(f[0]), int(f[-1]) + 1, float(np.exp(log_probs[f, k]).mean())) for f, k in zip(frames, tokens)]
-
-
-def align_segments(segments: DataFrame, key: str = "segment_id", blank: int = 0) -> DataFrame:
-    """Forced alignment of rows (key, emissions array<array<double>> of log probabilities, tokens array<int>) -> (key, position, token, start_frame, end_frame, confidence); a segment without a path gives no row."""
-
-    full = StructType([segments.schema[key], *StructType.fromDDL("position int, token int, start_frame int, end_frame int, confidence double").fields])
-    arrow = to_arrow_schema(full)
+        near += p[t].ravel().take(place[:n, lo:hi], mode="clip")
+        np.greater(before, e, out=from_token[t, :n, lo:hi + 1])
+        np.maximum(e, before, out=e)
+        e += p[t, :n, blank, None]
+        o[:] = near
+    rows = np.arange(len(order))
+    last_blank, last_token = blanks[rows, length], behind[rows, length]
+    at = 2 * length - np.where(last_blank >= last_token, 0, 1)
+    found = np.isfinite(np.where(last_blank >= last_token, last_blank, last_token))
+    path = np.empty((len(order), most), np.int64)
+    for t in range(most - 1, -1, -1):
+        n = active[t]
+        now, k = at[:n], at[:n] >> 1
+        path[:n, t] = now
+        odd = (now & 1).astype(bool)
+        now -= np.where(odd, np.minimum(from_blank[t, rows[:n], np.minimum(k, size - 1)], 2), from_token[t, rows[:n], k])
+    out = [None] * len(order)
+    for i, b in enumerate(order):
+        if found[i]:
+            out[b] = path[i, :frames[i]]
+    return out
+
 
-    def spans(r):
-        found = align(np.array(r["emissions"], float).reshape(len(r["emissions"]), -1), list(r["tokens"]), blank) or []
-        return [(r[key], i, token, *span) for i, (token, span) in enumerate(zip(r["tokens"], found))]
+def align(log_probs: list, tokens: list, blank: int) -> list:
+    """(first frames, last frames + 1, mean probabilities) of the tokens of the most probable CTC path of each segment, as arrays; None where no path exists.
+
+    log_probs: an array of frames by labels of each segment; tokens: an array of labels.
+    """
+    out, cost = [None] * len(tokens), [len(p) * (2 * len(x) + 1) for p, x in zip(log_probs, tokens)]
+    todo = sorted((i for i, x in enumerate(tokens) if len(x) and len(log_probs[i])), key=lambda i: (len(log_probs[i]), len(tokens[i])))
+    while todo:
+        n, frames, size = 1, len(log_probs[todo[-1]]), len(tokens[todo[-1]])
+        while n < min(ABREAST, len(todo)):
+            size = max(size, len(tokens[todo[-n - 1]]))
+            # Beside the others a segment takes at most four times its own room.
+            if (n + 1) * frames * (2 * size + 1) > WAYS or frames * (2 * size + 1) > 4 * cost[todo[-n - 1]] + 4096:
+                break
+            n += 1
+        group, todo = todo[-n:], todo[:-n]
+        for i, path in zip(group, _best_paths([log_probs[i] for i in group], [tokens[i] for i in group], blank)):
+            if path is None:
+                continue
+            first = np.flatnonzero((path & 1) & (np.diff(path, prepend=-1) > 0))
+            many = np.bincount(path >> 1, weights=path & 1, minlength=len(tokens[i]))[:len(tokens[i])].astype(np.int64)
+            sure = np.exp(log_probs[i][np.arange(len(path)), np.append(tokens[i], blank)[path >> 1]])
+            mean = sure[first]
+            for k in np.flatnonzero(many > 1):
+                mean[k] = sure[first[k]:first[k] + many[k]].mean()
+            out[i] = first, first + many, mean
+    return out
+
+
+def _matrices(column) -> list:
+    """Rows of arrays of arrays as matrices, by way of one flat array."""
+    flat = column.flatten().flatten()
+    flat = np.asarray(flat.to_numpy(zero_copy_only=False), float)
+    frames = pc.list_value_length(column).fill_null(0).to_numpy()
+    cells = np.append(0, np.cumsum(pc.list_value_length(column.flatten()).fill_null(0).to_numpy()))
+    ends = np.append(0, np.cumsum(frames))
+    return [flat[cells[i]:cells[j]].reshape(j - i, -1) if j > i else np.empty((0, 0)) for i, j in zip(ends[:-1], ends[1:])]
+
+
+def align_segments(segments: DataFrame, key: str = "segment_id", blank: int = 0, whole: bool = False) -> DataFrame:
+    """Forced alignment of rows (key, emissions array<array<double>> of log probabilities, tokens array<int>) -> (key, position, token, start_frame, end_frame, confidence); a segment without a path gives no row.
+
+    With `whole` a segment stays a row, with its other columns, `frames`, and in
+    `spans` (position, start_frame, end_frame, confidence) of its tokens, null
+    where there is no path. One without tokens or emissions costs nothing.
+    """
+    span = "position int, {}start_frame int, end_frame int, confidence double"
+    kept = [c for c in segments.columns if c not in ("emissions", "tokens")] if whole else [key]
+    more = f"frames int, spans array<struct<{span.format('').replace(' int', ':int').replace(' double', ':double')}>>" if whole else span.format("token int, ")
+    full = StructType([*(segments.schema[c] for c in kept), *StructType.fromDDL(more).fields])
+    arrow = to_arrow_schema(full)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, x)) for r in b.to_pylist() for x in spans(r)], arrow)
+            log_probs = _matrices(b.column(len(kept)))
+            tokens = [np.array(x or [], np.int64) for x in _values(b.column(len(kept) + 1))]
+            found = align(log_probs, tokens, blank)
+            met = [i for i, x in enumerate(found) if x is not None]
+            many = np.array([len(x[0]) if x else 0 for x in found], np.int64)
+            joined = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
+            position = joined([np.arange(len(found[i][0])) for i in met], np.int32)
+            start, end, sure = (joined([found[i][k] for i in met], kind) for k, kind in enumerate((np.int32, np.int32, float)))
+            if not whole:
+                of = pa.array(np.repeat(np.arange(len(found)), many))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), *map(pa.array, (position, joined([tokens[i] for i in met], np.int32), start, end, sure))], schema=arrow)
+                continue
+            kind = arrow.field("spans").type
+            ends = pa.array(np.append(0, np.cumsum(many)).astype(np.int32))
+            spans = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(list(map(pa.array, (position, start, end, sure))), fields=list(kind.value_type)), type=kind, mask=pa.array([x is None for x in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(kept)], pc.list_value_length(b.column(len(kept))), spans], schema=arrow)
 
-    return segments.select(key, "emissions", "tokens").mapInArrow(run, full)
+    return segments.select(*kept, "emissions", "tokens").mapInArrow(run, full)

@@ -1,5 +1,5 @@
 """Alignment of lyric segments as a ladder: cheap rules first, and only what they leave goes to the costly step."""
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import alignment, folds
 
@@ -7,20 +7,25 @@ from . import alignment, folds
 MOST_CHARS = 512
 
 
-def judged(segments: DataFrame, emissions: DataFrame, vocabulary: DataFrame, key: str = "segment_id") -> DataFrame:
+def judged(segments: DataFrame, emissions, vocabulary: DataFrame, key: str = "segment_id") -> DataFrame:
     """Segments (key, text, start_sample, end_sample) with chars, reason and unsupported, before any acoustic work.
 
     The first rule that holds names the reason: `no_alignable_text`,
     `digital_silence_or_too_short` (no emissions), `text_window_too_large`,
     `out_of_vocabulary` (with the characters, sorted); null where none holds. Of
-    emissions only the keys are read. vocabulary: (char, token), of a size that
-    a model's output layer bounds; it becomes part of the plan.
+    emissions (see align()) only the keys are read, or the size. vocabulary:
+    (char, token), of a size that a model's output layer bounds; it becomes part
+    of the plan.
     """
-    s = segments.join(alignment.normalised(segments, key), key)
-    heard = emissions.where("emissions is not null and size(emissions) > 0").select(key, F.lit(True).alias("_heard"))
+    if isinstance(emissions, Column):
+        s = segments.withColumn("_heard", F.when(F.size(emissions) > 0, True))
+    else:
+        s = segments.join(emissions.where("emissions is not null and size(emissions) > 0").select(key, F.lit(True).alias("_heard")), key, "left")
+    s = s.where(F.col(key).isNotNull())
+    s = alignment.normalised(s, *s.columns)
     known = {r.char for r in vocabulary.select("char").collect()}
     unknown = F.array_sort(F.array_distinct(F.filter(F.transform("chars", lambda c: c["char"]), lambda c: ~c.isin(list(known)))))
-    out = s.join(heard, key, "left").withColumn("unsupported", unknown)
+    out = s.withColumn("unsupported", unknown)
     reason = (
         F.when(F.size("chars") == 0, "no_alignable_text").when(F.col("_heard").isNull(), "digital_silence_or_too_short")
         .when(F.size("chars") > MOST_CHARS, "text_window_too_large").when(F.size("unsupported") > 0, "out_of_vocabulary")
@@ -29,9 +34,13 @@ def judged(segments: DataFrame, emissions: DataFrame, vocabulary: DataFrame, key
     return out.withColumn("unsupported", F.when(F.col("reason") == "out_of_vocabulary", F.col("unsupported")))
 
 
-def align(segments: DataFrame, emissions: DataFrame, vocabulary: DataFrame, key: str = "segment_id", least: float = 0.05, blank: int = 0) -> DataFrame:
+def align(segments: DataFrame, emissions, vocabulary: DataFrame, key: str = "segment_id", least: float = 0.05, blank: int = 0) -> DataFrame:
     """(key, status, reason, unsupported, start_sample, end_sample, frames, characters): one row for each segment.
 
+    emissions: a table (key, emissions), which meets the segments that the rules
+    left in one join, or a column that makes them of a segment's own columns;
+    then nothing is moved, and only its size is asked for where a rule holds.
+
     Behind the rules of judged() come `no_ctc_path` and `low_acoustic_score` (a
     character below `least`); else the segment is aligned, from its first
     character to its last. characters: char, char_start, char_end, status, score,
@@ -41,13 +50,15 @@ def align(segments: DataFrame, emissions: DataFrame, vocabulary: DataFrame, key:
     tokens = {r.char: r.token for r in vocabulary.select("char", "token").collect()}
     first = judged(segments, emissions, vocabulary, key)
     token = F.create_map(*[F.lit(x) for pair in tokens.items() for x in pair]) if tokens else F.create_map().cast("map<string,int>")
-    left = first.where("reason is null").select(key, F.transform("chars", lambda c: F.element_at(token, c["char"]).cast("int")).alias("tokens"))
+    named = F.transform("chars", lambda c: F.element_at(token, c["char"]).cast("int"))
     # Emissions are the bulk: they meet only the segments that the rules left.
-    work = left.join(emissions.select(key, "emissions"), key)
-    spans = folds.align_segments(work, key, blank)
-    frames = work.select(key, F.size("emissions").alias("frames"))
-    found = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "start_frame", "end_frame", "confidence"))).alias("spans"))
-    out = first.join(frames, key, "left").join(found, key, "left")
+    if isinstance(emissions, Column):
+        fit = F.col("reason").isNull()
+        out = folds.align_segments(first.withColumns({"tokens": F.when(fit, named), "emissions": F.when(fit, emissions)}), key, blank, True)
+    else:
+        left = first.where("reason is null").withColumn("tokens", named)
+        out = folds.align_segments(left.join(emissions.select(key, "emissions"), key), key, blank, True)
+        out = out.unionByName(first.where("reason is not null"), allowMissingColumns=True)
     n, at, length = F.col("frames").cast("long"), F.col("start_sample"), F.col("end_sample") - F.col("start_sample")
     # Integers only: the nearest sample of a frame's share of the segment, halves up.
     place = lambda f: at + F.floor((2 * f * length + n) / (2 * n)).cast("long")

@@ -67,6 +67,56 @@ def test_costly_step_gets_what_the_rules_left(spark, monkeypatch):
     assert sorted(seen) == ["long", "low", "most", "ok", "path"]
 
 
+def _plain_path(p, tokens):
+    """(first frame, last frame + 1, mean probability) of each token of the best path, state by state; of equal sums the one that stays, then the nearer one, and an end in the blank."""
+    labels = [0] + [x for t in tokens for x in (t, 0)]
+    best, ways = [0.0] + [-np.inf] * (len(labels) - 1), []
+    for row in p:
+        now, way = [], []
+        for s, x in enumerate(labels):
+            steps = [(best[s], 0)] + [(best[s - 1], 1)] * (s > 0) + [(best[s - 2], 2)] * (s > 1 and x != 0 and x != labels[s - 2])
+            top, step = max(steps, key=lambda v: (v[0], -v[1]))
+            now.append(top + row[x])
+            way.append(step)
+        best, ways = now, [*ways, way]
+    at = len(labels) - (1 if best[-1] >= best[-2] else 2)
+    if not np.isfinite(best[at]):
+        return None
+    path = []
+    for way in reversed(ways):
+        path.append(at)
+        at -= way[at]
+    path = np.array(path[::-1])
+    spans = [np.flatnonzero(path == 2 * k + 1) for k in range(len(tokens))]
+    return [(f[0], f[-1] + 1, float(np.exp(p[f, t]).mean())) for f, t in zip(spans, tokens)]
+
+
+def test_segments_side_by_side_find_their_own_paths():
+    rng, met = np.random.default_rng(9), set()
+    for _ in range(12):
+        p, tokens = [], []
+        for _ in range(rng.integers(1, 70)):
+            frames, labels = int(rng.integers(1, 40)), int(rng.integers(2, 6))
+            one = np.log(rng.choice([0.1, 0.25, 0.5], (frames, labels)))
+            one[rng.random(one.shape) < 0.1] = -np.inf
+            p.append(one)
+            tokens.append(rng.integers(1, labels, int(rng.integers(1, 18))))
+        for one, t, got in zip(p, tokens, folds.align(p, tokens, 0)):
+            want = _plain_path(one, t.tolist())
+            met.add(want is None)
+            assert (got is None) if want is None else list(zip(*(x.tolist() for x in got))) == want
+    assert met == {True, False}
+
+
+def test_emissions_made_by_a_column_are_those_of_a_table_and_move_nothing(spark):
+    seg, em, vocabulary = _inputs(spark)
+    own = seg.join(em, "segment_id", "left").localCheckpoint()
+    want, got = (sorted(map(str, df.collect())) for df in (ladder.align(seg, em, vocabulary), ladder.align(own, F.col("emissions"), vocabulary)))
+    assert want == got and len(got) == 12
+    plan = songs.alignment_ladder(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_ladder_query_meets_every_reason(spark):
     got = {r.reason for r in songs.alignment_ladder(spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
     assert got >= {None, "digital_silence_or_too_short", "out_of_vocabulary", "no_ctc_path", "low_acoustic_score"}
