@@ -18,7 +18,8 @@ def judged(segments: DataFrame, emissions, vocabulary: DataFrame, key: str = "se
     of the plan.
     """
     if isinstance(emissions, Column):
-        s = segments.withColumn("_heard", F.when(F.size(emissions) > 0, True))
+        # Little to read and much to do: segments are dealt out before, as a file's parts may be few.
+        s = segments.repartition(key).withColumn("_heard", F.when(F.size(emissions) > 0, True))
     else:
         s = segments.join(emissions.where("emissions is not null and size(emissions) > 0").select(key, F.lit(True).alias("_heard")), key, "left")
     s = s.where(F.col(key).isNotNull())
@@ -39,7 +40,7 @@ def align(segments: DataFrame, emissions, vocabulary: DataFrame, key: str = "seg
 
     emissions: a table (key, emissions), which meets the segments that the rules
     left in one join, or a column that makes them of a segment's own columns;
-    then nothing is moved, and only its size is asked for where a rule holds.
+    then segments are dealt out by key without them, and nothing else is moved.
 
     Behind the rules of judged() come `no_ctc_path` and `low_acoustic_score` (a
     character below `least`); else the segment is aligned, from its first
